@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe_lexicon, line_dedup, source_mixing
+from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing
 
 QUERIES = {
+    "op2_quality_pu": quality_pu.query,
+    "op3_pii": pii.query,
+    "op5_inverted_multi_index": imi_search.query,
     "op6_bpe_lexicon": bpe_lexicon.query,
     "op7_line_dedup": line_dedup.query,
     "op9_source_mixing": source_mixing.query,
+    "op10_balltree_topk": balltree_topk.query,
 }
 
 ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_source_mixing": source_mixing.ORACLE,
+    "op10_balltree_topk": balltree_topk.ORACLE,
 }
