@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing
+from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing, suffix_dedup
 
 QUERIES = {
     "op2_quality_pu": quality_pu.query,
     "op3_pii": pii.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_inverted_multi_index": imi_search.query,
     "op6_bpe_lexicon": bpe_lexicon.query,
     "op7_line_dedup": line_dedup.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_source_mixing": source_mixing.ORACLE,
     "op10_balltree_topk": balltree_topk.ORACLE,
