@@ -39,9 +39,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path, schema = f"{self.root}/{name}", df.schema  # a reader of its own would not know nested nulls
+        path, schema = f"{self.root}/{name}", df.schema
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that only this table needed
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
