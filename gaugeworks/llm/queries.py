@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing, suffix_dedup
+from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
 
 QUERIES = {
+    "op1_compact_windows": substring_dedup.query,
     "op2_quality_pu": quality_pu.query,
     "op3_pii": pii.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_inverted_multi_index": imi_search.query,
     "op6_bpe_lexicon": bpe_lexicon.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_weighted_minhash": weighted_minhash.query,
     "op9_source_mixing": source_mixing.query,
     "op10_balltree_topk": balltree_topk.query,
 }
