@@ -353,8 +353,8 @@ def frequent_words(docs: DataFrame, rules: Rules, most: int = LEXICON_WORDS) ->
 _held: dict = {}
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``keep`` columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; ``ids`` and ``decoded`` themselves too if ``with_ids``."""
+def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_decoded: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """``keep`` columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; ``ids`` and ``decoded`` themselves too if asked for."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         rules = Rules(f.read())
@@ -362,7 +362,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...]
     coded = [w.encode("utf-8") for w in words]
     shipped = spark.sparkContext.broadcast((rules.text, compile_lexicon(coded, rules.merge(coded))))
     keep = tuple(k for k in keep if k in docs.columns)
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), fields])
 
     def encode(batches):
@@ -377,8 +377,11 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...]
                 columns += [pa.array([len(i) // 4 for i, _ in done], pa.int64()), pa.array([sha256(i).hexdigest() for i, _ in done]), pa.array([sha256(d).hexdigest() for _, d in done])]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([np.frombuffer(i, "<i4") for i, _ in done], pa.list_(pa.int32())), pa.array([d.decode("utf-8") for _, d in done], pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array([np.frombuffer(i, "<i4") for i, _ in done], pa.list_(pa.int32())))
+                    names.append("ids")
+                if with_decoded:
+                    columns.append(pa.array([d.decode("utf-8") for _, d in done], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(*keep, "text").mapInArrow(encode, schema)
@@ -391,4 +394,4 @@ def default_tokenizer() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False, with_decoded=False)

@@ -186,19 +186,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return model
 
 
-def score_documents(docs: DataFrame, model: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and held_out, score, predicted, a row for each row of ``docs``."""
-    keep = tuple(k for k in keep if k in docs.columns and k not in ("held_out", "score", "predicted"))
-    columns = list(dict.fromkeys([*keep, "text"]))
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
+def _scored(docs: DataFrame, model: Network, keep: list[str], name: str) -> DataFrame:
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), f"`{name}` double"])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(model.score(features(part.column("text"))), pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(model.score(features(part.column("text"))), pa.float64())], [*keep, name])
 
-    scored = docs.select(*columns).mapInArrow(run, schema)
-    return scored.withColumns({"held_out": F.coalesce(fold() == 0, F.lit(False)), "predicted": (F.col("score") >= CUT).cast("int")})
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, model: Network) -> DataFrame:
+    """doc_id, held_out, score and predicted, a row for each row of ``docs``."""
+    return _scored(docs, model, ["doc_id"], "score").select(
+        "doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
+    )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier predicts to be good."""
+    return _scored(docs, fit(docs, labels), docs.columns, "quality_pu_score").where(F.col("quality_pu_score") >= CUT).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_weighted_minhash": weighted_minhash.query,
     "op9_source_mixing": source_mixing.query,
     "op10_balltree_topk": balltree_topk.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
