@@ -100,9 +100,10 @@ def quantise(x: np.ndarray) -> np.ndarray:
     return np.floor(256.0 * x)
 
 
-def top_k(embeddings: DataFrame, scratch: Scratch) -> DataFrame:
+def top_k(embeddings: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the K best entries for each row whose vec_id QUERY_EVERY divides."""
     vectors = scratch.save(packed(embeddings, quantise), "vectors")
-    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), K, "long", visit, shard_rows=SHARD_ROWS, block_rows=BLOCK_ROWS, shared=True)
+    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), K, "long", visit, shard_rows=shard_rows, block_rows=block_rows, shared=scratch)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

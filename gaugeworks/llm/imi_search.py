@@ -41,6 +41,8 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def codebook(points: np.ndarray) -> np.ndarray:
     """k-means, started from points spread evenly over the sample."""
+    if not points.shape[1]:  # the second half of one component
+        return np.zeros((1, 0))
     different = np.unique(points, axis=0)
     centres = different[np.linspace(0, len(different) - 1, min(CENTROIDS, len(different))).astype(int)].copy()
     for _ in range(ROUNDS):
@@ -130,10 +132,11 @@ def visitor(books: dict[int, tuple[np.ndarray, np.ndarray, float]]):
     return visit
 
 
-def nearest_neighbours(embeddings: DataFrame, scratch: Scratch) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the K nearest found for each row whose vec_id QUERY_EVERY divides."""
     vectors = scratch.save(packed(embeddings, zeros=False), "vectors")
     books = fit(vectors, counts(vectors))
-    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), K, "double", visitor(books), shard_rows=SHARD_ROWS, block_rows=BLOCK_ROWS, shared=False)
+    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), K, "double", visitor(books), shard_rows=shard_rows, block_rows=block_rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

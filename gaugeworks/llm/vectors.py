@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 
 def packed(rows: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None = None, zeros: bool = True) -> DataFrame:
     """(dim, vec_id, vec): the rows whose vectors have components, all of them finite (and one not zero, unless ``zeros``)."""
@@ -51,12 +53,12 @@ def _dealt(numbers: dict[int, int], size: int, salt: int):
 
 
 def search(
-    entries: DataFrame, queries: DataFrame, k: int, score_type: str, visit: Callable, *, shard_rows: int, block_rows: int, shared: bool
+    entries: DataFrame, queries: DataFrame, k: int, score_type: str, visit: Callable, *, shard_rows: int, block_rows: int, shared: Scratch | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best entries for each query, its own vec_id left out.
 
     ``visit(ids, matrix, query_ids, query_matrix, floors)`` returns arrays (query
-    number, vec_id, score) of the best in one shard. With ``shared``, each query
+    number, vec_id, score) of the best in one shard. With ``shared``, a place for tables, each query
     first visits one shard alone, and the k-th score that it has then is its floor
     in all others. ``entries`` and ``queries`` should be stored: they are read twice.
     """
@@ -65,6 +67,8 @@ def search(
     _, block = _dealt(n_queries, block_rows, 2)
     blocks = {d: max(1, math.ceil(n / block_rows)) for d, n in n_queries.items()}
     number = lambda of, default: _case(of, default)
+    # names of their own for the columns: both sides may come from one table, and Spark could not tell them apart
+    entries = entries.toDF("dim", "vec_id", "vec")
     left = entries.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), number(blocks, 0) - 1))) if any(n > 1 for n in blocks.values()) else entries.withColumn("shard", shard).withColumn("block", F.lit(0))
     right = queries.withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(3)), number(shards, 1)).cast("int"))
     unpack = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
@@ -87,9 +91,10 @@ def search(
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     everywhere = F.explode(F.sequence(F.lit(0), number(shards, 1) - 1))
     if shared and any(n > 1 for n in shards.values()):
-        first = meet(right.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double")))
+        first = shared.save(meet(right.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double"))), "first")
         floors = top(first).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-        rest = right.join(floors, "vec_id", "left").withColumn("shard", everywhere).where(F.col("shard") != F.col("home"))
+        rest = queries.withColumnsRenamed({"dim": "q_dim", "vec": "q_vec"}).join(floors, "vec_id", "left").select(F.col("q_dim").alias("dim"), F.col("vec_id").alias("vec_id"), F.col("q_vec").alias("vec"), "floor")
+        rest = rest.withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(3)), number(shards, 1)).cast("int")).withColumn("shard", everywhere).where(F.col("shard") != F.col("home"))
         found = first.unionByName(meet(rest))
     else:
         found = meet(right.withColumn("shard", everywhere).withColumn("floor", F.lit(None).cast("double")))
