@@ -20,6 +20,10 @@ order of doc_id, "in an earlier chunk" is all that a range must answer, and the
 documents of one chunk are told apart in place. A hot string thus sends one name
 per chunk, and no group grows with its number of copies.
 
+A document whose whole text an earlier one has too goes first: all its bytes are
+covered, and whatever it holds starts in the earlier one, so it changes no other
+document's result. That keeps groups of copies out of both levels.
+
 Names are hashes: of 41 or more bits at level one, where a false repeat costs
 time alone, and at level two of so many bits that the expected number of false
 equalities among all names is below ``FALSE``.
@@ -42,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, buffers, prefix_hash, span_hash, table
+from .shared import U64, Scratch, buffers, content_key, prefix_hash, span_hash, table, text_of
 
 LENGTH, PERIOD, COVER = 50, 13, (0, 1, 3, 9)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
@@ -126,6 +130,14 @@ class Chunk:
         )
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_bytes, short): documents whose text a document of smaller doc_id has too; ``short`` is a text under LENGTH bytes."""
+    size = F.octet_length(text_of()).cast("long")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("key"), size.alias("n_bytes"), F.when(size < LENGTH, text_of()).alias("short"))
+    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
+    return keyed.join(heads, "key").where("doc_id > head").drop("head")
+
+
 def make_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(chunk, ids, sizes, data), in the order of doc_id; rows of equal doc_id stay together."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -212,7 +224,9 @@ def _ranges(names: float) -> int:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    chunks = make_chunks(docs, scratch)
+    copies = scratch.save(whole_copies(docs), "copies")
+    others = docs.select("doc_id", "text").withColumn("key", content_key()).join(copies.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
+    chunks = make_chunks(others, scratch)
     total = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, b) -> a + b)")).alias("n")).first().n or 0
     names = max(2.0, total * len(COVER) / PERIOD)
     ranges = _ranges(names)
@@ -257,7 +271,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     done = all_.mapInArrow(merge, RESULT)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     unnamed = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
-    return done.unionByName(unnamed)
+    gone = F.col("n_bytes") >= LENGTH
+    copied = copies.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.sha2(F.coalesce("short", F.lit("")), 256).alias("kept_sha256"))
+    return done.unionByName(copied).unionByName(unnamed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
