@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions.scalars import pattern, stable_id, trend_code, zscore
 from gaugeworks.spec import PATTERNS, Study
@@ -36,7 +37,7 @@ def with_texts(windows: DataFrame, study: Study) -> DataFrame:
     return windows.mapInArrow(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_hash(values: pd.Series) -> pd.Series:
     """SHA-256 of JSON text with sorted keys, from any JSON text."""
     return values.map(lambda v: None if v is None else sha256(json.dumps(json.loads(v), sort_keys=True).encode()).hexdigest())
