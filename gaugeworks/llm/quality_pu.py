@@ -178,6 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     got = texts.select("doc_id", "part", "text").mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, features binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: str(r.doc_id))
     model = Network(prior)
+    if not got:
+        return model
     x = np.frombuffer(b"".join(r.features for r in got), np.float32).reshape(len(got), -1)
     part = np.array([r.part for r in got])
     if (part == 0).any() and (part == 1).any():
