@@ -69,7 +69,7 @@ _MINUTES = 60_000_000
 STUDIES = {
     s.name: s
     for s in (
-        Study("hdd", "driftops-split-v1:", (Channel("smart_5_raw", counter=True), Channel("smart_187_raw", counter=True), Channel("smart_194_raw"), Channel("smart_197_raw")), DAY_US,
+        Study("hdd", "hdd-split-v1:", (Channel("smart_5_raw", counter=True), Channel("smart_187_raw", counter=True), Channel("smart_194_raw"), Channel("smart_197_raw")), DAY_US,
               splits(("2013-01-01", "2024-12-31"), ("2025-01-01", "2025-09-30"), ("2025-01-01", "2025-09-30"), ("2025-10-01", "2026-03-31")), cadence_text="daily observations"),
         Study("ssd", "ssd:", (Channel("temperature"), Channel("power_on_hours", counter=True)), DAY_US,
               splits(("2019-01-01", "2025-01-01"), ("2025-01-01", "2025-10-01"), ("2025-01-01", "2025-10-01"), ("2025-10-01", "2026-04-02"))),

@@ -75,7 +75,7 @@ def test_every_serial_has_one_split(spark):
     ids = spark.createDataFrame([(f"fixture-{i}",) for i in range(300)], "serial string")
     got = {r.serial: r.split for r in sampling.with_split(ids, "serial", STUDIES["hdd"].salt, STUDIES["hdd"].splits).collect()}
     for serial, split in got.items():
-        b = int(hashlib.sha256(f"driftops-split-v1:{serial}".encode()).hexdigest()[:8], 16) % 100
+        b = int(hashlib.sha256(f"hdd-split-v1:{serial}".encode()).hexdigest()[:8], 16) % 100
         assert split == ("train" if b < 60 else "validation" if b < 75 else "calibration" if b < 85 else "test")
 
 
