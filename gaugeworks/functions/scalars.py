@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def _c(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda Spark would compute it again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- identity and hashes
 
 
@@ -99,9 +105,8 @@ def mean(xs: ColumnLike) -> Column:
 
 def median(xs: ColumnLike) -> Column:
     """The mean of the two middle values; null for none."""
-    s = F.sort_array(_c(xs))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    half = lambda s, n: F.get(s, F.floor(n / 2).cast("int"))
+    return F.when(F.size(_c(xs)) > 0, let(F.sort_array(_c(xs)), lambda s: (half(s, F.size(s) - 1) + half(s, F.size(s))) / 2))
 
 
 def upper_median(xs: ColumnLike) -> Column:
@@ -118,22 +123,23 @@ def quantile(xs: ColumnLike, q: float) -> Column:
 
 def deviation(xs: ColumnLike, sample: bool) -> Column:
     xs = _c(xs)
-    square = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean(xs)) * (x - mean(xs)))
+    square = let(mean(xs), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
     return F.sqrt(square / (F.size(xs) - (1 if sample else 0)))
 
 
 def variation(xs: ColumnLike) -> Column:
     """Population deviation over the absolute mean; 0 under three values or at mean 0."""
     xs = _c(xs)
-    return F.when((F.size(xs) < 3) | (mean(xs) == 0), 0.0).otherwise(deviation(xs, False) / F.abs(mean(xs)))
+    return F.when(F.size(xs) < 3, 0.0).otherwise(let(mean(xs), lambda m: F.when(m == 0, 0.0).otherwise(deviation(xs, False) / F.abs(m))))
 
 
 def relative_change(xs: ColumnLike) -> Column:
     """From the first to the last third; 0 under four values or from a base of 0."""
     xs = _c(xs)
     k = F.greatest(F.lit(1), F.floor(F.size(xs) / 3).cast("int"))
-    a, b = mean(F.slice(xs, F.lit(1), k)), mean(F.slice(xs, -k, k))
-    return F.when((F.size(xs) < 4) | (a == 0), 0.0).otherwise((b - a) / F.abs(a))
+    # arrays, as a struct made inside another lambda loses its names
+    ends = F.array(mean(F.slice(xs, F.lit(1), k)), mean(F.slice(xs, -k, k)))
+    return F.when(F.size(xs) < 4, 0.0).otherwise(let(ends, lambda e: F.when(e[0] == 0, 0.0).otherwise((e[1] - e[0]) / F.abs(e[0]))))
 
 
 def observed(xs: ColumnLike) -> Column:
@@ -159,10 +165,11 @@ def trend_code(xs: ColumnLike, minimum_band: ColumnLike | float = 1.0, counter:
     n = F.size(xs)
     segment = F.least(F.lit(7), F.floor(n / 2).cast("int"))
     span = F.array_max(xs) - F.array_min(xs)
-    band = F.greatest(band_least, span * 0.1)
     change = median(F.slice(xs, n - segment + 1, segment)) - median(F.slice(xs, F.lit(1), segment))
-    falls = F.exists(F.zip_with(F.slice(xs, F.lit(1), n - 1), F.slice(xs, F.lit(2), n - 1), lambda a, b: b < a), lambda d: d)
-    return F.when(is_counter & falls, 4).when(span == 0, 0).when(change >= band, 1).when(change <= -band, 2).otherwise(3)
+    falls = F.exists(F.zip_with(F.slice(xs, F.lit(1), n - 1), F.slice(xs, F.lit(2), n - 1), lambda a, b: b < a), lambda d: d) if counter is not False else F.lit(False)
+    known = F.array(span, change, F.greatest(band_least, span * 0.1))
+    rest = let(known, lambda k: F.when(k[0] == 0, 0).when(k[1] >= k[2], 1).when(k[1] <= -k[2], 2).otherwise(3))
+    return F.when(is_counter & falls, 4).otherwise(rest)
 
 
 def pattern(code: Column) -> Column:
@@ -172,8 +179,8 @@ def pattern(code: Column) -> Column:
 def zscore(xs: ColumnLike) -> Column:
     """Against the sample deviation, or 1 where that is 1e-8 or less; floats last."""
     xs = _c(xs)
-    sd = deviation(xs, True)
-    return F.transform(xs, lambda x: ((x - mean(xs)) / F.when(sd > 1e-8, sd).otherwise(1.0)).cast("float"))
+    sd = let(deviation(xs, True), lambda d: F.when(d > 1e-8, d).otherwise(1.0))
+    return let(F.array(mean(xs), sd), lambda s: F.transform(xs, lambda x: ((x - s[0]) / s[1]).cast("float")))
 
 
 # --- health

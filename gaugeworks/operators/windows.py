@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import upper_median
+from gaugeworks.functions.scalars import let, upper_median
 from gaugeworks.spec import DAY_US, WINDOW
 
 
@@ -161,11 +161,11 @@ def counter_growth(df: DataFrame, by: str, time: str, value: str, most: int = 14
 
 def slope(points: Column) -> Column:
     """Least-squares slope of an array of structs (x, y); 0 for fewer than two or equal x."""
-    n = F.size(points)
     total = lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p))
-    mx, my = total(lambda p: p["x"]) / n, total(lambda p: p["y"]) / n
-    den = total(lambda p: (p["x"] - mx) * (p["x"] - mx))
-    return F.when((n < 2) | (den == 0), 0.0).otherwise(total(lambda p: (p["x"] - mx) * (p["y"] - my)) / den)
+    n = F.size(points)
+    sums = lambda m: F.array(total(lambda p: (p["x"] - m[0]) * (p["x"] - m[0])), total(lambda p: (p["x"] - m[0]) * (p["y"] - m[1])))
+    ratio = let(F.array(total(lambda p: p["x"]) / n, total(lambda p: p["y"]) / n), lambda m: let(sums(m), lambda s: F.when(s[0] == 0, 0.0).otherwise(s[1] / s[0])))
+    return F.when(n < 2, 0.0).otherwise(ratio)
 
 
 def trajectory(df: DataFrame, by: str, time: str, health: str) -> DataFrame:
