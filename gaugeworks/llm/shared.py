@@ -42,7 +42,9 @@ class Scratch:
         path, schema = f"{self.root}/{name}", df.schema
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that only this table needed
+        # Spark drops shuffle files when their plan is collected, and it holds the last plan until another has run
+        self.spark.range(1).write.format("noop").mode("overwrite").save()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
