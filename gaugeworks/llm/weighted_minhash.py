@@ -16,13 +16,10 @@ Documents that agree in a whole band are candidates:
    with most of its own; if the texts' weighted Jaccard similarity is ``LEAST``
    or more, the two are linked. That is one check per document, in hot bands too.
 2. Components form. Where a band still holds documents of several components,
-   one of each (another in each band) meet in pairs. Bands with more than
-   ``WIDE`` components are cut up by the keys of all later bands first, of which
-   documents that are alike share one but for the chance that banding has anyway.
-   What is still wider agrees in two bands at least: there each meets the first
-   and its neighbour in the order of a hash, which differs from band to band, so
-   no step makes more pairs than WIDE times its rows. Pairs whose samples agree
-   enough are checked, and the components are final.
+   one of each (another in each band) meet in pairs: in bands with more than
+   ``WIDE`` of them block against block, where arrays of samples are compared and
+   only pairs that agree enough leave. All those are checked, and the components
+   are final.
 
 Documents with one text are one class from the start, by its MD5.
 
@@ -37,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components, texts_of, with_texts
@@ -48,7 +45,8 @@ BANDS, ROWS, SEED = 10, 3, 11
 CLASSES = 1 << 16
 #: Samples that must agree before texts are compared: fewer have a chance under 1e-5 at similarity 0.8.
 AGREE = 14
-WIDE = 32
+#: Cells of more rows than WIDE are dealt to blocks of about BLOCK.
+WIDE, BLOCK = 32, 1024
 _PARTS = 16
 
 
@@ -216,6 +214,49 @@ def _check(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return with_texts(pairs.select("a", "b"), texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= LEAST)
 
 
+def _meet(group: pa.Table) -> pa.Table:
+    """The pairs of two blocks (or inside one) of one cell that differ in label and agree enough."""
+    drawn = group.column("drawn").combine_chunks().flatten().to_numpy().reshape(group.num_rows, BANDS * ROWS)
+    ids, labels, side = (group.column(c).to_numpy() for c in ("id", "label", "side"))
+    inside = group.column("inside")[0].as_py()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+    for at in range(0, len(one), 32):
+        rows = one[at : at + 32]
+        same = drawn[rows][:, None, :] == drawn[two][None, :, :]
+        agree = same.sum(axis=2, dtype=np.int32)
+        fits = (agree >= AGREE) & (labels[rows][:, None] != labels[two][None, :])
+        if inside:
+            fits &= ids[rows][:, None] > ids[two][None, :]
+        i, j = np.nonzero(fits)
+        found.append((ids[rows[i]], ids[two[j]], agree[i, j]))
+    return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], ["id", "id_2", "agree"])
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(id, id_2, agree): all pairs of ``rows`` (band, value, n, label, id, drawn) that share a cell, differ in label and agree enough.
+
+    Cells of n <= WIDE rows are joined. Those of wider ones are dealt to blocks of
+    about BLOCK rows, and each block meets each: a label that fills blocks has
+    blocks of its own, which do not meet each other.
+    """
+    columns, cell = ("label", "id", "drawn"), ["band", "value"]
+    few = rows.where(F.col("n") <= WIDE).select(*cell, *columns)
+    other = few.select(*cell, *(F.col(c).alias(f"{c}_2") for c in columns))
+    met = few.join(other, cell).where(F.col("label") > F.col("label_2")).withColumn("agree", _agree("drawn", "drawn_2")).where(F.col("agree") >= AGREE)
+    many = rows.where(F.col("n") > WIDE).select(*cell, *columns)
+    sizes = many.groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("size"))
+    many = many.join(sizes, [*cell, "label"]).withColumn("own", F.col("size") >= BLOCK).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(0)).drop("size")
+    parts = many.groupBy(*cell, "own", "of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    many = many.join(parts, [*cell, "own", "of"]).select(*cell, *columns, F.struct("own", "of", F.pmod(F.xxhash64("id"), "parts").alias("salt")).alias("x"))
+    blocks = many.select(*cell, "x").distinct()
+    twos = blocks.join(blocks.withColumnRenamed("x", "y"), cell).where((F.col("x") <= F.col("y")) & ~(F.col("x.own") & F.col("y.own") & (F.col("x.of") == F.col("y.of"))))
+    left = many.join(twos, [*cell, "x"]).select(*cell, "x", "y", *columns, F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("inside"))
+    right = many.withColumnRenamed("x", "y").join(twos.where("x < y"), [*cell, "y"]).select(*cell, "x", "y", *columns, F.lit(1).alias("side"), F.lit(False).alias("inside"))
+    wide = left.unionByName(right).groupBy(*cell, "x", "y").applyInArrow(_meet, "id long, id_2 long, agree int")
+    return met.select("id", "id_2", "agree").unionByName(wide)
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, class_id): a row for each doc_id; class_id is the least doc_id that its links reach."""
     n, df = document_frequencies(docs)
@@ -238,26 +279,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     inside = shared.drop("head").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     each = inside.groupBy("band", "value", "label").agg(F.min_by(F.struct("id", "bands", "drawn"), F.xxhash64("id", "band")).alias("s"))
     counted = each.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = scratch.save(each.join(counted, ["band", "value"]).select("band", "value", "label", "n", "s.*"), "left")
-    keyed = left.select(
-        F.xxhash64("band", "value").alias("k"), "label", "id", "drawn", "n",
-        F.when(F.col("n") <= WIDE, F.array(F.lit(0).cast("long"))).otherwise(
-            F.expr("transform(filter(sequence(0, size(bands) - 1), j -> j > band), j -> xxhash64(j, bands[j]))")
-        ).alias("more"),
-    ).select("k", "label", "id", "drawn", F.explode("more").alias("m"))
-    sized = keyed.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = scratch.save(keyed.join(sized, ["k", "m"]), "keyed")
-    columns = ("label", "id", "drawn")
-    few = keyed.where(F.col("n") <= WIDE).drop("n")
-    met = few.join(few.select("k", "m", *(F.col(c).alias(f"{c}_2") for c in columns)), ["k", "m"]).where(F.col("label") > F.col("label_2")).drop("k", "m")
-    line = Window.partitionBy("k", "m").orderBy(F.xxhash64("id", "k", "m"), "id")
-    row = F.struct(*columns)
-    many = keyed.where(F.col("n") > WIDE).withColumn("head", F.first(row).over(line)).withColumn("before", F.coalesce(F.lag(row).over(line), row))
-    many = many.select(*columns, F.explode(F.array_distinct(F.array("head", "before"))).alias("o")).select(*columns, *(F.col(f"o.{c}").alias(f"{c}_2") for c in columns)).where(F.col("label") != F.col("label_2"))
-    pairs = (
-        met.unionByName(many).where(_agree("drawn", "drawn_2") >= AGREE)
-        .select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
+    left = scratch.save(each.join(counted, ["band", "value"]).select("band", "value", "n", "label", "s.id", "s.drawn"), "left")
+    pairs = meetings(left).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.save(_check(pairs, texts, idf), "linked-2")
     final = components(linked.unionByName(second), scratch, "two")
     heads = classes.select("key", F.col("id").alias("head"))

@@ -149,6 +149,35 @@ def test_near_duplicates_are_brute_force(spark, docs, rows):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def edits_of(base, n, changes, seed):
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        text = list(base)
+        for place in rng.choice(len(base), changes, replace=False):
+            text[place] = f"e{seed}x{k}x{place}"
+        yield text
+
+
+def brute_near(rows):
+    idf = weighted_minhash.inverse_frequencies(*weighted_minhash.document_frequencies(rows))
+    got = sorted((r.doc_id, r.text) for r in rows.collect())
+    s, w, at = weighted_minhash.weighted(pa.array([t for _, t in got]), idf)
+    index = {i: k for k, (i, _) in enumerate(got)}
+    sets = [(s[at[k] : at[k + 1]], w[at[k] : at[k + 1]]) for k in range(len(got))]
+    return brute_classes(dict(got), lambda a, b: weighted_minhash.similarity(*sets[index[a]], *sets[index[b]]) >= weighted_minhash.LEAST)
+
+
+def test_pairs_in_wide_cells_are_found(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k, text in enumerate(edits_of(base, 300, 4, 1)):  # about 0.67 to each other, so in one cell of most bands
+        texts += [text, next(edits_of(text, 1, 2, 1000 + k))] if k % 3 == 0 else [text]  # each third has a twin at about 0.9
+    rows = spark.createDataFrame([(i * 7919 % len(texts), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_near(rows)
+    assert 250 < len(set(want.values())) < 330
+    assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
+
+
 def test_near_duplicates_odd(spark, odd):
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(odd, Scratch(spark)).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9, 10: 9}
