@@ -16,10 +16,10 @@ Documents that agree in a whole band are candidates:
    with most of its own; if the texts' weighted Jaccard similarity is ``LEAST``
    or more, the two are linked. That is one check per document, in hot bands too.
 2. Components form. Where a band still holds documents of several components,
-   one of each (another in each band) meet in pairs: in bands with more than
-   ``WIDE`` of them block against block, where arrays of samples are compared and
-   only pairs that agree enough leave. All those are checked, and the components
-   are final.
+   all its documents meet those of the others: in bands with more than ``WIDE``
+   documents block against block, where arrays of samples are compared and only
+   pairs that agree enough leave. All those pairs are checked but the ones whose
+   ends other links tie together first, and the components are final.
 
 Documents with one text are one class from the start, by its MD5.
 
@@ -47,6 +47,8 @@ CLASSES = 1 << 16
 AGREE = 14
 #: Cells of more rows than WIDE are dealt to blocks of about BLOCK.
 WIDE, BLOCK = 32, 1024
+#: Rounds in which each document's best open pair is checked before all others are.
+EARLY = 3
 _PARTS = 16
 
 
@@ -215,10 +217,10 @@ def _check(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """The pairs of two blocks (or inside one) of one cell that differ in label and agree enough."""
+    """The pairs of two blocks (or inside one) of one cell that differ in label, agree enough and have no earlier band in common."""
     drawn = group.column("drawn").combine_chunks().flatten().to_numpy().reshape(group.num_rows, BANDS * ROWS)
     ids, labels, side = (group.column(c).to_numpy() for c in ("id", "label", "side"))
-    inside = group.column("inside")[0].as_py()
+    band, inside = group.column("band")[0].as_py(), group.column("inside")[0].as_py()
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
     for at in range(0, len(one), 32):
@@ -229,6 +231,8 @@ def _meet(group: pa.Table) -> pa.Table:
         if inside:
             fits &= ids[rows][:, None] > ids[two][None, :]
         i, j = np.nonzero(fits)
+        fresh = same[i, j].reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        i, j = i[fresh], j[fresh]
         found.append((ids[rows[i]], ids[two[j]], agree[i, j]))
     return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], ["id", "id_2", "agree"])
 
@@ -257,6 +261,32 @@ def meetings(rows: DataFrame) -> DataFrame:
     return met.select("id", "id_2", "agree").unionByName(wide)
 
 
+def check_all(pairs: DataFrame, linked: DataFrame, texts: DataFrame, idf: np.ndarray, scratch: Scratch) -> DataFrame:
+    """``linked`` and the links among ``pairs`` (a, b, agree) that tie its components further, till no pair between two components is unchecked.
+
+    Where pairs are many, each document's best one goes first, for up to EARLY
+    rounds: what these tie together needs no check. Then all that is left is checked.
+    """
+    for k in range(EARLY):
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+        n, ends = both.agg(F.count(F.lit(1)), F.approx_count_distinct("a")).first()
+        if n <= 8 * ends:
+            break
+        best = both.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
+        best = scratch.save(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"best-{k}")
+        linked = scratch.save(linked.unionByName(_check(best, texts, idf)), f"early-{k}")
+        pairs = scratch.save(_between(pairs.join(best, ["a", "b"], "left_anti"), components(linked, scratch, f"early-classes-{k}")), f"open-{k + 1}")
+        scratch.drop(f"open-{k}")
+    return scratch.save(linked.unionByName(_check(pairs, texts, idf)), "linked-2")
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends differ in component."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "agree")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, class_id): a row for each doc_id; class_id is the least doc_id that its links reach."""
     n, df = document_frequencies(docs)
@@ -275,21 +305,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.save(texts_of(docs, shared.select("id")), "texts")
     linked = scratch.save(_check(first, texts, idf), "linked-1")
     labels = components(linked, scratch, "one")
-    # what is left in a band: one document of each component
-    inside = shared.drop("head").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    each = inside.groupBy("band", "value", "label").agg(F.min_by(F.struct("id", "bands", "drawn"), F.xxhash64("id", "band")).alias("s"))
-    counted = each.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = scratch.save(each.join(counted, ["band", "value"]).select("band", "value", "n", "label", "s.id", "s.drawn"), "left")
-    pairs = meetings(left).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.save(_check(pairs, texts, idf), "linked-2")
-    final = components(linked.unionByName(second), scratch, "two")
+    # what is left in a band: all of its documents, if they are of several components
+    inside = shared.drop("head", "bands").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = inside.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "value", "n")
+    left = scratch.save(inside.join(mixed, ["band", "value"]).select("band", "value", "n", "label", "id", "drawn"), "left")
+    met = meetings(left).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b"), "agree").distinct()
+    linked = check_all(scratch.save(met.join(first, ["a", "b"], "left_anti"), "open-0"), linked, texts, idf, scratch)
+    final = components(linked, scratch, "two")
     heads = classes.select("key", F.col("id").alias("head"))
     members = signed.select("id", "key").join(heads, "key")
     # a doc_id of several texts ties their classes together
     several = members.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a <> b")
     if several.limit(1).count():
         ties = members.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("head").alias("b"))
-        final = components(linked.unionByName(second).select("a", "b").unionByName(ties), scratch, "three")
+        final = components(linked.select("a", "b").unionByName(ties), scratch, "three")
     labelled = members.join(final.select(F.col("node").alias("head"), "label"), "head", "left")
     return labelled.groupBy("id").agg(F.min(F.coalesce("label", "head")).alias("class_id")).withColumnRenamed("id", "doc_id")
 

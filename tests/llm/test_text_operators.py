@@ -178,6 +178,17 @@ def test_pairs_in_wide_cells_are_found(spark):
     assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
 
 
+def test_links_through_a_member_are_found(spark):
+    """Near copies of one text that are not alike among themselves: all links go through it, and it is not the least doc_id."""
+    for n in (20, 300):
+        base = [f"w{i}" for i in range(200)]
+        texts = [" ".join(base), *(" ".join(t) for t in edits_of(base, n, 4, n))]
+        rows = spark.createDataFrame([((i + n // 2) % (n + 1), t) for i, t in enumerate(texts)], "doc_id long, text string")
+        want = brute_near(rows)
+        assert len(set(want.values())) < 5
+        assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
+
+
 def test_near_duplicates_odd(spark, odd):
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(odd, Scratch(spark)).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9, 10: 9}
