@@ -226,6 +226,32 @@ def test_passages_are_found(spark, docs, rows):
     assert sum(got[i].n_links > 0 for i in clean) <= 0.1 * len(clean)
 
 
+def test_each_place_of_a_passage_is_found():
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    p = new(56)
+    assert substring_dedup.passages(p, np.concatenate([p[:36], new(40), p])) == [(0, 55, 76, 131)]
+    many = np.concatenate([x for _ in range(12) for x in (p, new(30))])
+    assert substring_dedup.passages(p, many) == [(0, 55, 86 * k, 86 * k + 55) for k in range(12)]
+    edited = np.concatenate([p[:20], new(5), p[25:]])
+    assert substring_dedup.passages(p, np.concatenate([new(9), edited, new(9)])) == [(0, 55, 9, 64)]
+    for _ in range(20):  # exact runs between two texts of few pieces are those of brute force
+        pieces = [new(n) for n in (50, 60, 30)]
+        a, b = (np.concatenate([x for k in rng.integers(0, 3, 6) for x in (pieces[k], new(20))]) for _ in range(2))
+        same = a[:, None] == b[None, :]
+        want = set()
+        for i, q in np.argwhere(same):
+            if not (i and q and same[i - 1, q - 1]):
+                n = 1
+                while i + n < len(a) and q + n < len(b) and same[i + n, q + n]:
+                    n += 1
+                if n >= substring_dedup.SHORTEST:
+                    want.add((i, i + n - 1, q, q + n - 1))
+        assert set(substring_dedup.passages(a, b)) == want
+    assert substring_dedup.passages(new(0), p) == [] == substring_dedup.passages(new(60), p)
+    assert substring_dedup._runs(many, many, 100).tolist() == substring_dedup._runs(many, many).tolist()
+
+
 def test_passages_odd(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_links > 0, r.n_later > 0) for r in substring_dedup.repeated_passages(odd, Scratch(spark)).collect()}
     assert got[4] == (4, True, False) and got[5] == (4, True, True) and got[6] == (4, True, True)
