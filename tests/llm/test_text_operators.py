@@ -252,6 +252,28 @@ def test_each_place_of_a_passage_is_found():
     assert substring_dedup._runs(many, many, 100).tolist() == substring_dedup._runs(many, many).tolist()
 
 
+def test_all_documents_of_a_group_are_linked(spark):
+    """A passage in 30 texts, two of them alike beyond it and five exact copies of one: links are those of brute force."""
+    shared_ = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join([f"a{k}x{i}" for i in range(40)] + shared_ + [f"b{k}x{i}" for i in range(40)])) for k in range(30)]
+    rows += [(100 + k, rows[7][1]) for k in range(5)]
+    tail = " ".join(f"t{i}" for i in range(55))
+    rows += [(200 + k, f"u{k} " + " ".join(shared_) + f" v{k} {tail}") for k in range(2)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert {r.n_links for r in got.values()} == {len(rows) - 1} and {r.class_id for r in got.values()} == {0}
+    hashes, at, _, _ = shared.shingles(*shared.buffers(pa.array([t for _, t in rows])), 5)
+    own = {i: hashes[at[k] : at[k + 1]] for k, (i, _) in enumerate(rows)}
+    for i, r in got.items():
+        places, earlier = set(), set()
+        for j in own:
+            if i != j:
+                for first, last, _, _ in substring_dedup.passages(own[i], own[j]):
+                    places |= set(range(first, last + 5))
+                    earlier |= set(range(first, last + 5)) if j < i else set()
+        assert (r.n_repeated, r.n_later) == (len(places), len(earlier))
+        assert {p for s in r.spans for p in range(s["first"], s["end"])} == places
+
+
 def test_passages_odd(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_links > 0, r.n_later > 0) for r in substring_dedup.repeated_passages(odd, Scratch(spark)).collect()}
     assert got[4] == (4, True, False) and got[5] == (4, True, True) and got[6] == (4, True, True)
