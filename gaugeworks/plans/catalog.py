@@ -303,6 +303,14 @@ def unused_after_release(spark, sf):
     return relations.unused_after_release(rows, opened, "event_id", rows.count(), "user_id", 5)
 
 
+@query()
+def unused_after_release_all(spark, sf):
+    """``unused_after_release`` over all users."""
+    rows = table(spark, sf, "events").select("event_id", "user_id")
+    opened = rows.orderBy(S.salted_hash("open:", "event_id"), "event_id").limit(25)
+    return relations.unused_after_release(rows, opened, "event_id", rows.count(), "user_id", rows.select("user_id").distinct().count())
+
+
 # --- audits and aggregates
 
 
@@ -478,6 +486,15 @@ def task_scope(spark, sf):
     return rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query()
+def task_scope_all(spark, sf):
+    """``task_scope`` over the signups of all users."""
+    e = table(spark, sf, "events")
+    tasks = e.where("event_type = 'signup'").select(F.col("event_id").alias("task"), "user_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("interval 2 days")).alias("b"))
+    rows = relations.within_scope(e.select("user_id", "ts", "value"), tasks, "user_id", "ts", "a", "b")
+    return rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '2%') SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b) UNION ALL SELECT k, 'right' AS side FROM (SELECT k FROM b EXCEPT ALL SELECT k FROM a)")
 def set_differences(spark, sf):
     o = table(spark, sf, "orders")
@@ -494,6 +511,13 @@ def component_closure(spark, sf):
     return relations.connected_groups(edges, "d", "h")
 
 
+@query()
+def component_closure_all(spark, sf):
+    """``component_closure`` over the orders of all customers."""
+    edges = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("d"), F.concat_ws("/", F.to_date("o_orderdate").cast("string"), (F.col("o_orderkey") % 7).cast("string")).alias("h"))
+    return relations.connected_groups(edges, "d", "h")
+
+
 @query("""WITH i AS (SELECT o_custkey, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 40)::INT) AS b FROM orders),
 m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m),
