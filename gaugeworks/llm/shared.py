@@ -15,6 +15,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -33,7 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, removed by ``close``; each one cuts the lineage of what it holds."""
+    """Parquet tables in the shared folder; each one cuts the lineage of what it holds. ``close`` removes them all.
+
+    A query's result is a plan that reads its last tables, so a caller closes the
+    scratch after it has written or collected the result.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
@@ -41,12 +46,18 @@ class Scratch:
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        # Spark drops shuffle files when their plan is collected, and it holds the last plan until another has run
-        self.spark.range(1).write.format("noop").mode("overwrite").save()
-        self.spark.sparkContext._jvm.System.gc()
+        # the table takes the place of the plan's shuffle files
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(schema).parquet(path)
 
+    def close(self) -> None:
+        self.drop("")
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -124,6 +135,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def second_hash(data: np.ndarray, start: np.ndarray, length: int, width: int) -> np.ndarray:
+    """``width`` bytes (up to 8) of a hash of the spans that is independent of ``span_hash``, a row each."""
+    prefix = np.zeros(len(data) + 1, U64)
+    up, down = powers(len(data) + 1)
+    # other numbers stand for the bytes and other powers for the places
+    np.cumsum(mix(data.astype(U64) + U64(0x632BE59BD9B4E019)) * up[: len(data)] ** U64(3), out=prefix[1:])
+    value = mix((prefix[start + length] - prefix[start]) * down[start] ** U64(3) + U64(0xD6E8FEB86659FD93))
+    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and each text's first word (n + 1 numbers). A word is a run of bytes above the space."""
     inside = np.zeros(len(data) + 1, bool)

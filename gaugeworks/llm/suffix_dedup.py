@@ -25,8 +25,9 @@ covered, and whatever it holds starts in the earlier one, so it changes no other
 document's result. That keeps groups of copies out of both levels.
 
 Names are hashes: of 41 or more bits at level one, where a false repeat costs
-time alone, and at level two of so many bits that the expected number of false
-equalities among all names is below ``FALSE``.
+time alone, and at level two of so many bits, 64 and further bytes of a second
+hash, that the expected number of false equalities among all strings of a corpus
+of that size is below ``FALSE``, whatever the size: bits grow with its logarithm.
 
 Defined cases: a null text is empty; texts under 50 bytes keep all; rows that
 repeat a doc_id are the same document to each other and remove nothing from one
@@ -46,35 +47,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, buffers, content_key, prefix_hash, span_hash, table, text_of
+from . import names as nm
+from .shared import U64, Scratch, buffers, content_key, prefix_hash, second_hash, span_hash, table, text_of
 
 LENGTH, PERIOD, COVER = 50, 13, (0, 1, 3, 9)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
 #: Raise this with the corpus (128 MB at 100 TB): a chunk meets every range.
-CHUNK, RANGE_NAMES, FALSE = 4 << 20, 3 << 20, 0.1
+CHUNK, FALSE = 4 << 20, 1e-6
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def pack(names: np.ndarray, width: int) -> bytes:
-    """Sorted, different numbers as the first and the differences, ``width`` bytes each; a width that is too small is raised."""
-    if not len(names):
-        return b""
-    gaps = np.diff(names)
-    width = max(width, (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 1)
-    return bytes([width]) + int(names[0]).to_bytes(8, "little") + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.empty(0, U64)
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(raw) + 1, 8), np.uint8)
-    out[1:, :width] = raw
-    out[0] = np.frombuffer(blob[1:9], np.uint8)
-    return np.cumsum(out.view("<u8").ravel(), dtype=U64)
-
-
 class Chunk:
     """The texts of a chunk end to end, and both levels' names of its positions."""
 
@@ -83,13 +65,20 @@ class Chunk:
         self.prefix = prefix_hash(data)
 
     def named(self, places: np.ndarray, length: int, bits: int):
-        """(order of the places by name, then place; where a new name begins in it; the different names)."""
-        names = span_hash(self.prefix, places, places + length) >> U64(64 - bits)
+        """(order of the places by name, then place; where a new name begins in it; the different names; their bytes beyond 64 bits, if any)."""
+        names = span_hash(self.prefix, places, places + length) >> U64(max(0, 64 - bits))
         order = np.argsort(names, kind="stable")
-        names = names[order]
+        extra = second_hash(self.data, places, length, (bits - 57) // 8) if bits > 64 else None
+        if extra is not None:
+            same = names[order][1:] == names[order][:-1]
+            if (extra[order][1:][same] != extra[order][:-1][same]).any():
+                order = np.lexsort((*extra.T, names))
         fresh = np.ones(len(names), bool)
-        fresh[1:] = names[1:] != names[:-1]
-        return order, fresh, names[fresh]
+        fresh[1:] = names[order][1:] != names[order][:-1]
+        if extra is not None:
+            fresh[1:] |= (extra[order][1:] != extra[order][:-1]).any(axis=1)
+            extra = extra[order][fresh]
+        return order, fresh, names[order][fresh], extra
 
     def sampled(self, bits: int):
         sizes = np.diff(self.offsets)
@@ -103,7 +92,7 @@ class Chunk:
 
     def reachable(self, bits: int, repeated: np.ndarray):
         """Positions whose 50 bytes hold a sampled suffix that is left, with their names."""
-        order, fresh, names = self.sampled(bits)
+        order, fresh, names, _ = self.sampled(bits)
         number = np.cumsum(fresh) - 1
         alive = repeated | (np.bincount(number, minlength=len(names)) > 1)
         marks = np.zeros(len(self.data) + PERIOD + 1, np.int32)
@@ -179,49 +168,6 @@ def _chunk(batch: pa.RecordBatch, i: int) -> Chunk:
     return Chunk(data, np.concatenate([[0], np.cumsum(sizes)]), batch.column("ids")[i].values.to_numpy())
 
 
-def _sent(chunk: int, names: np.ndarray, bits: int, ranges: int, width: int) -> pa.RecordBatch:
-    ends = np.searchsorted(names, np.arange(1, ranges, dtype=U64) << U64(bits - ranges.bit_length() + 1)) if ranges > 1 else np.empty(0, np.int64)
-    cut = [0, *ends.tolist(), len(names)]
-    rows = [(r, pack(names[a:b], width)) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["span", "chunk", "names"])
-
-
-def _answers(group: pa.Table, earlier: bool) -> pa.Table:
-    """A bit for each name that each chunk sent to one range: another chunk (``earlier``: a smaller one) sent it too."""
-    group = group.sort_by("chunk")
-    sent = [unpack(b) for b in group.column("names").to_pylist()]
-    both = np.sort(np.concatenate(sent))
-    repeated = both[:-1][both[1:] == both[:-1]]
-    repeated = repeated[np.concatenate([[True], repeated[1:] != repeated[:-1]])] if len(repeated) else repeated
-    seen, bits = np.zeros(len(repeated) + 1, bool), []
-    for names in sent:
-        at = np.searchsorted(repeated, names)
-        hit = np.zeros(len(names), bool)
-        if len(repeated):
-            hit = repeated[np.minimum(at, len(repeated) - 1)] == names
-        if earlier:
-            told = hit & seen[at]
-            seen[at[hit]] = True
-            hit = told
-        bits.append(np.packbits(hit).tobytes())
-    return pa.table([group.column("span"), group.column("chunk"), pa.array([len(s) for s in sent], pa.int64()), pa.array(bits, pa.binary())], ["span", "chunk", "n", "bits"])
-
-
-def _ask(sent: DataFrame, earlier: bool) -> DataFrame:
-    """(chunk, answer): for each chunk its bits in the order of its names."""
-    told = sent.groupBy("span").applyInArrow(lambda t: _answers(t, earlier), "span int, chunk long, n long, bits binary")
-    return told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("span", "n", "bits"))).alias("answer"))
-
-
-def _bits(answer) -> np.ndarray:
-    parts = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool) for a in (answer or [])]
-    return np.concatenate([np.empty(0, bool), *parts])
-
-
-def _ranges(names: float) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1.0, names / RANGE_NAMES))))
-
-
 def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     copies = scratch.save(whole_copies(docs), "copies")
@@ -229,38 +175,38 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     chunks = make_chunks(others, scratch)
     total = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, b) -> a + b)")).alias("n")).first().n or 0
     names = max(2.0, total * len(COVER) / PERIOD)
-    ranges = _ranges(names)
+    ranges = nm.ranges(names)
     first_bits = min(62, max(41, math.ceil(math.log2(names)) + 10))
 
     def level_one(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, own = _chunk(batch, i).sampled(first_bits)
-                yield _sent(batch.column("chunk")[i].as_py(), own, first_bits, ranges, 3)
+                _, _, own, _ = _chunk(batch, i).sampled(first_bits)
+                yield nm.sent(batch.column("chunk")[i].as_py(), own, first_bits, ranges, 3)
 
-    left = scratch.save(_ask(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(level_one, "span int, chunk long, names binary"), False), "left")
-    second_bits = min(64, max(48, math.ceil(2 * math.log2(max(2, total * 0.5)) - math.log2(FALSE))))
-    seconds = _ranges(total * 0.5)
+    left = scratch.save(nm.ask(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(level_one, nm.SENT), nm.repeated(False)), "left")
+    second_bits = max(48, math.ceil(2 * math.log2(max(2, total)) - 1 - math.log2(FALSE)))
+    seconds = nm.ranges(total * 0.5)
     both = chunks.join(left.hint("shuffle_hash"), "chunk", "left")
 
     def level_two(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _chunk(batch, i)
-                places = own.reachable(first_bits, _bits(batch.column("answer")[i].as_py()))
-                _, _, names = own.named(places, LENGTH, second_bits)
-                yield _sent(batch.column("chunk")[i].as_py(), names, second_bits, seconds, 4)
+                places = own.reachable(first_bits, nm.bits_of(batch.column("answer")[i].as_py()))
+                _, _, names, extra = own.named(places, LENGTH, second_bits)
+                yield nm.sent(batch.column("chunk")[i].as_py(), names, min(64, second_bits), seconds, 4, extra)
 
-    told = scratch.save(_ask(both.mapInArrow(level_two, "span int, chunk long, names binary"), True), "told")
+    told = scratch.save(nm.ask(both.mapInArrow(level_two, nm.SENT), nm.repeated(True)), "told")
 
     def merge(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _chunk(batch, i)
-                places = own.reachable(first_bits, _bits(batch.column("answer")[i].as_py()))
-                order, fresh, _ = own.named(places, LENGTH, second_bits)
+                places = own.reachable(first_bits, nm.bits_of(batch.column("answer")[i].as_py()))
+                order, fresh, _, _ = own.named(places, LENGTH, second_bits)
                 number = np.cumsum(fresh) - 1
-                earlier = _bits(batch.column("earlier")[i].as_py())[number]
+                earlier = nm.bits_of(batch.column("earlier")[i].as_py())[number]
                 places = places[order]
                 doc = own.ids[np.searchsorted(own.offsets, places, side="right") - 1]
                 # places of a name are in their order, so the first is in the smallest document

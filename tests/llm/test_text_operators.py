@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugeworks.llm import bpe_lexicon, line_dedup, quality_pu, shared, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
+from gaugeworks.llm import bpe_lexicon, line_dedup, names, quality_pu, shared, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
 from gaugeworks.llm.shared import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -80,14 +80,14 @@ def test_suffixes_odd(spark, odd):
 def test_suffixes_over_many_chunks(spark, docs, monkeypatch):
     want = sorted(map(tuple, suffix_dedup.remove_repeats(docs, Scratch(spark)).collect()))
     monkeypatch.setattr(suffix_dedup, "CHUNK", 5_000)
-    monkeypatch.setattr(suffix_dedup, "RANGE_NAMES", 2_000)
+    monkeypatch.setattr(names, "RANGE_NAMES", 2_000)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, Scratch(spark)).collect())) == want
 
 
 def test_names_pack():
-    names = np.sort(np.unique(np.random.default_rng(0).integers(0, 2**62, 1000).astype(np.uint64)))
-    for x in (names, names[:1], names[:0]):
-        assert suffix_dedup.unpack(suffix_dedup.pack(x, 3)).tolist() == x.tolist()
+    some = np.sort(np.unique(np.random.default_rng(0).integers(0, 2**62, 1000).astype(np.uint64)))
+    for x in (some, some[:1], some[:0]):
+        assert names.unpack(names.pack(x, 3)).tolist() == x.tolist()
 
 
 def test_tokens_are_the_librarys(spark, docs, rows, odd):
