@@ -1,31 +1,32 @@
 """Near-duplicate documents by weighted MinHash over TF-IDF shingles.
 
 A document is a set of five-word shingles; a shingle's weight is its count times
-its inverse document frequency, the mean of ln(1 + N / df) over its words. Words
-are counted over all documents in 2**16 hashed classes, so the table of
-frequencies has one size for every corpus. Improved consistent weighted sampling
-draws ``BANDS * ROWS`` samples from each document: for a shingle of weight w and
-gamma and uniform numbers r, c, b that its hash fixes, t = floor(ln w / r + b)
-and ln a = ln c - r (t - b) - r, and the least a is the sample. As a depends on
-the shingle and t alone, its value stands for both. Two documents agree in a
-sample with the probability of their weighted Jaccard similarity.
+its inverse document frequency, 1 + ln((1 + N) / (1 + df)) in steps of 1/1024,
+where df is the number of documents that hold the shingle, counted over all rows. Improved consistent weighted sampling draws
+``BANDS * ROWS`` samples from each document: for a shingle of weight w and gamma
+and uniform numbers r, c, b that its hash fixes, t = floor(ln w / r + b) and
+ln a = ln c - r (t - b) - r, and the least a is the sample. As a depends on the
+shingle and t alone, its value stands for both. Two documents agree in a sample
+with the probability of their weighted Jaccard similarity; at 0.8 they share one
+band of ten at least with a probability of 0.9992.
 
 Documents that agree in a whole band are candidates:
 
-1. Each takes, of the least documents in its bands, the one whose samples agree
-   with most of its own; if the texts' weighted Jaccard similarity is ``LEAST``
-   or more, the two are linked. That is one check per document, in hot bands too.
+1. Each is checked against one document, the one that is the least in most of
+   its bands: one check per document, in hot bands too.
 2. Components form. Where a band still holds documents of several components,
-   all its documents meet those of the others: in bands with more than ``WIDE``
-   documents block against block, where arrays of samples are compared and only
-   pairs that agree enough leave. All those pairs are checked but the ones whose
-   ends other links tie together first, and the components are final.
+   all its documents meet those of the others: in bands of up to ``WIDE``
+   documents as pairs, in wider ones block against block (``blocks.meet``), where
+   the similarities of two blocks are a product of matrices, and only links that
+   tie components together leave. Nothing is left unchecked.
 
+A check is the weighted Jaccard similarity of the whole sets, ``LEAST`` or more.
 Documents with one text are one class from the start, by its MD5.
 
 Defined cases: a null text is empty, and empty texts are copies of each other;
-a text under five words is one shingle of all its words; rows that repeat a
-doc_id are one document; rows without doc_id are no document here (and stay in
+texts of white space alone are alike; a text under five words is one shingle of
+all its words; rows that repeat a doc_id are one document, that of the text with
+the least MD5; rows without doc_id are no document here (and stay in
 ``keep_one``); an empty table gives an empty result; other columns pass through
 ``keep_one`` and are not read otherwise.
 """
@@ -34,91 +35,87 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import components, texts_of, with_texts
-from .shared import U64, Scratch, buffers, content_key, mix, shingles, slices, table
+from . import blocks
+from . import names as nm
+from .links import components
+from .shared import U64, Scratch, buffers, content_key, mix, shingles, slices, table, text_of
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 10, 3, 11
-CLASSES = 1 << 16
-#: Samples that must agree before texts are compared: fewer have a chance under 1e-5 at similarity 0.8.
-AGREE = 14
-#: Cells of more rows than WIDE are dealt to blocks of about BLOCK.
-WIDE, BLOCK = 32, 1024
-#: Rounds in which each document's best open pair is checked before all others are.
-EARLY = 3
-_PARTS = 16
+CHUNK, BITS = 4 << 20, 48
+#: Cells of up to WIDE rows meet as pairs, wider ones block against block.
+WIDE = 32
 
 
-def _classes(words: np.ndarray) -> np.ndarray:
-    return (words >> U64(40)).astype(np.int64) & (CLASSES - 1)
+def make_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(chunk, ids, keys, texts): the documents as they are dealt, about CHUNK bytes of text in a row; ``keys`` are MD5s."""
 
-
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of documents and, for each class of words, of documents that hold one. Each task sums before it sends."""
-
-    def count(batches):
-        sums, rows = np.zeros(CLASSES + 1, np.int64), 0
+    def run(batches):
+        base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in slices(batch):
-                data, offsets = buffers(part.column("text"))
-                _, _, word, first = shingles(data, offsets, WIDTH)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                sums[:CLASSES] += np.bincount(np.unique(doc * CLASSES + _classes(word)) % CLASSES, minlength=CLASSES)
-                rows += part.num_rows
-        size = CLASSES // _PARTS
-        out = [(p, sums[p * size : (p + 1) * size].tobytes()) for p in range(_PARTS)] + [(_PARTS, np.array([rows]).tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "sums"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in group.column("sums").to_pylist())
-        return pa.table([group.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
-
-    got = {r.part: np.frombuffer(r.sums, np.int64) for r in docs.select("text").mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()}  # 17 rows
-    if not got:
-        return 0, np.zeros(CLASSES, np.int64)
-    return int(got[_PARTS][0]), np.concatenate([got[p] for p in range(_PARTS)])
+            for part in slices(batch, most=CHUNK):
+                whole = pa.array([0, part.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, part.column(c)) for c in ("id", "key", "text")]
+                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *lists], ["chunk", "ids", "keys", "texts"])
+                n += 1
 
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), content_key().alias("key"), text_of().alias("text"))
+    return scratch.save(rows.mapInArrow(run, "chunk long, ids array<long>, keys array<string>, texts array<string>"), "chunks")
 
-def inverse_frequencies(n: int, df: np.ndarray) -> np.ndarray:
-    """ln(1 + N / df) in steps of 1/1024, as 16-bit numbers, and half of the greatest possible at least.
-
-    The floor keeps weights of common words alike: else a large group of near
-    copies, which makes its own words common, would weigh its few edits far above
-    the text that its members share, and come apart for being large.
-    """
-    n = max(1, n)
-    least = 0.5 * np.log1p(n)
-    return np.clip(np.rint(1024 * np.maximum(np.log1p(n / np.maximum(df, 1)), least)), 1, 65535).astype(np.uint16)
-
-
-def weighted(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles of 48 bits in order, their weights, each text's first): what a text's weighted set is."""
-    data, offsets = buffers(texts)
-    hashes, at, word, first = shingles(data, offsets, WIDTH)
-    step = idf[_classes(word)].astype(np.int64)
-    upto = np.concatenate([[0], np.cumsum(step)])
-    count = np.diff(at)
-    doc = np.repeat(np.arange(len(count)), count)
-    begin = np.arange(len(hashes)) - at[doc] + first[doc]
-    end = np.minimum(begin + WIDTH, first[doc + 1])
-    mean = ((upto[end] - upto[begin]) // np.maximum(end - begin, 1)).astype(U64)
-    out, weights, starts = [], [], [0]
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different shingles of 48 bits, text after text and in order; how often each occurs; each text's first)."""
+    hashes, at, _, _ = shingles(*buffers(texts), WIDTH)
+    count, out, times, starts = np.diff(at), [np.empty(0, U64)], [np.empty(0, np.int64)], [0]
     for a in range(0, len(count), 1 << 16):
         b = min(len(count), a + (1 << 16))
-        span = slice(at[a], at[b])
-        # the document, 32 bits of the shingle and its step, so that one sort groups all
-        key = ((doc[span] - a).astype(U64) << U64(48)) | ((hashes[span] >> U64(32)) << U64(16)) | mean[span]
+        key = (np.repeat(np.arange(b - a), count[a:b]).astype(U64) << U64(BITS)) | (hashes[at[a] : at[b]] >> U64(64 - BITS))
         key.sort()
         fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.concatenate([fresh, [len(key)]]))
+        times.append(np.diff(np.concatenate([fresh, [len(key)]])))
         own = key[fresh]
-        out.append(own & U64((1 << 48) - 1))
-        weights.append(times * ((own & U64(0xFFFF)).astype(np.float64) / 1024))
-        starts += (starts[-1] + np.cumsum(np.bincount((own >> U64(48)).astype(np.int64), minlength=b - a))).tolist()
-    return np.concatenate([np.empty(0, U64), *out]), np.concatenate([np.empty(0), *weights]), np.array(starts)
+        out.append(own & U64((1 << BITS) - 1))
+        starts += (starts[-1] + np.cumsum(np.bincount((own >> U64(BITS)).astype(np.int64), minlength=b - a))).tolist()
+    return np.concatenate(out), np.concatenate(times), np.array(starts)
+
+
+def inverse_frequencies(n: int, df: np.ndarray) -> np.ndarray:
+    """1 + ln((1 + N) / (1 + df)), the smoothed form, in steps of 1/1024."""
+    return np.clip(np.rint(1024 * (1 + np.log((1 + n) / (1 + df)))), 1, 65535).astype("<u2")
+
+
+def shingle_steps(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(chunk, answer): for each chunk the inverse document frequency of its different shingles, in their order."""
+    count = chunks.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))")).alias("bytes")).first()
+    n, parts = int(count.n or 0), nm.ranges((count.bytes or 0) / 5)
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, _, _ = shingle_sets(batch.column("texts")[i].values)
+                own, docs = np.unique(keys, return_counts=True)
+                yield nm.sent(batch.column("chunk")[i].as_py(), own, BITS, parts, 4, docs.astype("<u4").view(np.uint8).reshape(-1, 4))
+
+    def answer(names, sizes, extra):
+        order = np.argsort(names, kind="stable")
+        fresh = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+        group = np.cumsum(fresh) - 1
+        step = np.empty(len(names), "<u2")
+        step[order] = inverse_frequencies(n, np.add.reduceat(extra.view("<u4")[order].astype(np.int64), np.flatnonzero(fresh)))[group]
+        return [x.tobytes() for x in np.split(step, np.cumsum(sizes)[:-1])]
+
+    return scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), answer), "steps")
+
+
+def _weighed(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, counts, steps, each text's first) of a chunk with its answer."""
+    keys, times, starts = shingle_sets(batch.column("texts")[i].values)
+    steps = nm.numbers_of(batch.column("answer")[i].as_py(), "<u2")
+    return keys, times, steps[np.searchsorted(np.unique(keys), keys)], starts
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -180,154 +177,148 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, key, bands, drawn) of all documents with a doc_id."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), content_key().alias("key"), "text")
+def signatures(chunks: DataFrame, steps: DataFrame) -> DataFrame:
+    """(chunk, id, key, bands) of all documents."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                drawn = samples(*weighted(part.column("text"), idf))
-                keys = band_keys(drawn)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(drawn), pa.list_(pa.int32()))], ["id", "key", "bands", "drawn"]
-                )
-
-    return rows.mapInArrow(run, "id long, key string, bands array<long>, drawn array<int>")
-
+            for i in range(batch.num_rows):
+                keys, times, step, starts = _weighed(batch, i)
+                bands = band_keys(samples(keys, times * (step / 1024), starts))
+                ids = batch.column("ids")[i].values
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
+                chunk = pa.array(np.full(len(ids), batch.column("chunk")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, ids, batch.column("keys")[i].values, lists], ["chunk", "id", "key", "bands"])
 
-def _agree(a: str, b: str):
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)")
+    return chunks.join(steps.hint("shuffle_hash"), "chunk", "left").mapInArrow(run, "chunk long, id long, key string, bands array<long>")
 
 
-def _check(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose texts' weighted Jaccard similarity is LEAST or more, with it."""
+def weighted_sets(chunks: DataFrame, steps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, size, set) of ``wanted`` (chunk, id, key): the set is its shingles (48 bits, step below) and, after them, their counts."""
+    lists = wanted.groupBy("chunk").agg(F.collect_set(F.struct("id", "key")).alias("wanted"))  # of one chunk, so bounded
 
     def run(batches):
         for batch in batches:
-            sizes = np.maximum(batch.column("text_a").cast(pa.large_binary()).nbytes, 1) / max(1, batch.num_rows)
-            step = max(1, int((1 << 20) / sizes))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                one, two = (weighted(part.column(c), idf) for c in ("text_a", "text_b"))
-                got = np.array([similarity(one[0][i:j], one[1][i:j], two[0][k:m], two[1][k:m]) for i, j, k, m in zip(one[2][:-1], one[2][1:], two[2][:-1], two[2][1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
+            for i in range(batch.num_rows):
+                wants = {(w["id"], w["key"]) for w in batch.column("wanted")[i].as_py()}
+                own = list(zip(batch.column("ids")[i].as_py(), batch.column("keys")[i].as_py(), strict=True))
+                # a text that a chunk holds twice under one id counts once
+                places = list({x: k for k, x in enumerate(own) if x in wants}.values())
+                keys, times, step, starts = _weighed(batch, i)
+                packed, times = (keys << U64(16)) | step.astype(U64), times.astype("<u4")
+                sets = [packed[starts[k] : starts[k + 1]].tobytes() + times[starts[k] : starts[k + 1]].tobytes() for k in places]
+                yield pa.RecordBatch.from_arrays([pa.array([own[k][0] for k in places], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "size", "set"])
 
-    return with_texts(pairs.select("a", "b"), texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= LEAST)
+    both = lists.join(chunks.hint("shuffle_hash"), "chunk").join(steps.hint("shuffle_hash"), "chunk", "left")
+    return both.select("ids", "keys", "texts", "answer", "wanted").mapInArrow(run, "id long, size long, set binary").dropDuplicates(["id"])
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """The pairs of two blocks (or inside one) of one cell that differ in label, agree enough and have no earlier band in common."""
-    drawn = group.column("drawn").combine_chunks().flatten().to_numpy().reshape(group.num_rows, BANDS * ROWS)
+def read_set(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, counts, steps)."""
+    n = len(blob) // 12
+    packed = np.frombuffer(blob, "<u8", n)
+    return packed >> U64(16), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64), (packed & U64(0xFFFF)).astype(np.int64)
+
+
+def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is LEAST or more."""
+
+    def run(batches):
+        for batch in batches:
+            got = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                (a, n, v), (b, m, w) = read_set(x.as_py()), read_set(y.as_py())
+                got.append(similarity(a, n * v, b, m * w))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
+
+    one, two = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= LEAST).select("a", "b")
+
+
+def similarities(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], one: np.ndarray, two: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """The weighted Jaccard similarities of the sets ``one`` with the sets ``two``: sums of least counts, as a product of matrices."""
+    sizes = np.array([int(n.sum()) for _, n, _ in sets])
+    total = np.array([int((n * v).sum()) for _, n, v in sets], np.float64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    key, step = np.concatenate([np.repeat(a, n) for a, n, _ in sets]), np.concatenate([np.repeat(v, n) for _, n, v in sets])
+    again = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for _, n, _ in sets])
+    # the k-th time that a set has a shingle is an element of its own
+    _, element, count = np.unique(mix(key + again.astype(U64) * U64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    kept = count[element] > 1
+    order = np.argsort(element[kept], kind="stable")
+    row, step = row[kept][order], step[kept][order].astype(np.float64)
+    column = np.unique(element[kept][order], return_inverse=True)[1]
+    shared, wide, at, columns = np.zeros((len(one), len(two))), max(1, most // max(1, len(sets))), 0, int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, columns, wide):
+        to = int(np.searchsorted(column, first + wide))
+        dense = np.zeros((len(sets), min(wide, columns - first)))
+        dense[row[at:to], column[at:to] - first] = np.sqrt(step[at:to])
+        shared += dense[one] @ dense[two].T
+        at = to
+    union = total[one][:, None] + total[two][None, :] - shared
+    return np.where(union > 0, shared / np.maximum(union, 1), 1.0)
+
+
+def _tie(group: pa.Table, inside: bool) -> pa.Table:
+    """Of the links between the blocks, or inside one, those that tie labels together that no other of them has tied."""
     ids, labels, side = (group.column(c).to_numpy() for c in ("id", "label", "side"))
-    band, inside = group.column("band")[0].as_py(), group.column("inside")[0].as_py()
+    sets = [read_set(x.as_py()) for x in group.column("set")]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
-    for at in range(0, len(one), 32):
-        rows = one[at : at + 32]
-        same = drawn[rows][:, None, :] == drawn[two][None, :, :]
-        agree = same.sum(axis=2, dtype=np.int32)
-        fits = (agree >= AGREE) & (labels[rows][:, None] != labels[two][None, :])
-        if inside:
-            fits &= ids[rows][:, None] > ids[two][None, :]
-        i, j = np.nonzero(fits)
-        fresh = same[i, j].reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        i, j = i[fresh], j[fresh]
-        found.append((ids[rows[i]], ids[two[j]], agree[i, j]))
-    return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], ["id", "id_2", "agree"])
-
-
-def meetings(rows: DataFrame) -> DataFrame:
-    """(id, id_2, agree): all pairs of ``rows`` (band, value, n, label, id, drawn) that share a cell, differ in label and agree enough.
-
-    Cells of n <= WIDE rows are joined. Those of wider ones are dealt to blocks of
-    about BLOCK rows, and each block meets each: a label that fills blocks has
-    blocks of its own, which do not meet each other.
-    """
-    columns, cell = ("label", "id", "drawn"), ["band", "value"]
-    few = rows.where(F.col("n") <= WIDE).select(*cell, *columns)
-    other = few.select(*cell, *(F.col(c).alias(f"{c}_2") for c in columns))
-    met = few.join(other, cell).where(F.col("label") > F.col("label_2")).withColumn("agree", _agree("drawn", "drawn_2")).where(F.col("agree") >= AGREE)
-    many = rows.where(F.col("n") > WIDE).select(*cell, *columns)
-    sizes = many.groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("size"))
-    many = many.join(sizes, [*cell, "label"]).withColumn("own", F.col("size") >= BLOCK).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(0)).drop("size")
-    parts = many.groupBy(*cell, "own", "of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    many = many.join(parts, [*cell, "own", "of"]).select(*cell, *columns, F.struct("own", "of", F.pmod(F.xxhash64("id"), "parts").alias("salt")).alias("x"))
-    blocks = many.select(*cell, "x").distinct()
-    twos = blocks.join(blocks.withColumnRenamed("x", "y"), cell).where((F.col("x") <= F.col("y")) & ~(F.col("x.own") & F.col("y.own") & (F.col("x.of") == F.col("y.of"))))
-    left = many.join(twos, [*cell, "x"]).select(*cell, "x", "y", *columns, F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("inside"))
-    right = many.withColumnRenamed("x", "y").join(twos.where("x < y"), [*cell, "y"]).select(*cell, "x", "y", *columns, F.lit(1).alias("side"), F.lit(False).alias("inside"))
-    wide = left.unionByName(right).groupBy(*cell, "x", "y").applyInArrow(_meet, "id long, id_2 long, agree int")
-    return met.select("id", "id_2", "agree").unionByName(wide)
-
-
-def check_all(pairs: DataFrame, linked: DataFrame, texts: DataFrame, idf: np.ndarray, scratch: Scratch) -> DataFrame:
-    """``linked`` and the links among ``pairs`` (a, b, agree) that tie its components further, till no pair between two components is unchecked.
-
-    Where pairs are many, each document's best one goes first, for up to EARLY
-    rounds: what these tie together needs no check. Then all that is left is checked.
-    """
-    for k in range(EARLY):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
-        n, ends = both.agg(F.count(F.lit(1)), F.approx_count_distinct("a")).first()
-        if n <= 8 * ends:
-            break
-        best = both.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
-        best = scratch.save(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"best-{k}")
-        linked = scratch.save(linked.unionByName(_check(best, texts, idf)), f"early-{k}")
-        pairs = scratch.save(_between(pairs.join(best, ["a", "b"], "left_anti"), components(linked, scratch, f"early-classes-{k}")), f"open-{k + 1}")
-        scratch.drop(f"open-{k}")
-    return scratch.save(linked.unionByName(_check(pairs, texts, idf)), "linked-2")
-
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends differ in component."""
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
-    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "agree")
+    near, links = similarities(sets, one, two), []
+    # the product of roots is off in the last places, so what is close is looked at again
+    for i, j in np.argwhere(np.abs(near - LEAST) < 1e-6).tolist():
+        (a, n, v), (b, m, w) = sets[one[i]], sets[two[j]]
+        near[i, j] = similarity(a, n * v, b, m * w)
+    root = np.unique(labels, return_inverse=True)[1]
+    for i, x in enumerate(one.tolist()):
+        while len(far := np.flatnonzero((near[i] >= LEAST) & (root[two] != root[x]))):
+            y = int(two[far[0]])
+            links.append((int(ids[x]), int(ids[y])))
+            root[root == root[y]] = root[x]
+    return pa.table([pa.array([c[k] for c in links], pa.int64()) for k in range(2)], ["id", "id_2"])
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, class_id): a row for each doc_id; class_id is the least doc_id that its links reach."""
-    n, df = document_frequencies(docs)
-    idf = inverse_frequencies(n, df)
-    signed = scratch.save(signatures(docs, idf), "signed")
-    classes = signed.groupBy("key").agg(F.min_by(F.struct("id", "bands", "drawn"), "id").alias("s")).select("key", "s.*")
+    chunks = make_chunks(docs, scratch)
+    steps = shingle_steps(chunks, scratch)
+    signed = scratch.save(signatures(chunks, steps), "signed")
+    members = signed.groupBy("id").agg(F.min("key").alias("key"))
+    heads = scratch.save(members.groupBy("key").agg(F.min("id").alias("head")), "heads")
+    own = signed.join(heads.select("key", F.col("head").alias("id")), ["id", "key"], "left_semi")
+    banded = own.select("chunk", "id", "key", F.posexplode("bands").alias("band", "value"))
     # all in a band that more than one class is in, and the least of them
-    banded = classes.select("id", "bands", "drawn", F.posexplode("bands").alias("band", "value"))
-    heads = banded.groupBy("band", "value").agg(F.min_by(F.struct("id", "drawn"), "id").alias("head"), F.max("id").alias("last")).where(F.col("head.id") < F.col("last")).select("band", "value", "head")
-    shared = scratch.save(banded.join(heads, ["band", "value"]), "shared")
-    best = (
-        shared.where(F.col("id") > F.col("head.id")).withColumn("agree", _agree("drawn", "head.drawn")).where(F.col("agree") >= AGREE)
-        .groupBy("id").agg(F.max(F.struct("agree", -F.col("head.id"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
-    )
-    first = scratch.save(best, "first")
-    texts = scratch.save(texts_of(docs, shared.select("id")), "texts")
-    linked = scratch.save(_check(first, texts, idf), "linked-1")
+    cells = banded.groupBy("band", "value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "value", "low")
+    shared = scratch.save(banded.join(cells, ["band", "value"]), "shared")
+    best = shared.where("id > low").groupBy("id", "low").agg(F.count_distinct("band").alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("low"))).alias("m"))
+    first = scratch.save(best.select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b")), "first")
+    sets = scratch.save(weighted_sets(chunks, steps, shared.select("chunk", "id", "key").distinct()), "sets")
+    for name in ("chunks", "steps"):
+        scratch.drop(name)
+    linked = scratch.save(_check(first, sets), "linked-1")
     labels = components(linked, scratch, "one")
     # what is left in a band: all of its documents, if they are of several components
-    inside = shared.drop("head", "bands").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    inside = shared.select("band", "value", "id").distinct().join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = inside.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "value", "n")
-    left = scratch.save(inside.join(mixed, ["band", "value"]).select("band", "value", "n", "label", "id", "drawn"), "left")
-    met = meetings(left).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b"), "agree").distinct()
-    linked = check_all(scratch.save(met.join(first, ["a", "b"], "left_anti"), "open-0"), linked, texts, idf, scratch)
+    left = scratch.save(inside.join(mixed, ["band", "value"]).select("band", "value", "n", "label", "id"), "left")
+    few = left.where(F.col("n") <= WIDE)
+    met = few.join(few.select("band", "value", F.col("label").alias("label_2"), F.col("id").alias("b")), ["band", "value"]).where("label <> label_2 and id > b")
+    open_ = met.select(F.col("id").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+    linked = linked.unionByName(scratch.save(_check(open_, sets), "linked-2"))
+    many = left.where(F.col("n") > WIDE).join(sets, "id")
+    tied = blocks.meet(many, ["band", "value"], ["set"], _tie, "id long, id_2 long")
+    linked = linked.unionByName(scratch.save(tied.select(F.col("id").alias("a"), F.col("id_2").alias("b")), "linked-3"))
     final = components(linked, scratch, "two")
-    heads = classes.select("key", F.col("id").alias("head"))
-    members = signed.select("id", "key").join(heads, "key")
-    # a doc_id of several texts ties their classes together
-    several = members.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a <> b")
-    if several.limit(1).count():
-        ties = members.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("head").alias("b"))
-        final = components(linked.select("a", "b").unionByName(ties), scratch, "three")
-    labelled = members.join(final.select(F.col("node").alias("head"), "label"), "head", "left")
-    return labelled.groupBy("id").agg(F.min(F.coalesce("label", "head")).alias("class_id")).withColumnRenamed("id", "doc_id")
+    labelled = members.join(heads, "key").join(final.select(F.col("node").alias("head"), "label"), "head", "left")
+    return labelled.select(F.col("id").alias("doc_id"), F.coalesce("label", "head").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` but those of documents that are in the class of one with a smaller doc_id; one row for a doc_id."""
+    """The rows of ``docs`` but those of documents that are in the class of one with a smaller doc_id; one row for a doc_id, that of the text with the least MD5."""
     classes = near_duplicates(docs, scratch).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("kept_id"))
-    kept = rows.where(F.col("kept_id").isNotNull()).join(classes, "kept_id", "left_semi").groupBy("kept_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("kept_id"), content_key().alias("kept_key"))
+    kept = rows.where(F.col("kept_id").isNotNull()).join(classes, "kept_id", "left_semi").groupBy("kept_id").agg(F.min_by("row", F.struct("kept_key", F.xxhash64("row"))).alias("row"))
     return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -1,6 +1,8 @@
 """Text operators against brute force on small tables, and their odd cases."""
 
 import collections
+import math
+import re
 from hashlib import md5, sha256
 
 import duckdb
@@ -8,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugeworks.llm import bpe_lexicon, line_dedup, names, quality_pu, shared, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
+from gaugeworks.llm import blocks, bpe_lexicon, line_dedup, names, quality_pu, shared, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
 from gaugeworks.llm.shared import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -122,8 +124,7 @@ def test_the_lexicon_is_a_minimal_automaton():
     assert len(lexicon.key) == 3 + 3 + 3  # one state after each letter: first, second, i, n, g
 
 
-def brute_classes(texts, pair_is_linked):
-    ids = sorted(texts)
+def brute_classes(ids, links):
     parent = {i: i for i in ids}
 
     def find(x):
@@ -131,20 +132,32 @@ def brute_classes(texts, pair_is_linked):
             x = parent[x]
         return x
 
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            if pair_is_linked(i, j):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
+    for i, j in links:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
 
 
+def brute_near(rows):
+    """Classes by exact counts of five-word tuples; nothing here is the module's."""
+    got = {r.doc_id: re.findall("[^\x00-\x20]+", r.text or "") for r in rows.collect()}
+    sets = {i: collections.Counter([tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []) for i, w in got.items()}
+    df = collections.Counter(x for s in sets.values() for x in s)
+    weight = {x: round(1024 * (1 + math.log((1 + len(got)) / (1 + n)))) for x, n in df.items()}
+    total = {i: sum(n * weight[x] for x, n in s.items()) for i, s in sets.items()}
+    where, both = collections.defaultdict(list), collections.Counter()
+    for i in sorted(sets):
+        for x, n in sets[i].items():
+            for j, m in where[x]:
+                both[i, j] += min(n, m) * weight[x]
+            where[x].append((i, n))
+    empty = [i for i, s in sets.items() if not s]
+    links = {(i, j) for (i, j), v in both.items() if v >= 0.8 * (total[i] + total[j] - v)} | {(i, empty[0]) for i in empty}
+    return brute_classes(got, links)
+
+
 def test_near_duplicates_are_brute_force(spark, docs, rows):
-    idf = weighted_minhash.inverse_frequencies(*weighted_minhash.document_frequencies(docs))
-    ids = sorted(rows)
-    s, w, at = weighted_minhash.weighted(pa.array([rows[i] for i in ids]), idf)
-    own = {i: (s[a:b], w[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True)}
-    want = brute_classes(rows, lambda i, j: weighted_minhash.similarity(*own[i], *own[j]) >= 0.8)
+    want = brute_near(docs)
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs, Scratch(spark)).collect()}
     assert got == want and len(set(want.values())) < len(want)
 
@@ -158,35 +171,34 @@ def edits_of(base, n, changes, seed):
         yield text
 
 
-def brute_near(rows):
-    idf = weighted_minhash.inverse_frequencies(*weighted_minhash.document_frequencies(rows))
-    got = sorted((r.doc_id, r.text) for r in rows.collect())
-    s, w, at = weighted_minhash.weighted(pa.array([t for _, t in got]), idf)
-    index = {i: k for k, (i, _) in enumerate(got)}
-    sets = [(s[at[k] : at[k + 1]], w[at[k] : at[k + 1]]) for k in range(len(got))]
-    return brute_classes(dict(got), lambda a, b: weighted_minhash.similarity(*sets[index[a]], *sets[index[b]]) >= weighted_minhash.LEAST)
+def among_others(spark, texts, n=2000):
+    """``texts`` with n short texts of other words, so that what the near copies share is not in every document."""
+    others = [(10_000 + k, f"o{k} p{k} q{k} r{k} s{k} t{k}") for k in range(n)]
+    return spark.createDataFrame([*texts, *others], "doc_id long, text string")
 
 
 def test_pairs_in_wide_cells_are_found(spark):
     base = [f"w{i}" for i in range(200)]
     texts = []
-    for k, text in enumerate(edits_of(base, 300, 4, 1)):  # about 0.67 to each other, so in one cell of most bands
-        texts += [text, next(edits_of(text, 1, 2, 1000 + k))] if k % 3 == 0 else [text]  # each third has a twin at about 0.9
-    rows = spark.createDataFrame([(i * 7919 % len(texts), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for k, text in enumerate(edits_of(base, 300, 2, 1)):  # about 0.7 to each other, so in one cell of most bands
+        texts += [text, next(edits_of(text, 1, 1, 1000 + k))] if k % 3 == 0 else [text]  # each third has a twin at about 0.9
+    rows = among_others(spark, [(i * 7919 % len(texts), " ".join(t)) for i, t in enumerate(texts)])
     want = brute_near(rows)
-    assert 250 < len(set(want.values())) < 330
+    assert 250 < len({c for c in want.values() if c < 10_000}) < 330
     assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
 
 
 def test_links_through_a_member_are_found(spark):
     """Near copies of one text that are not alike among themselves: all links go through it, and it is not the least doc_id."""
-    for n in (20, 300):
+    for n, block in ((20, 512), (300, 512), (300, 64)):
         base = [f"w{i}" for i in range(200)]
-        texts = [" ".join(base), *(" ".join(t) for t in edits_of(base, n, 4, n))]
-        rows = spark.createDataFrame([((i + n // 2) % (n + 1), t) for i, t in enumerate(texts)], "doc_id long, text string")
+        texts = [" ".join(base), *(" ".join(t) for t in edits_of(base, n, 2, n))]
+        rows = among_others(spark, [((i + n // 2) % (n + 1), t) for i, t in enumerate(texts)])
         want = brute_near(rows)
-        assert len(set(want.values())) < 5
-        assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
+        assert len({c for c in want.values() if c < 10_000}) < 5
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(blocks, "ROWS", block)
+            assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
 
 
 def test_near_duplicates_odd(spark, odd):
@@ -197,6 +209,20 @@ def test_near_duplicates_odd(spark, odd):
     assert weighted_minhash.keep_one(odd.where("doc_id > 99"), Scratch(spark)).count() == 0
 
 
+def test_products_are_similarities():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 2**48, 60).astype(np.uint64))
+    step = rng.integers(1, 9000, len(pool))
+    sets = []
+    for _ in range(25):
+        k = np.sort(rng.choice(len(pool), rng.integers(0, 40), replace=False))
+        sets.append((pool[k], rng.integers(1, 4, len(k)), step[k]))
+    one, two = np.arange(10), np.arange(10, 25)
+    want = [[weighted_minhash.similarity(a, n * v, b, m * w) for b, m, w in sets[10:]] for a, n, v in sets[:10]]
+    for most in (30, 1 << 20):
+        assert np.allclose(weighted_minhash.similarities(sets, one, two, most), want, atol=1e-9)
+
+
 def test_sampling_agrees_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**48, 4000).astype(np.uint64))
