@@ -111,13 +111,6 @@ def shingle_steps(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), answer), "steps")
 
 
-def _weighed(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles, counts, steps, each text's first) of a chunk with its answer."""
-    keys, times, starts = shingle_sets(batch.column("texts")[i].values)
-    steps = nm.numbers_of(batch.column("answer")[i].as_py(), "<u2")
-    return keys, times, steps[np.searchsorted(np.unique(keys), keys)], starts
-
-
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 1.0 if len(a) == len(b) else 0.0
@@ -144,14 +137,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _drawn["t"]
 
 
-def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS samples (32 bits each) of each text; those of a text without words are 0."""
-    r, inverse, log_c = _tables()
+def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """BANDS * ROWS samples (32 bits each) of each text; those of a text without words are 0. About ``most`` shingles at a time stay in the cache."""
     out = np.zeros((len(first) - 1, BANDS * ROWS), np.int32)
     full = np.flatnonzero(np.diff(first))
-    if not len(full):
-        return out
-    starts, log_w = first[:-1][full], np.log(weight).astype(np.float32)
+    at = 0
+    while at < len(full):
+        to = max(at + 1, int(np.searchsorted(first[1:][full], first[full[at]] + most, side="right")))
+        texts = full[at:to]
+        span = slice(first[texts[0]], first[texts[-1] + 1])
+        out[texts] = _draw(shingle[span], weight[span], first[texts] - first[texts[0]]).view(np.int32)
+        at = to
+    return out
+
+
+def _draw(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    r, inverse, log_c = _tables()
+    out = np.empty((len(starts), BANDS * ROWS), np.float32)
+    log_w = np.log(weight).astype(np.float32)
     low16, scale = U64(0xFFFF), np.float32(2.0**-32)
     base = mix(shingle.copy())
     for k in range(BANDS * ROWS):
@@ -161,10 +164,9 @@ def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.nd
         h ^= h >> U64(32)
         at = (h & low16).astype(np.int32)
         b = (h >> U64(32)).astype(np.float32) * scale
-        rr = r[at]
         t = np.floor(log_w * inverse[at] + b)
-        value = log_c[((h >> U64(16)) & low16).astype(np.int32)] - rr * (t - b + np.float32(1))
-        out[full, k] = np.minimum.reduceat(value, starts).view(np.int32)
+        value = log_c[((h >> U64(16)) & low16).astype(np.int32)] - r[at] * (t - b + np.float32(1))
+        out[:, k] = np.minimum.reduceat(value, starts)
     return out
 
 
@@ -177,23 +179,26 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(chunks: DataFrame, steps: DataFrame) -> DataFrame:
-    """(chunk, id, key, bands) of all documents."""
+def signatures(chunks: DataFrame, steps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(chunk, ids, keys, bands, texts, steps): each text's band keys, and the steps of its shingles in their order as 16-bit numbers."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, times, step, starts = _weighed(batch, i)
-                bands = band_keys(samples(keys, times * (step / 1024), starts))
-                ids = batch.column("ids")[i].values
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-                chunk = pa.array(np.full(len(ids), batch.column("chunk")[i].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([chunk, ids, batch.column("keys")[i].values, lists], ["chunk", "id", "key", "bands"])
+                keys, times, starts = shingle_sets(batch.column("texts")[i].values)
+                step = nm.numbers_of(batch.column("answer")[i].as_py(), "<u2")[np.searchsorted(np.unique(keys), keys)]
+                bands, n = band_keys(samples(keys, times * (step / 1024), starts)), len(starts) - 1
+                whole = pa.array([0, n], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
+                said = pa.array([step[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+                columns = [batch.column(c).slice(i, 1) for c in ("chunk", "ids", "keys")] + [pa.ListArray.from_arrays(whole, x) for x in (lists, said)] + [batch.column("texts").slice(i, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "keys", "bands", "steps", "texts"])
 
-    return chunks.join(steps.hint("shuffle_hash"), "chunk", "left").mapInArrow(run, "chunk long, id long, key string, bands array<long>")
+    both = chunks.join(steps.hint("shuffle_hash"), "chunk", "left")
+    return scratch.save(both.mapInArrow(run, "chunk long, ids array<long>, keys array<string>, bands array<array<long>>, steps array<binary>, texts array<string>"), "signed")
 
 
-def weighted_sets(chunks: DataFrame, steps: DataFrame, wanted: DataFrame) -> DataFrame:
+def weighted_sets(signed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, size, set) of ``wanted`` (chunk, id, key): the set is its shingles (48 bits, step below) and, after them, their counts."""
     lists = wanted.groupBy("chunk").agg(F.collect_set(F.struct("id", "key")).alias("wanted"))  # of one chunk, so bounded
 
@@ -201,16 +206,17 @@ def weighted_sets(chunks: DataFrame, steps: DataFrame, wanted: DataFrame) -> Dat
         for batch in batches:
             for i in range(batch.num_rows):
                 wants = {(w["id"], w["key"]) for w in batch.column("wanted")[i].as_py()}
-                own = list(zip(batch.column("ids")[i].as_py(), batch.column("keys")[i].as_py(), strict=True))
+                ids, keys = (batch.column(c)[i].as_py() for c in ("ids", "keys"))
                 # a text that a chunk holds twice under one id counts once
-                places = list({x: k for k, x in enumerate(own) if x in wants}.values())
-                keys, times, step, starts = _weighed(batch, i)
-                packed, times = (keys << U64(16)) | step.astype(U64), times.astype("<u4")
-                sets = [packed[starts[k] : starts[k + 1]].tobytes() + times[starts[k] : starts[k + 1]].tobytes() for k in places]
-                yield pa.RecordBatch.from_arrays([pa.array([own[k][0] for k in places], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "size", "set"])
+                places = pa.array(list({x: k for k, x in enumerate(zip(ids, keys, strict=True)) if x in wants}.values()), pa.int64())
+                own, times, starts = shingle_sets(batch.column("texts")[i].values.take(places))
+                step = np.frombuffer(b"".join(batch.column("steps")[i].values.take(places).to_pylist()), "<u2")
+                packed, times = (own << U64(16)) | step.astype(U64), times.astype("<u4")
+                sets = [packed[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values.take(places), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "size", "set"])
 
-    both = lists.join(chunks.hint("shuffle_hash"), "chunk").join(steps.hint("shuffle_hash"), "chunk", "left")
-    return both.select("ids", "keys", "texts", "answer", "wanted").mapInArrow(run, "id long, size long, set binary").dropDuplicates(["id"])
+    both = lists.join(signed.hint("shuffle_hash"), "chunk")
+    return both.select("ids", "keys", "texts", "steps", "wanted").mapInArrow(run, "id long, size long, set binary").dropDuplicates(["id"])
 
 
 def read_set(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,8 +289,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, class_id): a row for each doc_id; class_id is the least doc_id that its links reach."""
     chunks = make_chunks(docs, scratch)
     steps = shingle_steps(chunks, scratch)
-    signed = scratch.save(signatures(chunks, steps), "signed")
-    members = signed.groupBy("id").agg(F.min("key").alias("key"))
+    chunked = signatures(chunks, steps, scratch)
+    for name in ("chunks", "steps"):
+        scratch.drop(name)
+    signed = chunked.select("chunk", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("keys").alias("key"), "bands")).alias("x")).select("chunk", "x.*")
+    members = scratch.save(signed.groupBy("id").agg(F.min("key").alias("key")), "members")
     heads = scratch.save(members.groupBy("key").agg(F.min("id").alias("head")), "heads")
     own = signed.join(heads.select("key", F.col("head").alias("id")), ["id", "key"], "left_semi")
     banded = own.select("chunk", "id", "key", F.posexplode("bands").alias("band", "value"))
@@ -293,9 +302,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.save(banded.join(cells, ["band", "value"]), "shared")
     best = shared.where("id > low").groupBy("id", "low").agg(F.count_distinct("band").alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("low"))).alias("m"))
     first = scratch.save(best.select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b")), "first")
-    sets = scratch.save(weighted_sets(chunks, steps, shared.select("chunk", "id", "key").distinct()), "sets")
-    for name in ("chunks", "steps"):
-        scratch.drop(name)
+    sets = scratch.save(weighted_sets(chunked, shared.select("chunk", "id", "key").distinct()), "sets")
+    scratch.drop("signed")
     linked = scratch.save(_check(first, sets), "linked-1")
     labels = components(linked, scratch, "one")
     # what is left in a band: all of its documents, if they are of several components
