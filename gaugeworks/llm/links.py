@@ -38,9 +38,3 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-
-
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents whose id is in ``ids``; of rows that repeat a doc_id, the text that sorts first."""
-    wanted = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
-    return wanted.groupBy("id").agg(F.min("text").alias("text"))

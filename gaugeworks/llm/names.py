@@ -13,12 +13,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64
+from .shared import U64, Scratch, slices
 
-RANGE_NAMES = 3 << 20
+RANGE_NAMES, CHUNK = 3 << 20, 4 << 20
+
+
+def make_chunks(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """(chunk, and a list ``<column>s`` for each of ``columns``): ``rows`` as they are dealt, about CHUNK bytes of ``text`` in a row."""
+
+    def run(batches):
+        base, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in slices(batch, most=CHUNK):
+                whole = pa.array([0, part.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, part.column(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *lists], ["chunk", *(f"{c}s" for c in columns)])
+                n += 1
+
+    schema = ", ".join(["chunk long", *(f"{c}s array<{rows.schema[c].dataType.simpleString()}>" for c in columns)])
+    return scratch.save(rows.select(*columns).mapInArrow(run, schema), "chunks")
 
 
 def pack(names: np.ndarray, width: int) -> bytes:

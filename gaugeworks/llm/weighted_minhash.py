@@ -35,38 +35,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
 from . import names as nm
 from .links import components
-from .shared import U64, Scratch, buffers, content_key, mix, shingles, slices, table, text_of
+from .shared import U64, Scratch, buffers, content_key, mix, shingles, table, text_of
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 10, 3, 11
-CHUNK, BITS = 4 << 20, 48
+BITS = 48
 #: Cells of up to WIDE rows meet as pairs, wider ones block against block.
 WIDE = 32
 
 
-def make_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(chunk, ids, keys, texts): the documents as they are dealt, about CHUNK bytes of text in a row; ``keys`` are MD5s."""
-
-    def run(batches):
-        base, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for part in slices(batch, most=CHUNK):
-                whole = pa.array([0, part.num_rows], pa.int32())
-                lists = [pa.ListArray.from_arrays(whole, part.column(c)) for c in ("id", "key", "text")]
-                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *lists], ["chunk", "ids", "keys", "texts"])
-                n += 1
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), content_key().alias("key"), text_of().alias("text"))
-    return scratch.save(rows.mapInArrow(run, "chunk long, ids array<long>, keys array<string>, texts array<string>"), "chunks")
-
-
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different shingles of 48 bits, text after text and in order; how often each occurs; each text's first)."""
     hashes, at, _, _ = shingles(*buffers(texts), WIDTH)
@@ -287,7 +270,8 @@ def _tie(group: pa.Table, inside: bool) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, class_id): a row for each doc_id; class_id is the least doc_id that its links reach."""
-    chunks = make_chunks(docs, scratch)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), content_key().alias("key"), text_of().alias("text"))
+    chunks = nm.make_chunks(rows, ["id", "key", "text"], scratch)
     steps = shingle_steps(chunks, scratch)
     chunked = signatures(chunks, steps, scratch)
     for name in ("chunks", "steps"):

@@ -247,9 +247,9 @@ def test_passages_are_found(spark, docs, rows):
     got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs, Scratch(spark)).collect()}
     assert sorted(got) == sorted(rows)
     for v in shared_:
-        assert all(got[i].n_links >= 1 and got[i].n_repeated >= 50 for i in v) and len({got[i].class_id for i in v}) == 1
+        assert all(got[i].class_size > 1 and got[i].n_repeated >= 50 for i in v) and len({got[i].class_id for i in v}) == 1
     clean = set(rows) - set().union(*shared_)
-    assert sum(got[i].n_links > 0 for i in clean) <= 0.1 * len(clean)
+    assert sum(got[i].class_size > 1 for i in clean) <= 0.1 * len(clean)
 
 
 def test_each_place_of_a_passage_is_found():
@@ -286,7 +286,7 @@ def test_all_documents_of_a_group_are_linked(spark):
     tail = " ".join(f"t{i}" for i in range(55))
     rows += [(200 + k, f"u{k} " + " ".join(shared_) + f" v{k} {tail}") for k in range(2)]
     got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
-    assert {r.n_links for r in got.values()} == {len(rows) - 1} and {r.class_id for r in got.values()} == {0}
+    assert {r.class_size for r in got.values()} == {len(rows)} and {r.class_id for r in got.values()} == {0}
     hashes, at, _, _ = shared.shingles(*shared.buffers(pa.array([t for _, t in rows])), 5)
     own = {i: hashes[at[k] : at[k + 1]] for k, (i, _) in enumerate(rows)}
     for i, r in got.items():
@@ -301,7 +301,7 @@ def test_all_documents_of_a_group_are_linked(spark):
 
 
 def test_passages_odd(spark, odd):
-    got = {r.doc_id: (r.class_id, r.n_links > 0, r.n_later > 0) for r in substring_dedup.repeated_passages(odd, Scratch(spark)).collect()}
+    got = {r.doc_id: (r.class_id, r.class_size > 1, r.n_later > 0) for r in substring_dedup.repeated_passages(odd, Scratch(spark)).collect()}
     assert got[4] == (4, True, False) and got[5] == (4, True, True) and got[6] == (4, True, True)
     assert all(got[i] == (i, False, False) for i in (1, 2, 3, 7, 8, 9, 10)) and None not in got
     assert substring_dedup.repeated_passages(odd.where("doc_id > 99"), Scratch(spark)).count() == 0
