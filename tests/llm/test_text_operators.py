@@ -278,6 +278,53 @@ def test_each_place_of_a_passage_is_found():
     assert substring_dedup._runs(many, many, 100).tolist() == substring_dedup._runs(many, many).tolist()
 
 
+def test_what_is_not_promising_has_no_passages(monkeypatch):
+    rng, kept = np.random.default_rng(6), 0
+    for _ in range(300):
+        a = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+        b = a.copy()
+        for at in rng.integers(0, 115, rng.integers(1, 8)):
+            b[at : at + 5] = rng.integers(0, 1 << 62, 5)
+        fast = substring_dedup.passages(a, b)
+        with monkeypatch.context() as patch:
+            patch.setattr(substring_dedup, "promising", lambda *_: True)
+            assert substring_dedup.passages(a, b) == fast
+        kept += bool(fast)
+    assert 50 < kept < 290
+
+
+def test_links_behind_a_head_are_found(spark):
+    """Two documents share a passage; two with smaller ids hold only the shingles that are its least."""
+    words = [f"m{i}" for i in range(50)]
+    hashes, _, _, _ = shared.shingles(*shared.buffers(pa.array([" ".join(words)])), 5)
+    least = sorted({int(np.argmin(substring_dedup._function(hashes, k))) for k in range(substring_dedup.FUNCTIONS)})
+    other = lambda n: " ".join(" ".join([*(f"f{n}x{at}x{k}" for k in range(30)), *words[at : at + 5]]) for at in least) + " " + " ".join(f"g{n}x{k}" for k in range(40))
+    rows = [(1, other(1)), (2, " ".join(words)), (3, other(3)), (4, " ".join(words) + " and more")]
+    got = {r.doc_id: (r.class_id, r.n_repeated) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == {1: (1, 0), 2: (2, 50), 3: (3, 0), 4: (2, 50)}
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 90 words with up to four words changed, in texts that are otherwise strange to each other, and a line that all share: by brute force, 0.9 of the links between classes at least."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(60):
+        passage = [f"p{k}x{i}" for i in range(90)]
+        for copy in range(2):
+            for at in rng.choice(90, rng.integers(0, 5), replace=False):
+                passage[at] = f"e{k}x{copy}x{at}"
+            mine = [f"o{k}x{copy}x{i}" for i in range(80)]
+            rows.append((2 * k + copy, " ".join([*mine[:40], *passage, *(f"line{i}" for i in range(12)), *mine[40:]])))
+    for wide in (substring_dedup.WIDE, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "WIDE", wide)
+            got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+        hashes, at, _, _ = shared.shingles(*shared.buffers(pa.array([t for _, t in rows])), 5)
+        own = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        links = [(i, j) for i in range(len(rows)) for j in range(i) if substring_dedup.passages(own[i], own[j])]
+        assert len(links) > 40 and np.mean([got[i] == got[j] for i, j in links]) >= 0.9
+        assert all(got[i] in (i, i - 1) for i in got)
+
+
 def test_all_documents_of_a_group_are_linked(spark):
     """A passage in 30 texts, two of them alike beyond it and five exact copies of one: links are those of brute force."""
     shared_ = [f"p{i}" for i in range(60)]
