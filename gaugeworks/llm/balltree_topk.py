@@ -71,6 +71,7 @@ def visit(ids, matrix, query_ids, query_matrix, floors):
     exact = np.abs(matrix).max() * np.abs(query_matrix).max() * matrix.shape[1] < 2.0**52
     bounds = query_matrix @ tree.centre.T + np.sqrt((query_matrix**2).sum(1))[:, None] * tree.radius
     bounds += np.abs(bounds) * 1e-9 + 1e-6 * (1 + np.abs(query_matrix).max() * np.abs(matrix).max())
+    bounds[~np.isfinite(bounds)] = np.inf  # of numbers whose squares overflow: such nodes are always visited
     numbers, found, scores = [], [], []
     for n, (own, q, floor) in enumerate(zip(query_ids.tolist(), query_matrix, floors.tolist(), strict=True)):
         bound = bounds[n].tolist()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import free_name, text_of
 
 WINDOW = 3
 
@@ -50,7 +50,7 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` (and ``n_chars``, if there) after removal; plus n_lines and n_removed."""
+    """``docs`` with ``text`` (and ``n_chars``, if there) after removal; plus n_lines and n_removed (with an underscore where ``docs`` has such a column)."""
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("key"), F.split(text_of(), "\n", -1).alias("lines"))
     starts = repeated_windows(lines).groupBy("id", "key").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     joined = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("key")).join(starts, ["id", "key"], "left")
@@ -67,9 +67,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns = [
         text.alias(c) if c == "text" else F.when(F.col("starts").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(dict(docs.dtypes)[c])).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
         for c in docs.columns
-        if c not in ("n_lines", "n_removed")
     ]
-    return done.select(*columns, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"))
+    n_lines, n_removed = (free_name(c, docs.columns) for c in ("n_lines", "n_removed"))
+    return done.select(*columns, F.size("lines").cast("long").alias(n_lines), (F.size("lines") - F.size("kept")).cast("long").alias(n_removed))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

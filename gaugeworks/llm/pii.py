@@ -4,7 +4,8 @@ Four base kinds follow fixed rules and always stay (see ``BASE``); three more
 are proposed by expressions of their own, confirmed by ISO 7064 mod 97 where the
 format has check digits, and kept if their score reaches ``KEEP``. A score starts
 at the kind's prior, rises with a passed check and with a word of its kind within
-``NEAR`` characters before the span, and falls with a word that speaks against it.
+``NEAR`` characters before or after the span, and falls with a word that speaks
+against it. An IBAN has its country's length, in either case of letters.
 
 Every expression is linear in the text: runs are possessive, and an address is
 looked up from its at sign, so a long run of letters or digits costs one pass.
@@ -16,11 +17,14 @@ ends exclusive; rows are independent of each other and of other columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import table
 
@@ -35,7 +39,15 @@ _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_iban = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?= ?[A-Za-z0-9])")
+#: How many characters an IBAN of a country has.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _phone_local = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])")
 
@@ -102,8 +114,9 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def added_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _iban.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+        end = iban_end(text, m.start())
+        if end and mod97(text[m.start() : end].replace(" ", "").upper()):
+            yield "iban", m.start(), end
     if "-" in text:
         for m in _ssn.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
@@ -112,8 +125,25 @@ def added_spans(text: str) -> Iterator[tuple[str, int, int]]:
         yield "phone_local", *m.span()
 
 
-def score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - NEAR) : start]
+def iban_end(text: str, start: int) -> int:
+    """Where the characters of the country's length end, single spaces between them aside; 0 if they don't stand alone."""
+    left, at = IBAN_LENGTH.get(text[start : start + 2].upper(), 0), start
+    if not left:
+        return 0
+    while left:
+        c = text[at : at + 1]
+        if c == " " and text[at - 1] != " ":
+            at += 1
+        elif c.isascii() and c.isalnum():
+            at, left = at + 1, left - 1
+        else:
+            return 0
+    after = text[at : at + 1]
+    return 0 if after.isascii() and after.isalnum() else at
+
+
+def score(text: str, kind: str, start: int, end: int) -> float:
+    near = text[max(0, start - NEAR) : start] + "\n" + text[end : end + NEAR]
     value = PRIOR[kind] + CHECKED.get(kind, 0) + 0.2 * bool(FOR[kind].search(near)) - 0.2 * bool(AGAINST.search(near))
     return round(min(1.0, max(0.0, value)), 3)
 
@@ -122,11 +152,13 @@ def find(text: str | None) -> list[tuple[int, int, int, str, float]]:
     """(start, place of the kind, end, kind, score) of all spans, in that order."""
     if not text:
         return []
-    out = [(a, ORDER[k], b, k, score(text, k, a)) for k, a, b in base_spans(text)]
+    out = [(a, ORDER[k], b, k, score(text, k, a, b)) for k, a, b in base_spans(text)]
     taken = sorted((a, b) for a, _, b, _, _ in out)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for k, a, b in added_spans(text):
-        s = score(text, k, a)
-        if s >= KEEP and not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)  # of the spans that begin before this one's end, the largest end
+        s = score(text, k, a, b)
+        if s >= KEEP and not (before and ends[before - 1] > a):
             out.append((a, ORDER[k], b, k, s))
     return sorted(out)
 
@@ -172,4 +204,6 @@ def find_pii(docs: DataFrame, redacted: bool = False) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents")).drop("found")
+    """The contract's columns, and ``scores``: those of all spans, in their order."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.withColumn("scores", F.array_join(F.transform("found", lambda f: F.format_string("%.3f", f["score"])), ",")).drop("found")

@@ -18,8 +18,8 @@ Scoring covers every whole text of the table.
 Defined cases: a null text is an empty one and gets the network's score for it;
 labels that contradict each other for one doc_id, or are null, count as none;
 with no positives or no unlabelled text to learn from, every score is the prior
-(1 if there are no marks); rows without doc_id are scored and never learned
-from; other columns, whatever their names, are not read.
+(1 if there are no marks); of rows that repeat a doc_id, the text that sorts first
+is learned from; rows without doc_id are scored and never learned from; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, slices, span_hash, table, prefix_hash, words
+from .shared import buffers, prefix_hash, slices, span_hash, table, text_of, words
 
 POSITIVES, UNLABELLED, MARKED = 6_000, 12_000, 6_000
 HELD_OUT_OF, CUT = 5, 0.3
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     )
     rows = picked.collect()  # bounded by the three numbers
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.part) for r in rows], f"id {docs.schema['doc_id'].dataType.simpleString()}, part int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", "part").agg(F.min(text_of()).alias("text"))
 
     def compute(batches):
         for batch in batches:
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
                 got = features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array([r.tobytes() for r in got], pa.binary())], ["doc_id", "part", "features"])
 
-    got = texts.select("doc_id", "part", "text").mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, features binary").dropDuplicates(["doc_id"]).collect()
+    got = texts.select("doc_id", "part", "text").mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, features binary").collect()
     got.sort(key=lambda r: str(r.doc_id))
     model = Network(prior)
     if not got:

@@ -8,7 +8,7 @@ ordered by another seeded hash, which shuffles the whole corpus.
 Defined cases: a null source is a source of its own; a null doc_id hashes as an
 empty one; rows that repeat a doc_id get equal counts; a source whose weight is
 0 or that ``targets`` omits vanishes; an empty table gives an empty one; further
-columns pass through.
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Copies of the small table of rates, so that a hot source's documents spread over as many keys.
-SALTS = 64
+from .shared import free_name
+
+#: Rates of up to so many sources (4 KB each at most) are broadcast, after a count; beyond it they are joined
+#: under so many salts, so that a hot source's documents spread over as many keys.
+FEW_SOURCES, SALTS = 2_000, 64
 #: A larger rate is drawn as several independent parts: exp(-rate) must not vanish.
 LARGEST_PART = 256.0
 BITS = 52
@@ -49,11 +52,15 @@ def rates(docs: DataFrame, targets: dict[str | None, float] | None = None, expan
 
 
 def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, *, expansion: float = 1.0, power: float = 0.5, seed: int = 20240) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, in a shuffled order; plus ``replica`` (from 1) and ``shuffle_key``."""
-    table = rates(docs, targets, expansion, power).select(F.col("source").alias("rate_source"), "parts", "cdf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """The rows of ``docs``, each as often as drawn, in a shuffled order; plus ``replica`` (from 1) and ``shuffle_key`` (with an underscore where ``docs`` has such a column)."""
+    table = rates(docs, targets, expansion, power).select(F.col("source").alias("rate_source"), "parts", "cdf")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("source").alias("by"))
-    rows = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    drawn = rows.join(table, F.col("by").eqNullSafe(F.col("rate_source")) & (rows["salt"] == table["salt"]))
+    same = F.col("by").eqNullSafe(F.col("rate_source"))
+    if docs.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        drawn = rows.join(F.broadcast(table), same)
+    else:
+        table = table.withColumn("salt_2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(table, same & (F.col("salt") == F.col("salt_2")))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0),
         lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= uniform(seed, F.lit("n"), "id", j.cast("string")))),
@@ -63,7 +70,7 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     copies = drawn.where("copies > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("replica"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("s"), "id", F.col("replica").cast("string"))))
     dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("replica", "shuffle_key")], "replica", "shuffle_key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns], *(F.col(c).alias(free_name(c, docs.columns)) for c in ("replica", "shuffle_key")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

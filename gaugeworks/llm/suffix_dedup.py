@@ -227,17 +227,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS i FROM d),
-w AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(x, 2 * i + 1, 100)) < doc_id AS hit
-      FROM p WHERE 2 * i + 100 <= len(x)),
-m AS (SELECT p.doc_id AS doc_id, p.i AS i, substr(p.x, 2 * p.i + 1, 2) AS b,
-      coalesce(max(w.hit::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
-      FROM p LEFT JOIN w ON p.doc_id = w.doc_id AND p.i = w.i),
-s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM m),
-g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (begins) AS n_spans,
-      coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM s GROUP BY doc_id)
-SELECT d.doc_id AS doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, x[i + 1 : i + 50] AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS head FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id AS doc_id, w.i AS i FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.head),
+b AS (SELECT doc_id, i, coalesce(i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i), true)::INT AS begins FROM h),
+r AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run),
+l AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM g GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN l.a IS NULL THEN sha256(x)
+            ELSE sha256(unhex(array_to_string(list_transform(range(0, len(l.a) + 1), lambda k: hex(x[coalesce(l.z[k], 0) + 1 : coalesce(l.a[k + 1], n)])), ''))) END AS kept_sha256
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id
 """

@@ -41,6 +41,8 @@ def test_checks_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
     kinds = lambda t: [x[3] for x in pii.find(t)]
     assert kinds("iban GB82 WEST 1234 5698 7654 32.") == ["iban"]
+    assert kinds("iban GB82 WEST 1234 5698 7654 32 OK") == kinds("gb82west12345698765432 bank") == ["iban"] and kinds("iban GB82 WEST 1234 5698 7654 321") == []
+    assert kinds("555-123-4567 is my phone") == ["phone_local"]
     assert kinds("call 555-123-4567") == ["phone_local"] and kinds("xx 555-123-4567") == []
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("123-45-6789") == []
 
@@ -57,3 +59,14 @@ def test_rows(spark):
     ]
     assert out[3].base_sha256 == sha256(b"").hexdigest()
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_querys_columns_are_those_of_the_plain_expressions(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.query(spark, sf).collect():
+        want = plain(texts[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert r.base_sha256 == sha256(said.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in want) for k in PLAIN]
+        assert set(said.split(",")) <= set(r.spans.split(",")) and r.spans.count(":") == 2 * len([x for x in r.scores.split(",") if x])

@@ -53,14 +53,18 @@ def test_sql_gives_the_same(spark, module):
 def test_lines_odd(odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns[:5] == odd.columns[:5]
-    got = [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.collect() if r.doc_id in (1, 2, 3, 7, 8) or r.doc_id is None]
+    assert {r.n_removed for r in out.collect()} == {7}
+    got = [(r.doc_id, r.n_lines, r.n_removed_, r.text) for r in out.collect() if r.doc_id in (1, 2, 3, 7, 8) or r.doc_id is None]
     assert sorted(got, key=str) == sorted([(1, 1, 0, "a b"), (1, 1, 0, "a b"), (2, 1, 0, None), (3, 1, 0, ""), (7, 4, 0, "l1\nl2\nl3\nl4"), (8, 5, 3, "q\nr"), (None, 1, 0, "x y z")], key=str)
     assert line_dedup.dedup_lines(odd.where("doc_id > 99")).count() == 0
 
 
 def test_mixing_odd(odd):
     out = source_mixing.mix_sources(odd, expansion=3.0)
-    assert set(odd.columns) <= set(out.columns) and out.where("replica < 1").count() == 0
+    assert out.columns == [*odd.columns, "replica_", "shuffle_key"] and out.where("replica <> 7 or replica_ < 1").count() == 0
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(source_mixing, "FEW_SOURCES", 0)
+        assert sorted(map(str, source_mixing.mix_sources(odd, expansion=3.0).collect())) == sorted(map(str, out.collect()))
     assert source_mixing.mix_sources(odd.where("doc_id > 99")).count() == 0
     assert source_mixing.mix_sources(odd, {"s": 1.0}).where("source is null").count() == 0
     big = source_mixing.mix_sources(odd.where("doc_id = 9"), {"s": 1.0, None: 1.0}, expansion=2000.0)
