@@ -101,20 +101,28 @@ def sign_test(gains: DataFrame, gain: str) -> DataFrame:
     mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")
     each = all_.withColumn("observed", mean).withColumn("m", F.explode(F.expr("sequence(0, shiftleft(1, size(d)) - 1)")))
     signed = F.expr("aggregate(transform(d, (x, i) -> if(bit_get(cast(m as bigint), i) = 1, x, -x)), 0.0D, (a, x) -> a + x) / size(d)")
-    return each.withColumn("s", signed).groupBy(F.size("d").alias("groups"), F.col("observed").alias("mean_gain")).agg(F.avg((F.col("s") >= F.col("observed") - 1e-12).cast("int")).alias("probability"))
+    return each.withColumn("s", signed).groupBy(F.size("d").alias("groups"), F.col("observed").alias("mean_gain")).agg(F.avg((F.col("s") >= F.col("observed") - 1e-9).cast("int")).alias("probability"))
+
+
+#: Pairs that one task resamples; draws are taken a few million values at a time.
+MOST_RESAMPLED = 2_000_000
 
 
 def bootstrap_interval(pairs: DataFrame, first: str, second: str, order: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """(low, high): the 2.5 and 97.5 % quantiles of means of resampled differences, by NumPy's generator.
 
-    Evaluation sets are held-out samples of bounded size, so they meet in one group.
+    Evaluation sets are held-out samples, so they meet in one group, of MOST_RESAMPLED pairs at most.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("o")
         if not len(frame):
             return pd.DataFrame({"low": [], "high": []})
-        means = np.random.default_rng(seed).choice(frame["d"].to_numpy(), size=(draws, len(frame)), replace=True).mean(axis=1)
+        if len(frame) > MOST_RESAMPLED:
+            raise ValueError(f"more than {MOST_RESAMPLED} pairs to resample in one place")
+        # the generator's stream is the same however many draws a call takes
+        values, rng, step = frame["d"].to_numpy(), np.random.default_rng(seed), max(1, (1 << 22) // len(frame))
+        means = np.concatenate([rng.choice(values, size=(min(step, draws - at), len(values)), replace=True).mean(axis=1) for at in range(0, draws, step)])
         low, high = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame({"low": [low], "high": [high]})
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.session import checkpoint_folder
+from .graph import components
 
 
 def members_of(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
@@ -49,16 +49,18 @@ def unused_after_release(all_rows: DataFrame, opened: DataFrame, key: str, expec
 
 
 def peers(df: DataFrame, model: str, component: str, device: str, health: str) -> DataFrame:
-    """For each row the upper median of its model's same component on all devices, how many share it, and the share above and below.
+    """For each row the upper median of its model's same component on all devices, how many share it, and the share below.
 
-    A window over (model, component) instead of a self join.
+    Healths are counted first, each task for itself, and ranked as values: a group
+    is as large as the number of different healths, whatever a model's devices.
     """
-    w = Window.partitionBy(model, component)
-    rank, n = F.row_number().over(w.orderBy(health, device)), F.count(F.lit(1)).over(w)
-    ranked = df.withColumn("_n", rank).withColumn("peers", n)
-    middle = F.max(F.when(F.col("_n") == F.floor(F.col("peers") / 2) + 1, F.col(health))).over(w)
-    below = F.rank().over(w.orderBy(health)) - 1
-    return ranked.withColumn("peer_median", middle).withColumn("share_below", F.try_divide(below, F.col("peers") - 1)).drop("_n")
+    keys, group = [model, component, health], Window.partitionBy(model, component)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counts.withColumn("_upto", F.sum("_n").over(group.orderBy(health))).withColumn("peers", F.sum("_n").over(group))
+    middle = F.min(F.when(F.col("_upto") >= F.floor(F.col("peers") / 2) + 1, F.col(health))).over(group)
+    known = ranked.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "peers", middle.alias("peer_median"), F.try_divide(F.col("_upto") - F.col("_n"), F.col("peers") - 1).alias("share_below"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    return df.join(known, same[0] & same[1] & same[2]).drop("_0", "_1", "_2")
 
 
 def association(findings: DataFrame, members: str, finding: str) -> DataFrame:
@@ -76,28 +78,16 @@ def merge_disks(listed: DataFrame, scanned: DataFrame, serial: str = "serial", p
     return first.join(free, F.col(place) == F.col("_p"), "left").withColumn("scan", F.coalesce("scan", "scan2")).drop("_s", "_p", "scan2")
 
 
-def connected_groups(edges: DataFrame, left: str, right: str, most: int = 64) -> DataFrame:
+def connected_groups(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(left, group): components of a bipartite graph; a group's name is the SHA-256 of its right ends, sorted and joined by a bar.
 
-    Labels are the least right end that a device reaches. Each round takes minima
-    over both kinds of ends and follows labels once more, so a chain of n halves
-    its distance; the state is checkpointed to the shared folder each round.
+    The name is what a release states, and it needs a component's right ends in one
+    row; the closure itself (``graph.components``) gathers nothing.
     """
-    checkpoint_folder(edges.sparkSession)
-    pairs = edges.select(F.col(left).cast("string").alias("d"), F.col(right).cast("string").alias("h")).distinct().checkpoint()
-    labels = pairs.groupBy("d").agg(F.min("h").alias("label")).checkpoint()
-    for _ in range(most):
-        hosts = pairs.join(labels, "d").groupBy("h").agg(F.min("label").alias("label"))
-        step = pairs.join(hosts, "h").groupBy("d").agg(F.min("label").alias("label"))
-        jumped = step.join(hosts.select(F.col("h").alias("label"), F.col("label").alias("next")), "label", "left").select("d", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "d").where("label <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
-    else:
-        raise ValueError("components did not settle")
-    ends = pairs.join(labels, "d").select("label", "h").distinct().groupBy("label").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "|"), 256).alias("group"))
-    return labels.join(ends, "label").select(F.col("d").alias(left), "group")
+    pairs = edges.select(F.concat(F.lit("d"), F.col(left).cast("string")).alias("d"), F.concat(F.lit("h"), F.col(right).cast("string")).alias("h")).where("d is not null and h is not null").distinct()
+    labels = components(pairs, "d", "h")
+    ends = labels.where("node like 'h%'").groupBy("label").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.expr("substring(node, 2)"))), "|"), 256).alias("group"))
+    return labels.where("node like 'd%'").join(ends, "label").select(F.expr("substring(node, 2)").alias(left), "group")
 
 
 def union_of_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:

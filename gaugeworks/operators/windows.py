@@ -8,6 +8,8 @@ calendar less the row's rank is constant as long as no step is missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,20 +174,30 @@ def trajectory(df: DataFrame, by: str, time: str, health: str) -> DataFrame:
     """Adds ``points``, ``span_days``, ``slope``, ``accelerating``, of all rows up to each one.
 
     The slope is over the last ten; a decline accelerates if the later half falls
-    by more than 1 a day and by more than 1.5 times the earlier half.
+    by more than 1 a day and by more than 1.5 times the earlier half. The halves'
+    slopes come from running sums: those at the place in the middle, joined to
+    each row, are the earlier half's, and what is beyond them the later half's.
+    Slopes are rounded to nine digits, so that thresholds don't hang on the order
+    of sums.
     """
-    upto = Window.partitionBy(by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(by).orderBy(time, health)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     days = F.unix_micros(F.col(time).cast("timestamp")) / float(DAY_US)
-    base = df.withColumn("_x", days - F.first(days).over(upto))
-    seen = base.withColumn("_p", F.collect_list(F.struct(F.col("_x").alias("x"), F.col(health).cast("double").alias("y"))).over(upto))
-    n = F.size("_p")
-    half = F.floor(n / 2).cast("int")
-    early, late = slope(F.slice("_p", F.lit(1), half + 1)), slope(F.slice("_p", half + 1, n - half))
-    known = (n >= 3) & (F.col("_x") >= 0.5)
-    recent = F.slice("_p", F.greatest(n - 9, F.lit(1)), F.least(n, F.lit(10)))
+    x, y = F.col("_x"), F.col(health).cast("double")
+    base = df.withColumn("_x", days - F.first(days).over(upto)).withColumn("points", F.row_number().over(order))
+    base = base.withColumns({"_s": F.struct(*(F.sum(v).over(upto).alias(k) for k, v in (("n", F.lit(1.0)), ("x", x), ("y", y), ("xx", x * x), ("xy", x * y)))), "_recent": F.regr_slope(y, x).over(order.rowsBetween(-9, 0))})
+    middle = base.select(F.col(by).alias("_by"), F.col("points").alias("_k"), F.col("_s").alias("_half"), F.lead("_s").over(order).alias("_next"))
+    seen = base.join(middle, F.col(by).eqNullSafe(F.col("_by")) & (F.floor(F.col("points") / 2) == F.col("_k")), "left")
+
+    def fitted(s: Callable[[str], Column]) -> Column:
+        spread = s("n") * s("xx") - s("x") * s("x")
+        return F.round(F.when(spread > 1e-9, (s("n") * s("xy") - s("x") * s("y")) / spread).otherwise(0.0), 9)
+
+    early, late = fitted(lambda k: F.col("_next")[k]), fitted(lambda k: F.col("_s")[k] - F.col("_half")[k])
+    n, known = F.col("points"), (F.col("points") >= 3) & (F.col("_x") >= 0.5)
     return (
-        seen.withColumn("points", n).withColumn("span_days", F.when(n >= 3, F.col("_x")).otherwise(0.0)).withColumn("slope", F.when(known, slope(recent)).otherwise(0.0))
-        .withColumn("accelerating", known & (late < -1.0) & (late < 1.5 * F.least(early, F.lit(-0.3)))).drop("_x", "_p")
+        seen.withColumn("span_days", F.when(n >= 3, F.col("_x")).otherwise(0.0)).withColumn("slope", F.when(known, F.coalesce(F.round("_recent", 9), F.lit(0.0))).otherwise(0.0))
+        .withColumn("accelerating", F.coalesce(known & (late < -1.0) & (late < 1.5 * F.least(early, F.lit(-0.3))), F.lit(False))).drop("_x", "_s", "_recent", "_by", "_k", "_half", "_next")
     )
 
 

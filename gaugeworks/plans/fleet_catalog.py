@@ -1,4 +1,4 @@
-"""Queries over telemetry runs: the synthetic fleet scored, replayed and asked. Its facts have no shared table, so no SQL states them; the tests hold them to literal expectations."""
+"""Queries over telemetry runs: the synthetic fleet scored, replayed and asked. Its facts have no shared table, so no SQL states them; ``tests/test_fleet.py`` holds them to expectations worked out apart."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def _analysis(spark: SparkSession) -> DataFrame:
 @query()
 def fleet_components(spark, sf):
     now = fleet.ranked(fleet.latest(_analysis(spark)))
-    return now.select("device", "component", "health", "status", "stage", "trend", F.round("slope", 3).alias("slope"), "accelerating", F.round("risk_7d", 4).alias("risk_7d"), "priority_score", "priority_rank", "recommended", "confidence", "signal", "summary", "action")
+    return now.select("device", "component", "health", "status", "stage", "trend", F.round("slope", 3).alias("slope"), "accelerating", F.round("risk_7d", 4).alias("risk_7d"), "priority_score", "priority_rank", "recommended", "confidence", "signal", "facts", "action")
 
 
 @query()
@@ -66,5 +66,5 @@ def fleet_links(spark, sf):
     a = _analysis(spark)
     days = fleet.timeline(a, F.lit(NOW).cast("timestamp"))
     base = windows.baseline(days.where("day <= 0"), "device", "day", "h")
-    places = fleet.latest(a).select("device", "site", "rack").distinct()
-    return fleet.links(days, places, base)
+    places = fleet.latest(a).select("device", "site", "rack", "slot").distinct()
+    return fleet.links(days, places, base).withColumn("members", F.array_join("members", ","))

@@ -61,7 +61,6 @@ def _two(a: str, b: str, band: float = 1.0) -> tuple[Channel, ...]:
     return Channel(a, band), Channel(b, band)
 
 
-_QUARTER = splits(("2020-01-01", "2022-01-01"), ("2022-01-01", "2022-04-01"), ("2022-04-01", "2022-07-01"), ("2022-07-01", "2022-10-01"))
 _CLUSTER = splits(("2020-01-01", "2020-02-01"), ("2020-08-01", "2020-09-01"), ("2020-08-01", "2020-09-01"), ("2021-02-01", "2021-03-01"))
 _MINUTES = 60_000_000
 
@@ -73,13 +72,15 @@ STUDIES = {
               splits(("2013-01-01", "2024-12-31"), ("2025-01-01", "2025-09-30"), ("2025-01-01", "2025-09-30"), ("2025-10-01", "2026-03-31")), cadence_text="daily observations"),
         Study("ssd", "ssd:", (Channel("temperature"), Channel("power_on_hours", counter=True)), DAY_US,
               splits(("2019-01-01", "2025-01-01"), ("2025-01-01", "2025-10-01"), ("2025-01-01", "2025-10-01"), ("2025-10-01", "2026-04-02"))),
-        Study("nvme", "nvme:", (Channel("temperature"), Channel("media_errors", counter=True), Channel("power_on_hours", counter=True), Channel("percentage_used", counter=True)), DAY_US, _QUARTER, stride=7),
+        Study("nvme", "nvme:", (Channel("temperature"), Channel("media_errors", counter=True), Channel("power_on_hours", counter=True), Channel("percentage_used", counter=True)), DAY_US,
+              splits(("2020-01-01", "2022-01-01"), ("2022-01-01", "2022-04-01"), ("2022-04-01", "2022-07-01"), ("2022-07-01", "2022-10-02")), stride=7),
         Study("dram", "dram:", _two("read_error_logs", "scrub_error_logs"), DAY_US,
               splits(("2024-01-01", "2024-06-01"), ("2024-06-01", "2024-08-01"), ("2024-06-01", "2024-08-01"), ("2024-08-01", "2024-10-01")), stride=7),
         Study("cpu", "cpu:", _two("power", "core_temperature"), 10_000_000, _CLUSTER),
         Study("gpu", "gpu:", (Channel("power"), Channel("core_temperature"), Channel("memory_temperature")), 10_000_000, _CLUSTER),
         Study("server", "server:", _two("supply_0_input_power", "supply_1_input_power"), 10_000_000, _CLUSTER),
-        Study("fan", "fan:", _two("rotor_0_speed", "rotor_1_speed"), 15 * _MINUTES, _QUARTER),
+        Study("fan", "fan:", _two("rotor_0_speed", "rotor_1_speed"), 15 * _MINUTES,
+              splits(("2020-03-01", "2022-01-01"), ("2022-01-01", "2022-04-01"), ("2022-04-01", "2022-07-01"), ("2022-07-01", "2022-10-01"))),
         Study("valve", "valve:", (Channel("motor_position"), Channel("device_temperature"), Channel("temperature_setpoint")), 10 * _MINUTES,
               splits(("2024-11-25", "2025-03-01"), ("2025-03-01", "2025-05-01"), ("2025-05-01", "2025-07-01"), ("2025-07-01", "2025-11-26"))),
         Study("sound", "sound:", _two("low_band_rms", "high_band_rms", 1e-6), 32_000, splits(*[("1970-01-01", "1970-01-01T00:00:11")] * 4)),
