@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 ROWS, BYTES = 512, 8 << 20
 
 
-def meet(rows: DataFrame, cell: list[str], payload: list[str], compare: Callable[[pa.Table, bool], pa.Table], schema: str) -> DataFrame:
-    """What ``compare`` gives for all blocks of ``rows`` (cell, label, id, size, payload) that meet: each two blocks of a cell, and each block inside.
+def deal(rows: DataFrame, cell: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` (cell, id, label, size, columns) once for each two blocks of its cell that a row is to meet in: with x and y, the blocks, side and inside.
 
-    ``compare`` takes the rows of both blocks, ``side`` telling them apart, and
-    whether they are one block. A label that fills blocks has blocks of its own,
-    and those don't meet each other: what one label ties together needs no check.
+    ``size`` is what a row's payload will have in bytes; the payload itself comes
+    after this, so that it is shuffled once. A label that fills blocks has blocks
+    of its own, and those don't meet each other: what one label ties together
+    needs no check.
     """
-    few = ["id", "label", "size", *payload]
+    few = ["id", "label", *columns]
     sizes = rows.groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("of_label"))
     many = rows.join(sizes, [*cell, "label"]).withColumn("own", F.col("of_label") >= ROWS).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(0)).drop("of_label")
     parts = many.groupBy(*cell, "own", "of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROWS, F.sum("size") / BYTES)).alias("parts"))
@@ -30,4 +31,10 @@ def meet(rows: DataFrame, cell: list[str], payload: list[str], compare: Callable
     twos = blocks.join(other, cell).where((F.col("x") <= F.col("y")) & ~alike).drop("low", "high", "low_2", "high_2")
     left = many.join(twos, [*cell, "x"]).select(*cell, "x", "y", *few, F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("inside"))
     right = many.withColumnRenamed("x", "y").join(twos.where("x < y"), [*cell, "y"]).select(*cell, "x", "y", *few, F.lit(1).alias("side"), F.lit(False).alias("inside"))
-    return left.unionByName(right).groupBy(*cell, "x", "y").applyInArrow(lambda t: compare(t, t.column("inside")[0].as_py()), schema)
+    # two blocks of one cell are one number
+    return left.unionByName(right).withColumn("meeting", F.xxhash64(*cell, "x", "y")).drop("x", "y")
+
+
+def meet(dealt: DataFrame, cell: list[str], compare: Callable[[pa.Table, bool], pa.Table], schema: str) -> DataFrame:
+    """What ``compare`` gives for all two blocks that meet, and for each block inside. It takes the rows of both, ``side`` telling them apart, and whether they are one block."""
+    return dealt.groupBy(*cell, "meeting").applyInArrow(lambda t: compare(t, t.column("inside")[0].as_py()), schema)

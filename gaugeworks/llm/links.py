@@ -1,4 +1,4 @@
-"""Connected components of links, and texts brought to both ends of pairs."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
@@ -31,10 +31,3 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         now = scratch.save(small, f"{name}-{round_}")
         scratch.drop(f"{name}-{round_ - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with text_a and text_b from ``texts`` (id, text)."""
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")

@@ -298,8 +298,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     met = few.join(few.select("band", "value", F.col("label").alias("label_2"), F.col("id").alias("b")), ["band", "value"]).where("label <> label_2 and id > b")
     open_ = met.select(F.col("id").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
     linked = linked.unionByName(scratch.save(_check(open_, sets), "linked-2"))
-    many = left.where(F.col("n") > WIDE).join(sets, "id")
-    tied = blocks.meet(many, ["band", "value"], ["set"], _tie, "id long, id_2 long")
+    many = left.where(F.col("n") > WIDE).join(sets.select("id", "size"), "id")
+    dealt = blocks.deal(many, ["band", "value"], []).join(sets.select("id", "set").hint("merge"), "id")
+    tied = blocks.meet(dealt, ["band", "value"], _tie, "id long, id_2 long")
     linked = linked.unionByName(scratch.save(tied.select(F.col("id").alias("a"), F.col("id_2").alias("b")), "linked-3"))
     final = components(linked, scratch, "two")
     labelled = members.join(heads, "key").join(final.select(F.col("node").alias("head"), "label"), "head", "left")
