@@ -100,7 +100,7 @@ def ask(rows: DataFrame, answer: Answer) -> DataFrame:
 
 
 def met(names: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, group): the places of names that occur more than once, name by name, in the order they were sent; equal names have one group number."""
+    """(places, group): the places of names whose first bits occur more than once, name by name, in the order they were sent; names that are equal in all bytes have one group number."""
     order = np.argsort(names, kind="stable")
     same = names[order][1:] == names[order][:-1]
     twice = np.zeros(len(order), bool)

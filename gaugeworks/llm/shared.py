@@ -117,18 +117,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n at least."""
-    if len(_tables.get("up", ())) < n:
+def powers(n: int, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """C**i and C**-i modulo 2**64 for i < n at least, where C is B**times."""
+    up, down = f"up{times}", f"down{times}"
+    if len(_tables.get(up, ())) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
+        for key, base in ((up, pow(_BASE, times, 1 << 64)), (down, pow(_BASE_INV, times, 1 << 64))):
             out = np.empty(size, U64)
             out[0], done, step = 1, 1, base
             while done < size:
                 out[done : 2 * done] = out[:done] * U64(step)
                 done, step = 2 * done, step * step % (1 << 64)
             _tables[key] = out
-    return _tables["up"], _tables["down"]
+    return _tables[up], _tables[down]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -145,13 +146,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def second_hash(data: np.ndarray, start: np.ndarray, length: int, width: int) -> np.ndarray:
-    """``width`` bytes (up to 8) of a hash of the spans that is independent of ``span_hash``, a row each."""
-    prefix = np.zeros(len(data) + 1, U64)
-    up, down = powers(len(data) + 1)
+    """``width`` bytes (up to 8) of a hash of the spans that is independent of ``span_hash``, as a number each."""
+    up, down = powers(len(data) + 1, 3)
     # other numbers stand for the bytes and other powers for the places
-    np.cumsum(mix(data.astype(U64) + U64(0x632BE59BD9B4E019)) * up[: len(data)] ** U64(3), out=prefix[1:])
-    value = mix((prefix[start + length] - prefix[start]) * down[start] ** U64(3) + U64(0xD6E8FEB86659FD93))
-    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    stands = mix(np.arange(256, dtype=U64) + U64(0x632BE59BD9B4E019))
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum(stands[data] * up[: len(data)], out=prefix[1:])
+    return mix((prefix[start + length] - prefix[start]) * down[start]) >> U64(64 - 8 * width)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -70,15 +70,17 @@ class Chunk:
         order = np.argsort(names, kind="stable")
         extra = second_hash(self.data, places, length, (bits - 57) // 8) if bits > 64 else None
         if extra is not None:
-            same = names[order][1:] == names[order][:-1]
-            if (extra[order][1:][same] != extra[order][:-1][same]).any():
-                order = np.lexsort((*extra.T, names))
-        fresh = np.ones(len(names), bool)
-        fresh[1:] = names[order][1:] != names[order][:-1]
+            ordered = names[order]
+            same = np.flatnonzero(ordered[1:] == ordered[:-1])
+            if (extra[order[same + 1]] != extra[order[same]]).any():
+                order = np.lexsort((extra, names))
+        ordered, fresh = names[order], np.ones(len(names), bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
         if extra is not None:
-            fresh[1:] |= (extra[order][1:] != extra[order][:-1]).any(axis=1)
-            extra = extra[order][fresh]
-        return order, fresh, names[order][fresh], extra
+            same = np.flatnonzero(~fresh)
+            fresh[same] = extra[order[same]] != extra[order[same - 1]]
+            extra = extra[order[fresh]].view(np.uint8).reshape(-1, 8)[:, : (bits - 57) // 8]
+        return order, fresh, ordered[fresh], extra
 
     def sampled(self, bits: int):
         sizes = np.diff(self.offsets)

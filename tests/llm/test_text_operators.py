@@ -418,3 +418,26 @@ def test_pipeline_stages_do_what_the_operators_do(spark):
     assert four.columns == columns and {r.doc_id for r in four.collect()} <= {r.doc_id for r in three.collect()}
     five = p.tokens(spark, four, SF).collect()
     assert len(five) == four.count() and all(len(r.ids) == r.n_tokens for r in five)
+
+
+def test_equal_first_names_are_told_apart(docs, monkeypatch):
+    """With first names cut to a few bits, the further bytes must tell all strings apart that they make equal."""
+    whole = suffix_dedup.span_hash
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda *a: whole(*a) & np.uint64(0xFFF))
+    spark_free = [(r.doc_id, r.text or "") for r in docs.where("doc_id < 60").collect()]
+    data, offsets = shared.buffers(pa.array([t for _, t in spark_free]))
+    chunk = suffix_dedup.Chunk(data, offsets, np.array([i for i, _ in spark_free]))
+    places = np.arange(0, len(data) - 50)
+    order, fresh, named, extra = chunk.named(places, 50, 128)
+    assert extra.shape == (len(named), 8) and len(np.unique(named)) < 5000 < len(named)
+    strings = {data[p : p + 50].tobytes() for p in places}
+    assert fresh.sum() == len(strings)
+    number = np.cumsum(fresh) - 1
+    assert len({(n, data[p : p + 50].tobytes()) for n, p in zip(number.tolist(), places[order].tolist(), strict=True)}) == len(strings)
+    twice = np.concatenate([named, named[::2]])
+    both = np.concatenate([extra, extra[::2]])
+    got, group = names.met(twice, both)
+    size = np.bincount(group)[group]
+    assert sorted(got[size > 1].tolist()) == sorted([*range(0, len(named), 2), *range(len(named), len(twice))]) and set(size.tolist()) <= {1, 2}
+    pairs = got[size > 1].reshape(-1, 2)
+    assert (twice[pairs[:, 0]] == twice[pairs[:, 1]]).all() and (both[pairs[:, 0]] == both[pairs[:, 1]]).all() and (pairs[:, 0] < pairs[:, 1]).all()
