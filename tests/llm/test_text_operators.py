@@ -412,12 +412,34 @@ def test_pipeline_stages_do_what_the_operators_do(spark):
         want[r.doc_id] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     assert two.columns == columns and {r.doc_id: r.text for r in two.collect()} == want and all(r.n_chars == len(r.text) for r in two.collect())
     three = scratch.save(p.near_duplicates(spark, two, SF), "3")
-    classes = weighted_minhash.near_duplicates(two, Scratch(spark)).where("doc_id = class_id")
-    assert three.columns == columns and sorted(r.doc_id for r in three.collect()) == sorted(r.doc_id for r in classes.collect())
+    kept = {i for i, c in brute_near(two).items() if i == c}
+    texts = {r.doc_id: r.text for r in two.collect()}
+    assert three.columns == columns and {r.doc_id: r.text for r in three.collect()} == {i: texts[i] for i in kept}
     four = scratch.save(p.mixing(spark, three, SF), "4")
-    assert four.columns == columns and {r.doc_id for r in four.collect()} <= {r.doc_id for r in three.collect()}
+    sources = collections.Counter(r.source for r in three.collect())
+    copies = collections.Counter()
+    for r in three.collect():
+        rate = sum(sources.values()) * math.sqrt(sources[r.source]) / sum(map(math.sqrt, sources.values())) / sources[r.source]
+        u, n, at, upto = int(md5(f"20240|n|{r.doc_id}|1".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate), math.exp(-rate)
+        while upto <= u:
+            n += 1
+            at *= rate / n
+            upto += at
+        copies[r.doc_id] = n
+    assert four.columns == columns and collections.Counter(r.doc_id for r in four.collect()) == +copies
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_lexicon.default_tokenizer())
     five = p.tokens(spark, four, SF).collect()
-    assert len(five) == four.count() and all(len(r.ids) == r.n_tokens for r in five)
+    assert collections.Counter(r.doc_id for r in five) == +copies
+    assert all(r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids for r in five)
+
+
+def test_pipeline_stages_leave_other_columns_alone(spark, odd):
+    import corpus_pipeline as p
+
+    got = p.mixing(spark, p.lines(spark, odd, SF), SF)
+    assert got.columns == odd.columns and {(r.n_removed, r.replica, r.score, r.ids) for r in got.collect()} == {(7, 7, 0.5, "x")}
 
 
 def test_equal_first_names_are_told_apart(docs, monkeypatch):
