@@ -55,8 +55,9 @@ def split_of(at: Column, rules: tuple[Split, ...]) -> Column:
 
 
 def parse_date(text: ColumnLike) -> Column:
-    """ISO, M/d/yy or M/d/yyyy, the first that fits; null if none does."""
-    return F.coalesce(*(F.try_to_timestamp(_c(text), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "M/d/yy", "M/d/yyyy")))
+    """ISO, M/d/yy or M/d/yyyy, the first that fits; null if none does. Two digits of a year from 69 on are of the last century."""
+    iso, short, long = (F.try_to_timestamp(_c(text), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "M/d/yy", "M/d/yyyy"))
+    return F.coalesce(iso, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short), long)
 
 
 def null_tokens(text: ColumnLike, tokens: tuple[str, ...] = ("", "NA", "N/A", "null")) -> Column:

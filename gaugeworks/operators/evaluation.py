@@ -87,6 +87,24 @@ def summary(rows: DataFrame, key: str) -> DataFrame:
                    ratio("right", "n").alias("channel_accuracy"), ratio("tp", "said").alias("changed_channel_precision"), ratio("tp", "gold").alias("changed_channel_recall"))
 
 
+def weighted_support(windows: DataFrame, values: str, key: str, band: float = 1.0, counter: bool = False) -> DataFrame:
+    """(code, windows, support): each pattern's windows over the three views, and the sum of their weights; each view is labelled anew."""
+    each = relabelled(views(windows, values, key), values, band, counter)
+    return each.groupBy("code").agg(F.count(F.lit(1)).alias("windows"), F.sum("weight").alias("support"))
+
+
+def macro(rows: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """(classes, macro_f1): the mean F1 of the classes that occur as an actual one."""
+    return class_metrics(rows, actual, predicted).where("support > 0").agg(F.count(F.lit(1)).alias("classes"), F.avg("f1").alias("macro_f1"))
+
+
+def paired(first: DataFrame, second: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, first, second): scores of the same example; one that a side lacks is fatal."""
+    both = first.select(key, F.col(score).alias("first")).join(second.select(key, F.col(score).alias("second")), key, "full")
+    whole = F.col("first").isNotNull() & F.col("second").isNotNull()
+    return both.withColumn("first", F.when(whole, F.col("first")).otherwise(F.raise_error(F.lit("an example has one score only")).cast("double")))
+
+
 def group_means(rows: DataFrame, group: str, score: str) -> DataFrame:
     return rows.groupBy(group).agg(F.avg(score).alias(score))
 
@@ -131,8 +149,33 @@ def bootstrap_interval(pairs: DataFrame, first: str, second: str, order: str, dr
 
 
 def counterfactual(rows: DataFrame, target: str, changed_target: str, correct: str, correct_unchanged: str) -> DataFrame:
-    """Over rows whose target changed: how many, and the mean gain over repeating the old answer."""
-    return rows.where(F.col(target) != F.col(changed_target)).agg(F.count(F.lit(1)).alias("changed"), F.avg(F.col(correct) - F.col(correct_unchanged)).alias("gain"))
+    """Over rows whose target changed: how many, the accuracy, that of the old answer repeated, and the mean gain."""
+    moved = rows.where(F.col(target) != F.col(changed_target))
+    return moved.agg(F.count(F.lit(1)).alias("changed"), F.avg(correct).alias("actual"), F.avg(correct_unchanged).alias("unchanged"), F.avg(F.col(correct) - F.col(correct_unchanged)).alias("gain"))
+
+
+#: The checks of a release's report, and those whose failure a follow-up may mend.
+REPORT_CHECKS = ("valid_outputs", "checkpoint_reload", "starting", "constant", "zero_numerical_embeddings", "reversed_target_response", "shuffled_target_response")
+SUPPORT_CHECKS = {"reversed": "reversed_target_response", "shuffled": "shuffled_target_response"}
+
+
+def follow_up(checks: DataFrame, evidence: DataFrame, groups: int = 5) -> DataFrame:
+    """(eligible, complete, limited, supported) of a report's checks (check, ok) and evidence (mode, groups, gain_low, probability, support_sufficient).
+
+    Eligible: all checks are there, some failed and none but those of support, each
+    comparison has positive evidence, and a failed one lacked support.
+    """
+    failed = ~F.coalesce("ok", F.lit(False))
+    stated = checks.agg(
+        (F.sort_array(F.collect_set("check")) == F.array(*map(F.lit, sorted(REPORT_CHECKS)))).alias("complete"),
+        (F.bool_or(failed) & ~F.bool_or(failed & ~F.col("check").isin(*SUPPORT_CHECKS.values()))).alias("limited"),
+        F.collect_set(F.when(failed, F.col("check"))).alias("failed"),
+    )
+    check = F.concat(F.col("mode"), F.lit("_target_response"))
+    positive = (F.col("groups") == groups) & (F.col("gain_low") > 0) & (F.col("probability") <= 0.05)
+    lacking = ~F.array_contains("failed", check) | ~F.col("support_sufficient")
+    shown = evidence.crossJoin(stated).groupBy("complete", "limited").agg((F.bool_and(F.coalesce(positive & lacking, F.lit(False))) & (F.count_distinct("mode") == len(SUPPORT_CHECKS))).alias("supported"))  # stated is one row
+    return shown.select((F.col("complete") & F.col("limited") & F.col("supported")).alias("eligible"), "complete", "limited", "supported")
 
 
 def gate(checks: DataFrame, name: str = "check", ok: str = "ok") -> DataFrame:

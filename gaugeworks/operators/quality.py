@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import exact_double, media_type, uuid_text
+from gaugeworks.functions.scalars import exact_double, finite, media_type, uuid_text, zscore
+
+from .features import canonical_hash
 
 
 def reasons(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -89,6 +91,44 @@ def report_rows(df: DataFrame, month: str) -> DataFrame:
     return reasons(out, rules).drop("_r")
 
 
+def ordered_times(df: DataFrame, by: str, text: str, pattern: str = "dd-MMM-yyyy HH:mm:ss") -> DataFrame:
+    """(by, rows, first, last, sound): whether a table's time texts all parse and rise from row to row (``row`` is the place in the file)."""
+    at = df.withColumn("_t", F.try_to_timestamp(F.col(text), F.lit(pattern)))
+    rise = at.withColumn("_up", F.coalesce(F.col("_t") > F.lag("_t").over(Window.partitionBy(by).orderBy("row")), F.col("row") == F.min("row").over(Window.partitionBy(by))))
+    return rise.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.min("_t").alias("first"), F.max("_t").alias("last"), F.bool_and(F.col("_t").isNotNull() & F.col("_up")).alias("sound"))
+
+
+def valve_position(position: Column | str = "position", marks: Column | str = "marks") -> Column:
+    """A valve's reading counts if its position is 0 to 800 and all its quality marks say observed."""
+    position = F.col(position) if isinstance(position, str) else position
+    return F.coalesce(position.between(0, 800) & F.forall(marks, lambda m: m == "observed"), F.lit(False))
+
+
+def case_faults(cases: DataFrame, ids: tuple[str, ...], channels: tuple[str, ...], dataset: str, split: str, size: int = 28) -> DataFrame:
+    """Cases of ``sources.readers.case_bundle`` with ``reason``: the first term of the contract that a case breaks, null for a sound one."""
+    digest = lambda c: F.col(c).rlike("^[0-9a-f]{64}$")
+    days = F.transform("window.dates", lambda d: F.unix_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).cast("date")))
+    full = lambda v: (F.size(v) == size) & F.forall(v, lambda x: finite(x))
+    shown, raw = F.col("model_inputs.time_series"), F.col("window.channels")
+    normal = F.forall(F.zip_with(raw, shown, lambda c, s: F.forall(F.zip_with(zscore(c["values"]), s, lambda a, b: F.abs(a - b) <= 1e-5), lambda ok: ok)), lambda ok: ok)
+    rules = {
+        "case id": F.get(F.array(*map(F.lit, ids)), F.col("place")) == F.col("case_id"),
+        "source": (F.col("source.dataset") == dataset) & (F.col("source.split") == split) & (F.col("source.drive_id") != "") & digest("source.dataset_manifest_sha256"),
+        "dates": (F.size(days) == size) & F.forall(F.transform(days, lambda d, i: d - F.get(days, F.lit(0)) == i), lambda ok: ok),
+        "start and as-of": (F.col("window.start") == F.get("window.dates", F.lit(0))) & (F.col("window.as_of") == F.element_at("window.dates", -1)),
+        "channels": F.transform(raw, lambda c: c["name"]) == F.array(*map(F.lit, channels)),
+        "units": F.forall(raw, lambda c: c["unit"] == "raw_source_units"),
+        "values": F.forall(raw, lambda c: full(c["values"])) & (F.size(shown) == len(channels)) & F.forall(shown, full),
+        "descriptions": (F.size("model_inputs.time_series_text") == len(channels)) & F.forall(F.zip_with("model_inputs.time_series_text", F.array(*map(F.lit, channels)), lambda t, c: t.startswith(F.concat(c, F.lit(";")))), lambda ok: ok),
+        "inputs follow the values": normal,
+        "inference": (F.col("inference.source") == "saved_model_inference") & ~F.col("inference.executed_during_this_review") & (F.col("inference.output_text") != "") & digest("inference.checkpoint_sha256"),
+        "unsupported prediction": F.col("inference.failure_probability").isNull() & F.col("inference.failure_window").isNull() & F.col("inference.confidence").isNull(),
+        "input digest": canonical_hash(F.col("inputs_json")) == F.col("inference.input_sha256"),
+        "reference": F.col("evaluation_reference.never_send_to_model") & (F.col("evaluation_reference.weak_rule_target") != "") & (F.col("evaluation_reference.exact_match") == (F.col("inference.output_text") == F.col("evaluation_reference.weak_rule_target"))),
+    }
+    return reasons(cases, rules)
+
+
 def window_faults(df: DataFrame, cadence_us: int | None, channels: tuple[str, ...], start_us: Column, stop_us: Column, size: int = 28) -> DataFrame:
     """Adds ``reason`` to window rows (times_us, channels, values): what a component window must hold to."""
     steps = F.zip_with(F.slice("times_us", 1, size - 1), F.slice("times_us", 2, size - 1), lambda a, b: b - a)

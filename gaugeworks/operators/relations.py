@@ -30,6 +30,12 @@ def within_scope(observations: DataFrame, tasks: DataFrame, key: str, offset: st
     return observations.join(tasks, key).where((F.col(offset) >= F.col(start)) & (F.col(offset) < F.col(end)))
 
 
+def task_records(tasks: DataFrame, records: DataFrame, annotations: DataFrame, record: str, kind: str, wanted: str, value: str) -> DataFrame:
+    """Tasks with their record's columns and the value of its annotation of one kind; tasks without either are left out."""
+    noted = annotations.where(F.col(kind) == wanted).select(record, value)
+    return tasks.join(records, record).join(noted, record)
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one side only, with multiplicity; empty if both hold the same rows."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
@@ -49,7 +55,7 @@ def unused_after_release(all_rows: DataFrame, opened: DataFrame, key: str, expec
 
 
 def peers(df: DataFrame, model: str, component: str, device: str, health: str) -> DataFrame:
-    """For each row the upper median of its model's same component on all devices, how many share it, and the share below.
+    """For each row the upper median of its model's same component on all devices, how many share it, how many score under 80, and the shares above and below.
 
     Healths are counted first, each task for itself, and ranked as values: a group
     is as large as the number of different healths, whatever a model's devices.
@@ -58,7 +64,7 @@ def peers(df: DataFrame, model: str, component: str, device: str, health: str) -
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = counts.withColumn("_upto", F.sum("_n").over(group.orderBy(health))).withColumn("peers", F.sum("_n").over(group))
     middle = F.min(F.when(F.col("_upto") >= F.floor(F.col("peers") / 2) + 1, F.col(health))).over(group)
-    known = ranked.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "peers", middle.alias("peer_median"), F.try_divide(F.col("_upto") - F.col("_n"), F.col("peers") - 1).alias("share_below"))
+    known = ranked.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "peers", middle.alias("peer_median"), F.sum(F.when(F.col(health) < 80, F.col("_n")).otherwise(0)).over(group).alias("peers_under_80"), F.try_divide(F.col("peers") - F.col("_upto"), F.col("peers")).alias("share_above"), F.try_divide(F.col("_upto") - F.col("_n"), F.col("peers") - 1).alias("share_below"))
     same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
     return df.join(known, same[0] & same[1] & same[2]).drop("_0", "_1", "_2")
 

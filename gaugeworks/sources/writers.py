@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,25 @@ def windows_by_split(df: DataFrame, path: str, per_file: int = 2048) -> None:
     df.write.partitionBy("split").option("maxRecordsPerFile", per_file).option("compression", "zstd").parquet(path)
 
 
+def shards(df: DataFrame, path: str, per_file: int = 2048, order: str = "task_id") -> None:
+    """Files of ``per_file`` windows at most, per split, in row groups of about 1,024 (a window takes some 8 KB)."""
+    df.repartition("split", F.col(order)).sortWithinPartitions("split", order).write.partitionBy("split").option("maxRecordsPerFile", per_file).option("parquet.block.size", 1024 * 8192).option("compression", "zstd").parquet(path)
+
+
+def publish_json(spark, value: object, path: str) -> None:
+    """One small JSON document, written beside its place and renamed, so that a reader sees it whole or not at all; what is there is kept."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, False)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode() + b"\n"))
+    out.close()
+    if fs.exists(target) or not fs.rename(part, target):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 

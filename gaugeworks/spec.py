@@ -64,6 +64,19 @@ def _two(a: str, b: str, band: float = 1.0) -> tuple[Channel, ...]:
 _CLUSTER = splits(("2020-01-01", "2020-02-01"), ("2020-08-01", "2020-09-01"), ("2020-08-01", "2020-09-01"), ("2021-02-01", "2021-03-01"))
 _MINUTES = 60_000_000
 
+_TURBINE_YEARS = splits(("2018-01-01", "2019-01-01"), ("2019-01-01", "2019-07-01"), ("2019-07-01", "2020-01-01"), ("2020-01-01", "2021-01-01"))
+
+#: The units of each split (site and turbine; household).
+_TURBINE_UNITS = {
+    "train": ("Kelmarsh:1", "Penmanshiel:8", "Penmanshiel:11", "Kelmarsh:5", "Penmanshiel:15", "Penmanshiel:7", "Kelmarsh:3", "Penmanshiel:1", "Penmanshiel:5", "Kelmarsh:6"),
+    "validation": ("Kelmarsh:2", "Penmanshiel:13", "Penmanshiel:12"),
+    "calibration": ("Penmanshiel:2", "Kelmarsh:4"),
+    "test": ("Penmanshiel:10", "Penmanshiel:14", "Penmanshiel:4", "Penmanshiel:6", "Penmanshiel:9"),
+}
+_HOME_UNITS = {"train": ("H06", "H03", "H04"), "validation": ("H01", "H11"), "calibration": ("H07",), "test": ("H08", "H05", "H09", "H02", "H10")}
+_TURBINES = {f"cubico:{u}": s for s, units in _TURBINE_UNITS.items() for u in units}
+_HOMES = {f"homesense:{u}": s for s, units in _HOME_UNITS.items() for u in units}
+
 #: The declared studies, with their channels, bands, cadence and intervals.
 STUDIES = {
     s.name: s
@@ -82,7 +95,10 @@ STUDIES = {
         Study("fan", "fan:", _two("rotor_0_speed", "rotor_1_speed"), 15 * _MINUTES,
               splits(("2020-03-01", "2022-01-01"), ("2022-01-01", "2022-04-01"), ("2022-04-01", "2022-07-01"), ("2022-07-01", "2022-10-01"))),
         Study("valve", "valve:", (Channel("motor_position"), Channel("device_temperature"), Channel("temperature_setpoint")), 10 * _MINUTES,
-              splits(("2024-11-25", "2025-03-01"), ("2025-03-01", "2025-05-01"), ("2025-05-01", "2025-07-01"), ("2025-07-01", "2025-11-26"))),
+              splits(("2024-11-25", "2025-03-01"), ("2025-03-01", "2025-05-01"), ("2025-05-01", "2025-07-01"), ("2025-07-01", "2025-11-27")), group_splits=_HOMES),
+        Study("gearbox", "", _two("gear_oil_temperature", "gear_oil_inlet_temperature"), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
+        Study("bearing", "", _two("generator_bearing_front_temperature", "generator_bearing_rear_temperature"), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
+        Study("pump", "", _two("gear_oil_pump_pressure", "gear_oil_inlet_pressure", 0.1), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
         Study("sound", "sound:", _two("low_band_rms", "high_band_rms", 1e-6), 32_000, splits(*[("1970-01-01", "1970-01-01T00:00:11")] * 4)),
     )
 }
