@@ -7,18 +7,21 @@ trained to minimise the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 and steps back along the second term's gradient where it falls below zero. The
-class prior is estimated as the share of good marks among the marked rows of a
-fold that the network never sees; that fold also sets slope and offset of the
-final score, so that the score reads as a probability.
+class prior comes from positives and unlabelled text alone, by best bin
+estimation: a network told to tell the two apart on one half of the sample ranks
+the other half, and of all top bins that hold a share q of the positives and r of
+the unlabelled, r / q is the prior at the one where r / q and its sampling error
+together are least. The final score's offset is the one at which unlabelled text
+scores the prior on average. Marks other than good are never learned from.
 
 The fit uses bounded samples, the first rows by a hash of the id: at most
-``POSITIVES`` positives, ``UNLABELLED`` unlabelled and ``MARKED`` marked rows.
-Scoring covers every whole text of the table.
+``POSITIVES`` positives and ``UNLABELLED`` unlabelled. Scoring covers every whole
+text of the table.
 
 Defined cases: a null text is an empty one and gets the network's score for it;
 labels that contradict each other for one doc_id, or are null, count as none;
-with no positives or no unlabelled text to learn from, every score is the prior
-(1 if there are no marks); of rows that repeat a doc_id, the text that sorts first
+with fewer than two positives or two unlabelled texts to learn from, nothing
+speaks against a text and every score is 1; of rows that repeat a doc_id, the text that sorts first
 is learned from; rows without doc_id are scored and never learned from; other columns, whatever their names, are not read.
 """
 
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .shared import buffers, prefix_hash, slices, span_hash, table, text_of, words
 
-POSITIVES, UNLABELLED, MARKED = 6_000, 12_000, 6_000
+POSITIVES, UNLABELLED = 6_000, 12_000
 HELD_OUT_OF, CUT = 5, 0.3
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 48, 30, 512, 3e-3, 7
+DELTA, GAMMA = 0.1, 0.01  # best bin estimation: chance that its bound fails, and weight of the bound beyond one
 _LAST = 128  # all bytes above ASCII
 
 
@@ -68,10 +72,10 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 class Network:
-    """One hidden layer; ``fit`` minimises the non-negative risk with Adam."""
+    """One hidden layer, trained with Adam: ``fit`` minimises the non-negative risk, ``separate`` tells positive from unlabelled."""
 
     def __init__(self, prior: float):
-        self.prior, self.slope, self.offset = prior, 1.0, 0.0
+        self.prior, self.offset = prior, 0.0
         self.weights: list[np.ndarray] | None = None
 
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +84,32 @@ class Network:
         return hidden, hidden @ c + d
 
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
+        """The sigmoid loss: l(+, g) = 1 - s(g), l(-, g) = s(g)."""
+
+        def pull(sp: np.ndarray, su: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pi = np.float32(self.prior)
+            dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+            return (-2 * pi * dp, du) if su.mean() - pi * sp.mean() >= 0 else (pi * dp, -du)
+
+        self._train(positive, unlabelled, pull, EPOCHS)
+        self._centre(self.margin(unlabelled))
+
+    def separate(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
+        """The logistic loss of positive against unlabelled."""
+        self._train(positive, unlabelled, lambda sp, su: ((sp - 1) / len(sp), su / len(su)), EPOCHS // 2)
+
+    def _centre(self, margins: np.ndarray) -> None:
+        """The offset at which the mean score of ``margins`` is the prior, by bisection."""
+        low, high = -60.0, 60.0
+        for _ in range(80):
+            self.offset = (low + high) / 2
+            if self._squash(margins).mean() < self.prior:
+                low = self.offset
+            else:
+                high = self.offset
+
+    def _train(self, positive: np.ndarray, unlabelled: np.ndarray, pull, epochs: int) -> None:
+        """``pull`` gives the gradients of the risk by the margins of a batch of positives and one of unlabelled, from their sigmoids."""
         rng = np.random.default_rng(SEED)
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
@@ -87,21 +117,14 @@ class Network:
         width = p.shape[1]
         self.weights = [rng.normal(0, (2 / width) ** 0.5, (width, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), np.zeros((), np.float32)]
         first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
-        pi, step = np.float32(self.prior), 0
-        for _ in range(EPOCHS):
+        step = 0
+        for _ in range(epochs):
             rows = rng.permutation(len(u))
             for at in range(0, len(u), BATCH):
                 xu = u[rows[at : at + BATCH]]
                 xp = p[rng.integers(0, len(p), BATCH)]
                 (hp, gp), (hu, gu) = self._forward(xp), self._forward(xu)
-                sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-                # the sigmoid loss: l(+, g) = 1 - s(g), l(-, g) = s(g)
-                rest = su.mean() - pi * sp.mean()
-                dp, du = sp * (1 - sp) / len(xp), su * (1 - su) / len(xu)
-                if rest >= 0:
-                    wp, wu = -2 * pi * dp, du
-                else:
-                    wp, wu = pi * dp, -du
+                wp, wu = pull(1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu)))
                 grads = []
                 for x, h, w in ((xp, hp, wp), (xu, hu, wu)):
                     back = (w[:, None] * self.weights[2]) * (h > 0)
@@ -116,26 +139,25 @@ class Network:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) / self.scale)[1].astype(np.float64)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Slope and offset by Newton steps of a lightly penalised logistic fit."""
-        if len(y) < 20 or y.min() == y.max():
-            return
-        g = self.margin(x)
-        design, theta = np.column_stack([g, np.ones_like(g)]), np.array([1.0, 0.0])
-        for _ in range(50):
-            s = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-            gradient = design.T @ (s - y) + 1e-2 * theta
-            move = np.linalg.solve(design.T @ (design * (s * (1 - s))[:, None]) + 1e-2 * np.eye(2), gradient)
-            theta = theta - move
-            if np.abs(move).max() < 1e-8:
-                break
-        if theta[0] > 0 and np.isfinite(theta).all():
-            self.slope, self.offset = map(float, theta)
+    def _squash(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margins + self.offset, -30, 30)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -30, 30)))
+        return self._squash(self.margin(x))
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled text, by best bin estimation; between 0.02 and 0.98."""
+    judge = Network(0.5)
+    judge.separate(positive[::2], unlabelled[::2])
+    p, u = np.sort(judge.margin(positive[1::2])), np.sort(judge.margin(unlabelled[1::2]))
+    cuts = np.unique(p)
+    q, r = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    error = np.sqrt(np.log(4 / DELTA) / (2 * len(p))) + np.sqrt(np.log(4 / DELTA) / (2 * len(u)))
+    best = np.argmin((r + (1 + GAMMA) * error) / q)
+    return float(np.clip(r[best] / q[best], 0.02, 0.98))
 
 
 def fold(column: str = "doc_id"):
@@ -155,17 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r"))
     )
-    usable = marks.where((F.col("q") == F.col("r")) & (fold() != 0)).select("doc_id", (F.col("q") >= 1).cast("int").alias("q"))
-    spared = usable.where(fold() == 1)
-    counts = spared.agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("p")).first()
-    prior = min(0.98, max(0.02, counts.p / counts.n)) if counts.n else 1.0
+    trusted = marks.where((F.col("q") == F.col("r")) & (F.col("q") >= 1) & (fold() != 0)).select("doc_id")
     ids = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id").distinct()
     picked = (
-        _first(usable.where((F.col("q") == 1) & (fold() != 1)).select("doc_id"), POSITIVES).withColumn("part", F.lit(0))
+        _first(trusted, POSITIVES).withColumn("part", F.lit(0))
         .unionByName(_first(ids.join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti"), UNLABELLED).withColumn("part", F.lit(1)))
-        .unionByName(_first(spared, MARKED).select("doc_id", (F.col("q") + 2).alias("part")))
     )
-    rows = picked.collect()  # bounded by the three numbers
+    rows = picked.collect()  # bounded by the two numbers
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.part) for r in rows], f"id {docs.schema['doc_id'].dataType.simpleString()}, part int")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", "part").agg(F.min(text_of()).alias("text"))
 
@@ -177,14 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 
     got = texts.select("doc_id", "part", "text").mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, features binary").collect()
     got.sort(key=lambda r: str(r.doc_id))
-    model = Network(prior)
-    if not got:
-        return model
-    x = np.frombuffer(b"".join(r.features for r in got), np.float32).reshape(len(got), -1)
-    part = np.array([r.part for r in got])
-    if (part == 0).any() and (part == 1).any():
-        model.fit(x[part == 0], x[part == 1])
-        model.calibrate(x[part >= 2], part[part >= 2] - 2.0)
+    positive, unlabelled = (np.array([np.frombuffer(r.features, np.float32) for r in got if r.part == k]) for k in (0, 1))
+    if min(len(positive), len(unlabelled)) < 2:
+        return Network(1.0)
+    model = Network(prior_of(positive, unlabelled))
+    model.fit(positive, unlabelled)
     return model
 
 

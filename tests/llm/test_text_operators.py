@@ -383,6 +383,23 @@ def test_quality_on_the_held_out_fold(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_the_prior_is_that_of_the_unlabelled(share):
+    rng = np.random.default_rng(5)
+    draw = lambda n, at: rng.normal(at, 1.0, (n, 6)).astype(np.float32)
+    good = round(4000 * share)
+    unlabelled = rng.permutation(np.concatenate([draw(good, 1.2), draw(4000 - good, -1.2)]))
+    assert abs(quality_pu.prior_of(draw(3000, 1.2), unlabelled) - share) < 0.06
+
+
+def test_marks_that_are_not_good_are_never_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    bad = labels.where("quality = 0").select("doc_id")
+    # a row marked bad leaves the unlabelled, whatever else its mark says
+    one, two = (quality_pu.fit(docs, x) for x in (labels, labels.where("quality = 1").unionByName(bad.selectExpr("doc_id", "0 AS quality", "1 AS toxic"))))
+    assert one.prior == two.prior and one.offset == two.offset
+
+
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_pu.score_documents(odd, quality_pu.fit(odd, none))
