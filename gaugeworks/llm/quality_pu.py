@@ -164,7 +164,7 @@ def fold(column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(HELD_OUT_OF))
 
 
-def _first(ids: DataFrame, most: int) -> DataFrame:
+def first_by_hash(ids: DataFrame, most: int) -> DataFrame:
     """The ``most`` rows that come first by a hash of doc_id; a threshold on the hash keeps what is sorted near that number."""
     n = ids.count()
     share = min(1.0, 3 * most / max(n, 1))
@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     trusted = marks.where((F.col("q") == F.col("r")) & (F.col("q") >= 1) & (fold() != 0)).select("doc_id")
     ids = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id").distinct()
     picked = (
-        _first(trusted, POSITIVES).withColumn("part", F.lit(0))
-        .unionByName(_first(ids.join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti"), UNLABELLED).withColumn("part", F.lit(1)))
+        first_by_hash(trusted, POSITIVES).withColumn("part", F.lit(0))
+        .unionByName(first_by_hash(ids.join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti"), UNLABELLED).withColumn("part", F.lit(1)))
     )
     rows = picked.collect()  # bounded by the two numbers
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.part) for r in rows], f"id {docs.schema['doc_id'].dataType.simpleString()}, part int")

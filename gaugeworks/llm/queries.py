@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import balltree_topk, bpe_lexicon, imi_search, line_dedup, pii, quality_pu, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
+from . import balltree_topk, bpe_lexicon, delta_lloyd, hard_negatives, imi_search, line_dedup, pii, quality_pu, source_mixing, substring_dedup, suffix_dedup, toxicity, weighted_minhash
 
 QUERIES = {
     "op1_compact_windows": substring_dedup.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_weighted_minhash": weighted_minhash.query,
     "op9_source_mixing": source_mixing.query,
     "op10_balltree_topk": balltree_topk.query,
+    "op11_delta_lloyd": delta_lloyd.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_weak_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,6 @@ ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_source_mixing": source_mixing.ORACLE,
     "op10_balltree_topk": balltree_topk.ORACLE,
+    "op11_delta_lloyd": delta_lloyd.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }

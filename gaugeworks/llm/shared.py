@@ -44,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
+        self.known: list[str] = []  # tables of the catalog
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema
@@ -57,7 +58,16 @@ class Scratch:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table in ``buckets`` by ``key``: tables of as many buckets are joined by it without an exchange."""
+        known = f"{self.root.rpartition('/')[2].replace('-', '_')}_{name}"
+        df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(known)
+        self.known.append(known)
+        return self.spark.table(known)
+
     def close(self) -> None:
+        for known in self.known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {known}")
         self.drop("")
 
     def drop(self, name: str) -> None:

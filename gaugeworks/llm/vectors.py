@@ -13,12 +13,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 
+def matrices(column: pa.Array):
+    """(places, matrix of doubles) for each length that occurs, of the vectors that have components, all of them finite numbers."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        places = np.flatnonzero(lengths == n)
+        x = pc.fill_null(pc.list_flatten(column.take(pa.array(places))).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(-1, n)
+        good = np.isfinite(x).all(1)
+        if good.any():
+            yield places[good], x[good]
+
+
 def packed(rows: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None = None, zeros: bool = True) -> DataFrame:
     """(dim, vec_id, vec): the rows whose vectors have components, all of them finite (and one not zero, unless ``zeros``)."""
 
