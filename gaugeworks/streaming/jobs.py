@@ -1,7 +1,7 @@
-"""Structured Streaming: ingest with quarantine, windows with state per device, latest runs.
+"""Structured Streaming: ingest with quarantine, windows and growth by event time, latest runs.
 
-State is per device and bounded by a window (or by 14 runs), so a stream's state
-grows with the number of devices, not with time.
+State is per device: the rows that wait for the watermark, and a window or 14 runs, so a
+stream's state grows with the number of devices and the delay, not with time.
 """
 
 from __future__ import annotations
@@ -42,79 +42,217 @@ def daily_counts(stream: DataFrame, time: str, by: list[str], delay: str = "1 da
     return stream.withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-class TumblingWindows(StatefulProcessor):
-    """Gap-free tumbling windows per device: the open segment is the state.
+class InOrder(StatefulProcessor):
+    """Takes a key's rows in the order of their times, each when the watermark has passed its availability (time + ``cadence_us``).
 
-    The rows of a batch are taken in time order; a row at or before the segment's
-    last one is late and is left out; a gap closes the segment; a failure ends the
-    device for good.
+    Rows wait in list state; a timer is due at the least availability that waits. What
+    arrives when the watermark has already passed its availability is late: it is given
+    out as such and changes nothing. Of rows that repeat a time the least one is
+    taken, the others are given out as repeated. A subclass has ``fields`` (the columns
+    that wait, ``t`` in microseconds first), ``output`` and ``take``.
     """
 
-    def __init__(self, size: int, cadence_us: int):
-        self.size, self.cadence = size, cadence_us
+    fields: dict[str, str]
+    output: dict[str, str]
+    cadence: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.segment = handle.getValueState("segment", "start long, last long, n int, total double, failed boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{k} {v}" for k, v in self.fields.items()))
+        self.due = handle.getValueState("due", "at long")
+        self.prepare(handle)
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
+        """The output for rows that are in order, with all that came before them taken."""
+        raise NotImplementedError
+
+    def aside(self, key, row: tuple, kind: str) -> tuple:
+        """An output row for a row that isn't taken."""
+        names = list(self.output)
+        return tuple(kind if n == "kind" else row[0] if n == "t" else key[names.index(n)] if names.index(n) < len(key) else None for n in names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, last, n, total, failed = self.segment.get() if self.segment.exists() else (0, None, 0, 0.0, False)
-        out = []
-        for t, v, f in pd.concat(list(rows)).sort_values("t")[["t", "value", "failed"]].itertuples(index=False):
-            if failed or last is not None and t <= last:
-                continue
-            failed = bool(f)
-            if failed:
-                break
-            if n and t - last != self.cadence:
-                n, total = 0, 0.0
-            start = t if n == 0 else start
-            last, n, total = t, n + 1, total + v
-            if n == self.size:
-                out.append((key[0], start, last, total))
-                n, total = 0, 0.0
-        self.segment.update((int(start), None if last is None else int(last), int(n), float(total), bool(failed)))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.cadence
+        fresh, out = [], []
+        for frame in rows:
+            for row in frame[list(self.fields)].itertuples(index=False, name=None):
+                row = (int(row[0]), *row[1:])
+                if row[0] <= passed:
+                    out.append(self.aside(key, row, "late"))
+                else:
+                    fresh.append(row)
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._remind(min(r[0] for r in fresh))
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.cadence
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple((x is not None, x) if not isinstance(x, (list, dict)) else (True, str(x)) for x in r))
+        ready, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.due.clear()
+        if rest:
+            self._remind(rest[0][0])
+        out, single = [], []
+        for r in ready:
+            if single and single[-1][0] == r[0]:
+                out.append(self.aside(key, r, "repeated"))
+            else:
+                single.append(r)
+        out += self.take(key, single)
         if out:
-            yield pd.DataFrame(out, columns=["device", "start", "cutoff", "total"])
+            yield self._frame(out)
+
+    def _remind(self, t: int) -> None:
+        at = -(-(t + self.cadence) // 1000)
+        known = self.due.get()[0] if self.due.exists() else None
+        if known is None or at < known:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=list(self.output))
 
     def close(self) -> None:
         pass
 
 
-def tumbling(stream: DataFrame, size: int, cadence_us: int) -> DataFrame:
-    """(device, start, cutoff, total) of a stream (device, t, value, failed)."""
-    return stream.groupBy("device").transformWithStateInPandas(TumblingWindows(size, cadence_us), "device string, start long, cutoff long, total double", "Append", "None")
+class EventWindows(InOrder):
+    """Windows of ``size`` rows without a gap, at every ``stride``-th row of a run: tumbling where both are equal.
+
+    Rows after a device's failure, its own included, and rows outside [start, stop) are given out
+    as such and break a run. State is the last rows of the open run.
+    """
+
+    fields = {"t": "long", "value": "double", "failed": "boolean"}
+    output = {"device": "string", "kind": "string", "t": "long", "start": "long", "values": "array<double>"}
+
+    def __init__(self, size: int, cadence_us: int, stride: int | None = None, start_us: int | None = None, stop_us: int | None = None):
+        self.size, self.cadence, self.stride, self.start, self.stop = size, cadence_us, stride or size, start_us, stop_us
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "last long, pos long, failed boolean, recent array<double>")
+
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
+        last, pos, failed, recent = self.run.get() if self.run.exists() else (None, 0, False, [])
+        recent, out = list(recent), []
+        for row in rows:
+            t, value, fails = row
+            failed = failed or bool(fails)
+            if failed or self.start is not None and t < self.start or self.stop is not None and t >= self.stop:
+                out.append(self.aside(key, row, "after failure" if failed else "outside"))
+                continue
+            if last is not None and t - last != self.cadence:
+                pos, recent = 0, []
+            last, pos, recent = t, pos + 1, [*recent, value][-self.size :]
+            if pos >= self.size and (pos - self.size) % self.stride == 0:
+                out.append((key[0], "window", t, t - (self.size - 1) * self.cadence, list(recent)))
+        self.run.update((last, pos, failed, recent))
+        return out
+
+
+def in_order(stream: DataFrame, by: list[str], time: str, delay: str, processor: InOrder) -> DataFrame:
+    """The output of ``processor`` over a stream with an event time ``time`` and rows up to ``delay`` late.
+
+    The watermark follows ``time``, but that column doesn't reach the state, so that
+    Spark drops no row: what is late comes out as late.
+    """
+    fields = [F.unix_micros(time).alias("t"), *(F.col(c) for c in list(processor.fields)[1:])]
+    rows = stream.withWatermark(time, delay).select(*by, *fields)
+    schema = ", ".join(f"{k} {v}" for k, v in processor.output.items())
+    return rows.groupBy(*by).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def windows(stream: DataFrame, time: str, delay: str, size: int, cadence_us: int, stride: int | None = None, start_us: int | None = None, stop_us: int | None = None) -> DataFrame:
+    """(device, kind, t, start, values) of a stream (device, ``time``, value, failed): windows that end at ``t``, and the rows that are in none by their kind."""
+    return in_order(stream, ["device"], time, delay, EventWindows(size, cadence_us, stride, start_us, stop_us))
 
 
-class CounterGrowth(StatefulProcessor):
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what a stateful stream gives out, all that is there now, as Parquet by batch; a batch that runs again replaces its own rows."""
+    spark = out.sparkSession
+    key, known = "spark.sql.streaming.stateStore.providerClass", None
+    known = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)  # the state of the processors needs its column families
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    try:
+        return out.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, known)
+
+
+class CounterGrowth(InOrder):
     """Growth of a device's counter against the earliest of its last 14 runs, which are the state."""
 
     MOST = 14
+    fields = {"t": "long", "value": "double"}
+    output = {"device": "string", "kind": "string", "t": "long", "delta": "double", "grows": "boolean"}
+    cadence = 0
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
         self.runs = handle.getValueState("runs", "t array<long>, v array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
         times, values = (list(x) for x in self.runs.get()) if self.runs.exists() else ([], [])
         out = []
-        for t, v in pd.concat(list(rows)).sort_values("t")[["t", "value"]].itertuples(index=False):
+        for t, v in rows:
             if times:
                 delta, days = v - values[0], max(0.5, (t - times[0]) / 86_400_000_000)
-                out.append((key[0], t, delta, bool(delta > 0 and (delta / days > 0.5 or delta >= 5))))
-            times, values = [*times, int(t)][-self.MOST :], [*values, float(v)][-self.MOST :]
+                out.append((key[0], "growth", t, delta, bool(delta > 0 and (delta / days > 0.5 or delta >= 5))))
+            times, values = [*times, t][-self.MOST :], [*values, float(v)][-self.MOST :]
         self.runs.update((times, values))
-        if out:
-            yield pd.DataFrame(out, columns=["device", "t", "delta", "grows"])
+        return out
 
-    def close(self) -> None:
-        pass
+
+def growth(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """(device, kind, t, delta, grows) of a stream (device, ``time``, value)."""
+    return in_order(stream, ["device"], time, delay, CounterGrowth())
+
+
+def latest_runs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A table with the newest run time and the number of runs of each device, brought up to date by each batch.
+
+    A batch joins what the one before left with its own and writes a version of the
+    table; one that runs again starts from the same version. ``current`` reads the newest.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.groupBy(F.col("machine.id").alias("device")).agg(F.max("collected_at").alias("last_run"), F.count(F.lit(1)).alias("runs"))
+        if epoch:
+            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{path}/version={epoch - 1}")).groupBy("device").agg(F.max("last_run").alias("last_run"), F.sum("runs").alias("runs"))
+        seen.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        if epoch > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={epoch - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def growth(stream: DataFrame) -> DataFrame:
-    """(device, t, delta, grows) of a stream (device, t, value)."""
-    return stream.groupBy("device").transformWithStateInPandas(CounterGrowth(), "device string, t long, delta double, grows boolean", "Append", "None")
+def current(spark, path: str) -> DataFrame:
+    """The newest version of what ``latest_runs`` keeps."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("version") == rows.select(F.max("version")).first()[0]).drop("version")
 
 
-def latest_runs(stream: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
-    """An in-memory table with the newest run time and the number of runs of each device."""
-    seen = stream.groupBy("machine.id").agg(F.max("collected_at").alias("last_run"), F.count(F.lit(1)).alias("runs"))
-    return seen.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def distinct_days(table: DataFrame, day: str, archive: str) -> DataFrame:
+    """``table`` with the last check of an ingest in its plan: a day that stands in two archives is an error."""
+    twice = table.groupBy(day).agg(F.count_distinct(archive).alias("n")).agg(F.max("n").alias("most"))
+    known = F.when(F.col("most") > 1, F.raise_error(F.lit("archives contain overlapping daily snapshots"))).otherwise(F.lit(True))
+    return table.join(F.broadcast(twice.select(known.alias("_distinct"))), F.lit(True)).where("_distinct").drop("_distinct")  # one row
