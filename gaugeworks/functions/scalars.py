@@ -192,39 +192,43 @@ def hazard(health: Column) -> Column:
     return 0.0004 + 0.35 * x * x * x
 
 
+def _hazards(health: Column, decline: Column, start: Column, width: float, n: Column) -> Column:
+    """The sum of hazards at the midpoints of ``n`` steps of ``width`` days from day ``start``.
+
+    Without the clamp at health 0 a step's share lost is a + b * k, so that the cubes add up
+    in closed form; from the step on where it reaches 1 each one is 1.
+    """
+    a, b = (100 - health - decline * (start + width / 2)) / 100, -decline * width / 100
+    m = F.when(b > 0, F.greatest(F.lit(0.0), F.least(n, F.ceil((1 - a) / b).cast("double")))).when(a >= 1, 0.0).otherwise(n)
+    first, second = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
+    cubes = m * a * a * a + 3 * a * a * b * first + 3 * a * b * b * second + b * b * b * first * first
+    return width * (0.0004 * n + 0.35 * (cubes + (n - m)))
+
+
 def cumulative_risk(health: ColumnLike, slope: ColumnLike, days: float | Column) -> Column:
     """The chance of a failure within ``days``, by midpoints of quarter days; only declines go on."""
     h, decline = _c(health), F.least(F.lit(0.0), _c(slope))
     days = F.lit(float(days)) if not isinstance(days, Column) else days.cast("double")
-    steps = F.ceil(days / 0.25 - 1e-9).cast("int")
-
-    def add(total: Column, k: Column) -> Column:
-        at = k * F.lit(0.25)
-        dt = F.least(F.lit(0.25), days - at)
-        return total + hazard(h + decline * (at + dt / 2)) * dt
-
-    return F.when(steps <= 0, 0.0).otherwise(1 - F.exp(-F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), F.lit(0.0), add)))
+    whole = F.floor(days / 0.25 + 1e-9).cast("double")
+    rest = F.greatest(F.lit(0.0), days - whole * 0.25)
+    total = _hazards(h, decline, F.lit(0.0), 0.25, whole) + hazard(h + decline * (whole * 0.25 + rest / 2)) * rest
+    return F.when(days <= 0, 0.0).otherwise(1 - F.exp(-total))
 
 
 def failure_window(health: ColumnLike, slope: ColumnLike) -> Column:
-    """Struct of low and high days (risk 25 % and 75 %): half-day steps to day 30, then five-day steps to 365."""
+    """Struct of low and high days (risk 25 % and 75 %): half-day steps to day 30, then five-day steps to 365.
+
+    The sum of hazards only rises, so the first step at which it reaches a risk is found by halving.
+    """
     h, decline = _c(health), F.least(F.lit(0.0), _c(slope))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-
-    def step(s: Column, k: Column) -> Column:
-        dt = F.when(k < 60, 0.5).otherwise(5.0)
-        at = F.when(k < 60, k * 0.5).otherwise(30 + (k - 60) * 5.0)
-        total = s["sum"] + hazard(h + decline * (at + dt / 2)) * dt
-        risk, end = 1 - F.exp(-total), at + dt
-        open_ = s["high"].isNull()
-        return F.struct(
-            F.when(open_, total).otherwise(s["sum"]).alias("sum"),
-            F.coalesce(s["low"], F.when(open_ & (risk >= 0.25), end)).alias("low"),
-            F.coalesce(s["high"], F.when(risk >= 0.75, end)).alias("high"),
-        )
-
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(126)), zero, step)
-    return F.struct(out["low"].alias("low_days"), out["high"].alias("high_days"))
+    upto = lambda k: _hazards(h, decline, F.lit(0.0), 0.5, F.least(k, F.lit(60.0))) + _hazards(h, decline, F.lit(30.0), 5.0, F.greatest(k - 60.0, F.lit(0.0)))
+    halves = F.array(*(F.lit(float(1 << i)) for i in range(6, -1, -1)))
+
+    def days(risk: float) -> Column:
+        below = F.aggregate(halves, F.lit(0.0), lambda k, step: F.when((k + step <= 127) & (1 - F.exp(-upto(k + step)) < risk), k + step).otherwise(k))
+        return let(below + 1, lambda k: F.when(k <= 60, k * 0.5).when(k <= 127, 30 + (k - 60) * 5.0))
+
+    return F.struct(days(0.25).alias("low_days"), days(0.75).alias("high_days"))
 
 
 def failure_window_label(window: Column) -> Column:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.session import checkpoint_folder
-from gaugeworks.streaming import jobs
+from gaugeworks.operators import fleet
+from gaugeworks.streaming import fleet_state, jobs
 
+from . import fleet_catalog
 from .catalog import DAILY, daily, query
 
 DELAY_DAYS, FILES = 3, 4
@@ -20,15 +22,15 @@ DAY_US = 86_400_000_000
 END = "2100-01-01"  # a last row of no device, whose time lets all others be taken
 
 
-def arriving(rows: DataFrame, by: str, at: str, folder: str, files: int = FILES, delay_days: int = DELAY_DAYS) -> str:
-    """Writes ``rows`` as so many sets of files that arrive one after the other, each row up to ``delay_days`` after its time."""
+def arriving(rows: DataFrame, by: str, at: str, folder: str, files: int = FILES, delay_days: int = DELAY_DAYS, **closing: Column) -> str:
+    """Writes ``rows`` as so many sets of files that arrive one after the other, each row up to ``delay_days`` after its time; ``closing`` has columns of the last row."""
     day = F.unix_date(F.to_date(at)) + F.pmod(F.xxhash64(by, at), F.lit(delay_days))
     first, last = rows.agg(F.min(day), F.max(day)).first()
     part = F.lit(0) if first is None else F.floor((day - first) * files / (last - first + 1))
     marked = rows.withColumn("part", part)
     for i in range(files):  # one after the other: a stream takes files by their time
         marked.where(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
-    end = rows.sparkSession.range(1).select(*(F.lit(END).cast("timestamp").alias(c) if c == at else F.lit("~").alias(c) if c == by else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes))
+    end = rows.sparkSession.range(1).select(*(closing[c].cast(kind).alias(c) if c in closing else F.lit(END).cast("timestamp").alias(c) if c == at else F.lit("~").alias(c) if c == by else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes))
     end.write.mode("append").parquet(folder)
     return folder
 
@@ -77,3 +79,21 @@ def stream_left_out(spark, sf):
     """Rows that no window may hold, by their kind; within the delay none is late."""
     rows = streamed(spark, sf, stride=3, start_us=19_725 * DAY_US, stop_us=19_749 * DAY_US)
     return rows.where("kind <> 'window' AND device <> '~'").groupBy(F.col("device").cast("long").alias("user_id"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def arriving_runs(runs: DataFrame, folder: str, files: int = FILES) -> str:
+    nothing = [F.lit(None)] * 4
+    part = F.array(F.struct(F.lit("~"), F.lit("none"), F.lit("~"), *nothing))  # the last run must have a component to move the watermark
+    return arriving(runs.withColumn("by", F.col("machine.id")), "by", "collected_at", folder, files, components=part)
+
+
+@query(fleet_catalog.ANALYSIS + "SELECT device, dt, component, health, len(ev)::INT AS findings, n::INT AS points, round(slope, 6) + 0.0::DOUBLE AS slope, accelerating, status, trend, priority_score, signal FROM a")
+def stream_fleet(spark, sf):
+    """Every component of every run as the stream scores it, run by run."""
+    folder = place(spark)
+    where = arriving_runs(fleet_catalog.runs(spark, sf), f"{folder}/in")
+    stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=8)
+    scored = fleet_state.analyse(stream, f"{DELAY_DAYS} days").where("kind = 'scored'")
+    out = scored.select("device", F.to_date("t").alias("dt"), "component", "health", F.size("evidence").alias("findings"), "points", (F.round("slope", 6) + 0.0).alias("slope"), "accelerating", "status", "trend", "priority_score", "signal")
+    jobs.run(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")

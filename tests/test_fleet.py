@@ -8,13 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import fleet, relations, windows
-from gaugeworks.plans import fleet_catalog
 from gaugeworks.sources import readers
 
 
 @pytest.fixture(scope="module")
 def analysis(spark):
-    return fleet_catalog._analysis(spark)
+    return fleet.analyse(readers.demo_fleet(spark)).persist()
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +51,7 @@ def test_trajectories_are_those_of_fits_by_hand(rows):
     assert seen
 
 
-def test_sites_and_patterns(spark, rows):
+def test_sites_and_patterns(spark, analysis, rows):
     last = max(r.t for r in rows)
     now = [r for r in rows if r.t == last]
     sick, racks, worst = collections.defaultdict(set), collections.defaultdict(set), {}
@@ -61,9 +60,10 @@ def test_sites_and_patterns(spark, rows):
         worst.setdefault((r.site, r.device), []).append(r.health)
         if r.status != "healthy" or r.trend in fleet.DRIFTING:
             sick[r.site, r.rack, r.group].add(r.device)
-    got = {(r.site, r.rack, r.group): (r.devices, r.members, r.severity) for r in fleet_catalog.fleet_rack_patterns(spark, "").collect()}
-    assert got == {k: (len(v), ",".join(sorted(v)), "elevated" if len(v) >= 5 else "watch") for k, v in sick.items() if len(v) >= 3} and got
-    for r in fleet_catalog.fleet_sites(spark, "").collect():
+    latest = fleet.latest(analysis)
+    got = {(r.site, r.rack, r.group): (r.devices, r.members, r.severity) for r in fleet.rack_patterns(latest).collect()}
+    assert got == {k: (len(v), sorted(v), "elevated" if len(v) >= 5 else "watch") for k, v in sick.items() if len(v) >= 3} and got
+    for r in fleet.rollup(fleet.frames(latest), ["site"]).collect():
         mine = [h for (site, _), h in worst.items() if site == r.site]
         means = [round(0.6 * min(h) + 0.4 * sum(h) / len(h), 1) for h in mine]
         assert (r.nodes, r.racks) == (len(mine), len(racks[r.site])) and abs(r.health - sum(means) / len(means)) < 0.11
@@ -72,13 +72,13 @@ def test_sites_and_patterns(spark, rows):
         assert [r.n_healthy, r.n_watch, r.n_elevated, r.n_critical] == [count[s] for s in ("healthy", "watch", "elevated", "critical")]
 
 
-def test_incidents_and_ranks(spark, rows):
+def test_incidents_and_ranks(spark, analysis, rows):
     last = max(r.t for r in rows)
     want = sorted(((-r.priority_score, r.device, r.component) for r in rows if r.t == last and r.status != "healthy"))
-    assert [(-r.priority_score, r.device, r.component) for r in fleet_catalog.fleet_incidents(spark, "").collect()] == want
+    assert [(-r.priority_score, r.device, r.component) for r in fleet.incidents(fleet.latest(analysis)).collect()] == want
     codes = {"healthy": "none", "watch": "observe", "elevated": "plan", "critical": "act"}
     by = collections.defaultdict(list)
-    for r in fleet_catalog.fleet_components(spark, "").collect():
+    for r in fleet.ranked(fleet.latest(analysis)).collect():
         by[r.device].append(r)
         assert r.action == codes[r.status] and f"health={r.health:.1f}" in r.facts
     for parts in by.values():
@@ -86,7 +86,7 @@ def test_incidents_and_ranks(spark, rows):
 
 
 def test_timeline_is_causal_and_links_are_those_of_days(spark, analysis):
-    now = F.lit(fleet_catalog.NOW).cast("timestamp")
+    now = F.lit("2024-06-30 12:00:00").cast("timestamp")
     days = fleet.timeline(analysis, now)
     early = fleet.timeline(analysis.where(F.col("t") <= now - F.expr("interval 5 days")), now)
     key = lambda r: (r.device, r.day)
@@ -101,8 +101,10 @@ def test_timeline_is_causal_and_links_are_those_of_days(spark, analysis):
             site, rack, slot = place[r.device]
             for g in r.groups:
                 want[r.day, site, rack, g].append((slot or 99, r.device, level[r.status]))
-    got = {(r.day, r.site, r.rack, r.group): (r.devices, r.members, r.status) for r in fleet_catalog.fleet_links(spark, "").collect()}
-    assert got == {k: (len(v), ",".join(d for _, d, _ in sorted(v)), names[max(1, *(x for _, _, x in v))]) for k, v in want.items() if len(v) >= 2} and got
+    places = fleet.latest(analysis).select("device", "site", "rack", "slot").distinct()
+    linked = fleet.links(days, places, windows.baseline(days.where("day <= 0"), "device", "day", "h"))
+    got = {(r.day, r.site, r.rack, r.group): (r.devices, r.members, r.status) for r in linked.collect()}
+    assert got == {k: (len(v), [d for _, d, _ in sorted(v)], names[max(1, *(x for _, _, x in v))]) for k, v in want.items() if len(v) >= 2} and got
 
 
 def test_findings_name_what_goes_together(spark):
@@ -146,3 +148,38 @@ def test_band_levels_are_parsevals():
     at = np.minimum(np.arange(512), 512 - np.arange(512)) * 16_000 / 512
     want = np.sqrt(np.stack([whole[:, at < 2000].sum(1), whole[:, at >= 2000].sum(1)], 1))
     assert np.allclose(readers.band_levels(frames, 16_000), want, atol=1e-12)
+
+
+def test_scored_signals_are_those_that_had_data(spark):
+    part = lambda t, series=None, static=None, smart=None: ("c", t, "c", static or {}, smart or {}, series or {}, None)
+    cases = [
+        (part("cpu", {"temp_c": [50.0], "unknown": [1.0], "freq_mhz": [4.0] * 5}), 1), (part("cpu", {"temp_c": [50.0], "bench_ops": [1.0], "freq_mhz": [4.0, 4.0, 3.0, 2.0]}, {"hardware_errors_30d": "0"}), 4),
+        (part("storage", {"write_mbps": [1.0]}, {"wear_pct": "3"}, {"reallocated_sectors": 0.0, "temperature_c": 30.0, "spin_retries": 2.0}), 4), (part("storage", {"latency_ms": [float("nan")]}), 0),
+        (part("memory", {"used_pct": [1.0], "swap_pct": [1.0]}, {"ecc_corrected": "0", "ecc_uncorrected": "1"}), 2), (part("battery", static={"cycle_count": "10", "full_charge_capacity_mwh": "5"}), 1),
+        (part("cooling", {"rpm": [1000.0]}), 1), (part("cooling"), 0), (part("gpu", {"temp_c": [1.0], "power_w": [1.0]}), 1), (part("power", {"voltage_v": [12.0], "temp_c": [1.0]}), 2),
+    ]
+    runs = [("v", "agent", dt.datetime(2024, 1, 1), (f"m{i}", None, None, None, "medium", "s", "r", 1), [p]) for i, (p, _) in enumerate(cases)]
+    got = {r.device: r.signals for r in fleet.analyse(spark.createDataFrame(runs, fleet.RUN)).collect()}
+    assert got == {f"m{i}": n for i, (_, n) in enumerate(cases)}
+
+
+def test_risk_in_closed_form_is_the_sum_of_its_steps(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(round(h, 1)), float(s)) for h, s in zip(rng.uniform(1, 100, 60), [0.0, 0.4, -9.0, -0.01, *rng.normal(0, 3, 56)], strict=True)]
+    df = spark.createDataFrame(rows, "h double, s double")
+    hazard = lambda h: 0.0004 + 0.35 * ((100 - max(0.0, h)) / 100) ** 3
+
+    def upto(h, s, steps):
+        total, at, ends = 0.0, 0.0, []
+        for w in steps:
+            total += hazard(h + min(0.0, s) * (at + w / 2)) * w
+            at += w
+            ends.append((at, 1 - np.exp(-total)))
+        return ends
+
+    from gaugeworks.functions import scalars as S
+
+    for r in df.select("h", "s", S.cumulative_risk("h", "s", 7.0).alias("a"), S.cumulative_risk("h", "s", 0.6).alias("b"), S.cumulative_risk("h", "s", 0.0).alias("z"), S.failure_window("h", "s").alias("w")).collect():
+        assert r.a == pytest.approx(upto(r.h, r.s, [0.25] * 28)[-1][1], abs=1e-12) and r.b == pytest.approx(upto(r.h, r.s, [0.25, 0.25, 0.1])[-1][1], abs=1e-12) and r.z == 0
+        ends = upto(r.h, r.s, [0.5] * 60 + [5.0] * 67)
+        assert (r.w.low_days, r.w.high_days) == tuple(next((t for t, p in ends if p >= q), None) for q in (0.25, 0.75))

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import windows
-from gaugeworks.plans import catalog
+from gaugeworks.operators import fleet, windows
+from gaugeworks.plans import catalog, fleet_catalog, stream_catalog
 from gaugeworks.sources import readers
-from gaugeworks.streaming import jobs
+from gaugeworks.streaming import fleet_state, jobs
 
 SF, DAY = "/root/testdata/sf0.001", 86_400_000_000
 SCHEMA = "device string, at timestamp, value double, failed boolean"
@@ -107,3 +107,15 @@ def test_runs_from_files(spark, tmp_path):
     path.mkdir()
     (path / "a.json").write_text('{"schema": "run-v1", "collected_at": "2024-01-01T00:00:00Z",\n "machine": {"id": "m1"}, "components": []}')
     assert [(r.machine.id, r.collected_at) for r in readers.runs(spark, str(path)).collect()] == [("m1", EPOCH)]
+
+
+def test_scores_in_state_are_those_of_the_batch_run_by_run(spark, tmp_path):
+    runs = fleet_catalog.runs(spark, SF).where("machine.slot < 3")
+    where = stream_catalog.arriving_runs(runs, str(tmp_path / "in"), files=3)
+    out = fleet_state.analyse(jobs.follow(spark, where, fleet.RUN, files_per_trigger=4), "3 days")
+    columns = ["device", "component", "t", "health", "points", "slope", "accelerating", "status", "trend", "priority_score", "confidence", "signal", "action", "evidence"]
+    jobs.run(out.select("kind", *columns), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("kind <> 'scored'").count() == 0
+    shown = lambda df: sorted((r.device, r.component, r.t, r.health, r.points, round(r.slope, 8), r.accelerating, r.status, r.trend, r.priority_score, r.confidence, r.signal, r.action, [e.signal for e in r.evidence]) for r in df.select(columns).collect())
+    assert shown(got) == shown(fleet.analyse(runs)) and got.count() > 100
