@@ -122,30 +122,56 @@ def sign_test(gains: DataFrame, gain: str) -> DataFrame:
     return each.withColumn("s", signed).groupBy(F.size("d").alias("groups"), F.col("observed").alias("mean_gain")).agg(F.avg((F.col("s") >= F.col("observed") - 1e-9).cast("int")).alias("probability"))
 
 
-#: Pairs that one task resamples; draws are taken a few million values at a time.
-MOST_RESAMPLED = 2_000_000
+#: Pairs of a leaf, on average, and draws that a leaf makes at a time.
+LEAF_PAIRS, DRAWN = 16_384, 1 << 22
 
 
-def bootstrap_interval(pairs: DataFrame, first: str, second: str, order: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 % quantiles of means of resampled differences, by NumPy's generator.
+def bootstrap_interval(pairs: DataFrame, first: str, second: str, order: str, draws: int = 2000, seed: int = 42, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:
+    """(low, high): the 2.5 and 97.5 % quantiles of means of resampled differences.
 
-    Evaluation sets are held-out samples, so they meet in one group, of MOST_RESAMPLED pairs at most.
+    Pairs fall into leaves of a binary tree by a hash of ``order``. How many of a resample's n
+    draws a leaf gets is found from the root down: each node splits its draws between its
+    children by a binomial of their pair counts, from a generator seeded by the node.
+    A leaf draws its share from its own pairs, and the sums of leaves add up. So no task
+    holds all pairs, and the same pairs give the same interval however they are partitioned.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("o")
-        if not len(frame):
-            return pd.DataFrame({"low": [], "high": []})
-        if len(frame) > MOST_RESAMPLED:
-            raise ValueError(f"more than {MOST_RESAMPLED} pairs to resample in one place")
-        # the generator's stream is the same however many draws a call takes
-        values, rng, step = frame["d"].to_numpy(), np.random.default_rng(seed), max(1, (1 << 22) // len(frame))
-        means = np.concatenate([rng.choice(values, size=(min(step, draws - at), len(values)), replace=True).mean(axis=1) for at in range(0, draws, step)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"low": [low], "high": [high]})
-
-    rows = pairs.select(F.lit(1).alias("g"), (F.col(first).cast("double") - F.col(second).cast("double")).alias("d"), F.col(order).alias("o"))
-    return rows.groupBy("g").applyInPandas(run, "low double, high double")
+    value = (F.col(first).cast("double") - F.col(second).cast("double")).alias("d")
+    rows = pairs.select(value, F.col(order).alias("o")).withColumn("h", F.xxhash64("o"))
+    n = rows.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf_pairs)))) if n else 0
+    leafed = rows.withColumn("leaf", F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long"))
+    sizes = leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    # the counts of the nodes on the way to a leaf, and of their left children
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    nodes = sizes.withColumn("level", level).withColumn("node", F.expr(f"shiftright(leaf, {depth} - level)")).groupBy("level", "node").agg(F.sum("n").alias("m"))
+    left = nodes.select((F.col("level") - 1).alias("level"), F.expr("shiftright(node, 1)").alias("node"), F.when(F.col("node") % 2 == 0, F.col("m")).otherwise(0).alias("lm")).groupBy("level", "node").agg(F.sum("lm").alias("left"))
+    way = sizes.withColumn("level", level).withColumn("node", F.expr(f"shiftright(leaf, {depth} - level)")).join(nodes.join(left, ["level", "node"], "left"), ["level", "node"])
+    paths = way.groupBy(F.col("leaf").alias("of")).agg(F.sort_array(F.collect_list(F.struct("level", "node", "m", F.coalesce("left", F.lit(0)).alias("left")))).alias("path"))  # depth + 1 entries
+
+    def run(key, mine: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"draw": [], "total": []})
+        leaf, path = int(key[0]), list(ways["path"].iloc[0])
+        share = np.full(draws, n, np.int64)
+        for step in path[:-1]:
+            at, node, whole, on_left = (int(step[k]) for k in ("level", "node", "m", "left"))
+            to_left = np.random.default_rng([seed, 1, at, node]).binomial(share, on_left / whole)
+            share = share - to_left if leaf >> (depth - at - 1) & 1 else to_left
+        values = np.sort(mine["d"].to_numpy())
+        rng, total = np.random.default_rng([seed, 2, leaf]), np.zeros(draws)
+        ends = np.cumsum(share)
+        for start in range(0, int(ends[-1]), DRAWN):
+            stop = min(start + DRAWN, int(ends[-1]))
+            drawn = np.concatenate([[0.0], np.cumsum(values[rng.integers(0, len(values), stop - start)])])
+            edges = np.clip(np.concatenate([[0], ends]), start, stop) - start
+            total += np.diff(drawn[edges])
+        return pd.DataFrame({"draw": np.arange(draws), "total": total})
+
+    sums = leafed.select("leaf", "d").groupBy("leaf").cogroup(paths.groupBy("of")).applyInPandas(run, "draw int, total double")
+    # decimals, as their sums don't hang on the order of leaves
+    means = sums.groupBy("draw").agg((F.sum(F.col("total").cast("decimal(38,9)")).cast("double") / F.lit(max(1, n))).alias("mean"))
+    found = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("k"))  # ``draws`` rows
+    return found.where("k > 0").select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def counterfactual(rows: DataFrame, target: str, changed_target: str, correct: str, correct_unchanged: str) -> DataFrame:

@@ -55,11 +55,42 @@ def shuffled(df: DataFrame, key: str, seed: int, after: str | None = None) -> Da
     return (out.where(F.col("place") > after) if after is not None else out).orderBy("place", key)
 
 
-def page(df: DataFrame, order: list[Column | str], index: int) -> DataFrame:
-    """The row at ``index`` in an order; an index outside the rows is an error."""
-    if index < 0:
-        raise IndexError(index)
-    row = df.orderBy(*order).offset(index).limit(1)
-    if not row.limit(1).count():
-        raise IndexError(index)
-    return row
+class Ranked:
+    """A table in an order over all its rows, stored as ranges, so that a place costs one of them.
+
+    Rows are dealt to ranges of the order, sorted in each and written once; a range's rows are
+    numbered within it, and the ranges' counts, added up, give the place of its first
+    row. ``page`` reads the range that holds a place; ``rows`` numbers the whole table.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column | str], folder: str, ranges: int | None = None):
+        spark = df.sparkSession
+        ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = [F.col(o) if isinstance(o, str) else o for o in order]
+        sorted_ = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+        within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a partition's rows as they come
+        sorted_.withColumns({"_range": F.spark_partition_id(), "_at": within}).write.partitionBy("_range").option("compression", "zstd").parquet(folder)
+        self.columns = df.columns
+        self.stored = spark.read.schema(sorted_.withColumns({"_at": within, "_range": F.spark_partition_id()}).schema).parquet(folder)
+        counts = {r["_range"]: r["count"] for r in self.stored.groupBy("_range").count().collect()}  # a row for each range
+        self.first, self.count = {}, 0
+        for i in sorted(counts):
+            self.first[i] = self.count
+            self.count += counts[i]
+
+    def page(self, index: int, rows: int = 1) -> DataFrame:
+        """The ``rows`` rows from place ``index`` (from 0) on; a place outside the table is an error."""
+        if not 0 <= index < self.count:
+            raise IndexError(index)
+        later = sorted(self.first.items())
+        hit = [(i, a) for (i, a), b in zip(later, [a for _, a in later[1:]] + [self.count], strict=True) if a < index + rows and b > index]
+        place = self._place(hit)
+        return self.stored.where(F.col("_range").isin([i for i, _ in hit])).where((place >= index) & (place < index + rows)).orderBy(place).select(*self.columns)
+
+    def rows(self, name: str = "place") -> DataFrame:
+        """All rows with their ``name``, from 1."""
+        return self.stored.withColumn(name, self._place(list(self.first.items())) + 1).select(*self.columns, name)
+
+    def _place(self, ranges: list[tuple[int, int]]) -> Column:
+        firsts = F.create_map(*(F.lit(x) for pair in ranges for x in pair)) if ranges else None
+        return F.col("_at") + (F.element_at(firsts, F.col("_range")) if ranges else F.lit(0))

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import fleet, windows
-from gaugeworks.session import table
+from gaugeworks.operators import fleet, sampling, windows
+from gaugeworks.session import scratch_folder, table
 
 from .catalog import query
 
@@ -150,9 +150,8 @@ def fleet_findings(spark, sf):
 @query(ANALYSIS + """SELECT device, upper(device) AS label, site, rack, component, name, type, status, health, round(risk_7d, 6) AS risk_7d, trend, priority_score, signal, row_number() OVER (ORDER BY priority_score DESC, device, component) AS place FROM now WHERE status <> 'healthy'""")
 def fleet_incidents(spark, sf):
     found = fleet.incidents(fleet.latest(analysis(spark, sf))).drop("action")
-    from gaugeworks.operators.sampling import ranked
-
-    return ranked(found, [F.desc("priority_score"), F.col("device"), F.col("component")], "place").withColumn("risk_7d", F.round("risk_7d", 6))
+    order = [F.desc("priority_score"), F.col("device"), F.col("component")]
+    return sampling.Ranked(found, order, scratch_folder(spark)).rows().withColumn("risk_7d", F.round("risk_7d", 6))
 
 
 #: t: the days -29 to 7 of each device

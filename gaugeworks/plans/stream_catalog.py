@@ -5,12 +5,10 @@ The SQL states the result of the whole table at once: a stream's windows and sco
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import checkpoint_folder
+from gaugeworks.session import scratch_folder
 from gaugeworks.operators import fleet
 from gaugeworks.streaming import fleet_state, jobs
 
@@ -35,13 +33,9 @@ def arriving(rows: DataFrame, by: str, at: str, folder: str, files: int = FILES,
     return folder
 
 
-def place(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf: str, **options) -> DataFrame:
     """The windows of the days of users, as a stream gives them out."""
-    folder = place(spark)
+    folder = scratch_folder(spark)
     rows = daily(spark, sf).select(F.col("user_id").cast("string").alias("device"), F.col("dt").cast("timestamp").alias("at"), F.col("v").alias("value"), (F.col("failure") == 1).alias("failed"))
     stream = jobs.follow(spark, arriving(rows, "device", "at", f"{folder}/in"), "device string, at timestamp, value double, failed boolean", files_per_trigger=8)
     job = jobs.run(jobs.windows(stream, "at", f"{DELAY_DAYS} days", 7, DAY_US, **options), f"{folder}/out", f"{folder}/state")
@@ -90,7 +84,7 @@ def arriving_runs(runs: DataFrame, folder: str, files: int = FILES) -> str:
 @query(fleet_catalog.ANALYSIS + "SELECT device, dt, component, health, len(ev)::INT AS findings, n::INT AS points, round(slope, 6) + 0.0::DOUBLE AS slope, accelerating, status, trend, priority_score, signal FROM a")
 def stream_fleet(spark, sf):
     """Every component of every run as the stream scores it, run by run."""
-    folder = place(spark)
+    folder = scratch_folder(spark)
     where = arriving_runs(fleet_catalog.runs(spark, sf), f"{folder}/in")
     stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=8)
     scored = fleet_state.analyse(stream, f"{DELAY_DAYS} days").where("kind = 'scored'")

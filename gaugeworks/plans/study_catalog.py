@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars as S
 from gaugeworks.operators import evaluation, features, fleet, quality, relations, sampling, studies, windows
-from gaugeworks.session import table
+from gaugeworks.session import scratch_folder, table
 from gaugeworks.spec import DAY_US, Channel, Study, micros, splits
 
 from .catalog import BUCKET, CASE, DAILY, FRAMES, PARTS, RULED, SPLIT, TILES, daily, frames, parts, query, ruled, tiled
@@ -335,7 +335,14 @@ def slot_order(spark, sf):
 
 @query("SELECT event_id, user_id FROM events ORDER BY sha256('612:' || event_id), event_id LIMIT 1 OFFSET 41")
 def page_at(spark, sf):
-    return sampling.page(table(spark, sf, "events").select("event_id", "user_id"), [S.salted_hash("612:", "event_id"), "event_id"], 41)
+    order = [S.salted_hash("612:", "event_id"), F.col("event_id")]
+    return sampling.Ranked(table(spark, sf, "events").select("event_id", "user_id"), order, scratch_folder(spark)).page(41)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events")
+def event_rank(spark, sf):
+    """The place of every event by value, over the whole table."""
+    return sampling.Ranked(table(spark, sf, "events").select("event_id", "value"), [F.desc("value"), F.col("event_id")], scratch_folder(spark)).rows().drop("value")
 
 
 @query(PARTS + ", d AS (SELECT device, site, rack, min(health) AS h, arg_min(status, health) AS status FROM q GROUP BY device, site, rack) SELECT device, site, h, status FROM d WHERE contains(lower(device || ' ' || rack || ' ' || site), 'a') AND status <> 'healthy' AND site = 'ASIA'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,6 @@ SETTINGS = {
 }
 
 
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set, as in tests on one machine."""
     context = spark.sparkContext
@@ -29,6 +29,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return known.get()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/gaugeworks-{uuid.uuid4().hex}"
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

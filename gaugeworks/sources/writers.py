@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import hex_bucket
-from gaugeworks.operators.relations import differences
+from gaugeworks.operators.relations import compare
 
 
 def sorted_parquet(df: DataFrame, path: str, *order: str) -> None:
@@ -22,6 +22,15 @@ def by_bucket(df: DataFrame, path: str, key: str) -> None:
     df.withColumn("bucket", hex_bucket(key)).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, path: str, device: str, order: str, buckets: int) -> DataFrame:
+    """A catalogued table at ``path`` whose devices lie whole in one of ``buckets`` files, in order: windows by device and joins with a table of as many buckets read it without an exchange."""
+    (
+        df.repartition(buckets, device).sortWithinPartitions(device, order).write.mode("errorifexists")
+        .bucketBy(buckets, device).sortBy(device, order).option("compression", "zstd").option("path", path).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def accepted_and_quarantined(marked: DataFrame, path: str, reason: str = "reason") -> None:
     """One pass, two sides: rows with a reason under accepted=false."""
     marked.withColumn("accepted", F.col(reason).isNull()).write.partitionBy("accepted").option("compression", "zstd").parquet(path)
@@ -54,20 +63,28 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def save_runs(df: DataFrame, path: str) -> None:
-    """Appends telemetry runs under their device; a run needs components, and ids of the demo fleet are refused."""
-    bad = df.where((F.size(F.coalesce("components", F.array().cast(df.schema["components"].dataType))) == 0) | F.coalesce(F.col("source") == "demo", F.lit(False)))
-    if bad.limit(1).count():
-        raise ValueError("a run without components, or of the demo fleet")
-    device = F.regexp_replace(F.coalesce("machine.id", "machine.hostname", F.lit("unknown")), "[^a-zA-Z0-9_-]", "-")
-    machine = F.col("machine").withField("id", device).withField("site", F.coalesce("machine.site", F.lit("local"))).withField("rack", F.coalesce("machine.rack", F.lit("bench")))
-    df.withColumn("machine", machine).withColumn("device", device).write.mode("append").partitionBy("device").json(path)
+def save_runs(df: DataFrame, path: str, demo_ids: DataFrame | None = None) -> None:
+    """Appends telemetry runs under their device; a run needs components, and devices of the demo fleet (``demo_ids``, a column ``id``) are refused.
 
-
-def verify(written: DataFrame, source: DataFrame) -> None:
-    """Raises unless both hold the same rows, with multiplicity."""
-    if differences(written, source.select(*written.columns)).limit(1).count():
-        raise ValueError("what was written differs from its source")
+    The checks are part of the write: a run that fails one ends it, and nothing is committed.
+    """
+    device = F.regexp_replace(F.coalesce("machine.id", "machine.hostname", F.lit("unknown")), "[^a-zA-Z0-9_-]", "-")
+    rows = df.withColumn("device", device)
+    if demo_ids is not None:
+        rows = rows.join(demo_ids.select(F.col("id").alias("device"), F.lit(True).alias("_demo")).distinct(), "device", "left")
+    else:
+        rows = rows.withColumn("_demo", F.lit(None).cast("boolean"))
+    empty = F.coalesce(F.size("components") <= 0, F.lit(True))
+    fault = F.when(empty, F.raise_error(F.lit("a run without components"))).when(F.col("_demo"), F.raise_error(F.lit("a run of the demo fleet"))).otherwise(F.col("device"))
+    machine = F.col("machine").withField("id", F.col("device")).withField("site", F.coalesce("machine.site", F.lit("local"))).withField("rack", F.coalesce("machine.rack", F.lit("bench")))
+    rows.withColumn("machine", machine).withColumn("device", fault.cast("string")).select(*df.columns, "device").write.mode("append").partitionBy("device").json(path)
+
+
+def verify(written: DataFrame, source: DataFrame, keys: list[str] | None = None) -> None:
+    """Raises unless both hold the same rows, with multiplicity; with ``keys`` the error names records, fields and both values."""
+    found = compare(written, source.select(*written.columns), keys or written.columns).limit(5).collect()
+    if found:
+        raise ValueError("what was written differs from its source: " + "; ".join(str(r.asDict()) for r in found))
 
 
 def dataset(path: str, records: DataFrame, specs: DataFrame, observations: DataFrame, annotations: DataFrame, tasks: DataFrame) -> None:

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from gaugeworks.plans import catalog, fleet_catalog, study_catalog  # noqa: F401
+from gaugeworks.plans import catalog, fleet_catalog, stream_catalog, study_catalog  # noqa: F401
 from gaugeworks.session import TABLES
 
 SF = "/root/testdata/sf0.001"
