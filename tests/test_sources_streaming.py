@@ -102,3 +102,66 @@ def test_stream_ingest_is_batch(spark, tmp_path):
         q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 40 and out.where("accepted = 'true'").count() == 16 and out.where("accepted = 'false'").first().reason == "failure flag"
+
+
+def test_preamble_of_a_file_in_many_splits(spark, tmp_path):
+    lines = ["# made by x", "# Time zone: UTC", "# a, b", "# Date and time,x", *(f"2018-01-01 00:{k // 60 % 60:02d}:{k % 60:02d},{k}.5" for k in range(4000)), "", "# Date and time,x", "2018-01-02 00:00:00,"]
+    (tmp_path / "A_1_2018.csv").write_text("\r\n".join(lines) + "\r\n")
+    (tmp_path / "B_2_2019.csv").write_text("# Time zone: UTC\n# Date and time,x\n2019-01-01 00:00:00,7\n")
+    (tmp_path / "empty_3_2019.csv").write_text("# Time zone: UTC\n# Date and time,x\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = readers.preamble_csv(spark, str(tmp_path / "*.csv"), "at string, x double")
+        rows = readers.turbine_files(df).collect()
+        assert spark.read.text(str(tmp_path / "A_1_2018.csv")).rdd.getNumPartitions() > 5
+        (tmp_path / "late_4_2019.csv").write_text("\n".join(["# x"] * 70) + "\n# Time zone: UTC\n# Date and time,x\n2019-01-01 00:00:00,7\n")
+        with pytest.raises(Exception, match="no UTC header"):
+            readers.preamble_csv(spark, str(tmp_path / "*.csv"), "at string, x double").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.x for r in rows if r.site == "A" and r.x is not None) == [k + 0.5 for k in range(4000)]
+    assert [(r.at, r.x) for r in rows if r.site == "B"] == [("2019-01-01 00:00:00", 7.0)] and len(rows) == 4002
+
+
+def test_members_of_a_tar_are_partitions(spark, tmp_path):
+    import tarfile
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def member(name, at, more=()):
+        columns = {"timestamp": at, "fan0": pa.array([float(len(name))] * len(at)), **dict(more)}
+        pq.write_table(pa.table(columns), tmp_path / "part.parquet", row_group_size=2)
+        return name, (tmp_path / "part.parquet").read_bytes()
+
+    def archive(path, *members):
+        with tarfile.open(path, "w") as tar:
+            for name, content in (("readme.txt", b"x"), *members):
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return str(path)
+
+    utc = pa.array([dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), None], pa.timestamp("us", tz="UTC"))
+    good = archive(tmp_path / "a.tar", member("n1/x.parquet", utc), member("n22/x.parquet", utc, [("other", pa.array([1, 2, 3]))]))
+    schema = "member string, timestamp timestamp, fan0 double"
+    df = readers.tar_parquet(spark, good, schema)
+    assert df.rdd.getNumPartitions() == 2
+    assert sorted((r.member, r.timestamp is None, r.fan0) for r in df.collect()) == sorted((n, k == 2, float(len(n))) for n in ("n1/x.parquet", "n22/x.parquet") for k in range(3))
+    assert readers.tar_parquet(spark, good, schema, r"n1/.*").count() == 3
+    for bad, said in ((archive(tmp_path / "b.tar", member("x.parquet", utc.cast(pa.timestamp("us")))), "UTC"), (archive(tmp_path / "c.tar", member("x.parquet", utc)), "no column fan1")):
+        with pytest.raises(Exception, match=said):
+            readers.tar_parquet(spark, bad, schema + (", fan1 double" if "column" in said else "")).collect()
+
+
+def test_wide_devices(spark):
+    rows = spark.createDataFrame([(1, 2.0, "ok", 3.0, "bad", 9.0)], "t int, `a_temp` double, `a_temp__qc` string, `b_flow_rate` double, `b_flow_rate__qc` string, other double")
+    assert sorted(map(tuple, readers.wide_devices(rows, "t").collect())) == [(1, "a", "temp", 2.0, "ok"), (1, "b", "flow_rate", 3.0, "bad")]
+
+
+def test_datasets_and_pins(spark, tmp_path):
+    one = spark.range(3)
+    writers.dataset(str(tmp_path / "d"), one, one, one.withColumnRenamed("id", "o"), one, one)
+    back = writers.read_dataset(spark, str(tmp_path / "d"))
+    assert set(back) == {"records", "channel_spec", "observations", "annotations", "tasks"} and back["observations"].columns == ["o"]
+    assert readers.pinned(spark, "no.table", "1", str(tmp_path / "d/tasks")).count() == 3
