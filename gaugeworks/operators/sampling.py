@@ -16,19 +16,25 @@ def cohort(ids: DataFrame, key: str, salt: str, n: int) -> DataFrame:
     return ids.select(key).distinct().orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), key).limit(n)
 
 
+def _enough(df: DataFrame, counts: DataFrame, short: Column, said: str) -> DataFrame:
+    """``df`` with a check in its plan: reading it fails if any row of ``counts`` is short."""
+    worst = counts.agg(F.coalesce(F.bool_or(short), F.lit(False)).alias("_short"))
+    known = F.when(F.col("_short"), F.raise_error(F.lit(said)).cast("boolean")).otherwise(F.lit(True))
+    return df.crossJoin(F.broadcast(worst.select(known.alias("_enough")))).where("_enough").drop("_enough")  # one row
+
+
 def top_by_hash(df: DataFrame, within: list[str], key: str, salt: str, n: int, *, required: bool = False) -> DataFrame:
     """The ``n`` rows of each group that come first by salted hash; too few are fatal if ``required``."""
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(salted_hash(salt, key), key))
     out = df.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
-    if required and out.groupBy(*within).count().where(F.col("count") < n).limit(1).count():
-        raise ValueError("a group has too few members")
-    return out
+    return _enough(out, df.groupBy(*within).count(), F.col("count") < n, "a group has too few members") if required else out
 
 
-def one_per_group(df: DataFrame, group: str, key: str, group_salt: str, key_salt: str, n: int) -> DataFrame:
-    """For the first ``n`` groups by hash, the row whose own hash is least."""
+def one_per_group(df: DataFrame, group: str, key: str, group_salt: str, key_salt: str, n: int, *, required: bool = False) -> DataFrame:
+    """For the first ``n`` groups by hash, the row whose own hash is least; fewer groups are fatal if ``required``."""
     best = df.groupBy(group).agg(F.min_by(F.struct(*df.columns), F.struct(salted_hash(key_salt, key), F.col(key))).alias("r"))
-    return best.orderBy(salted_hash(group_salt, group), group).limit(n).select("r.*")
+    out = best.orderBy(salted_hash(group_salt, group), group).limit(n).select("r.*")
+    return _enough(out, df.agg(F.count_distinct(group).alias("count")), F.col("count") < n, "too few groups") if required else out
 
 
 def with_split(df: DataFrame, key: str, salt: str, rules: tuple[Split, ...]) -> DataFrame:

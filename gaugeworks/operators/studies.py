@@ -83,6 +83,127 @@ def daily_audit(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
     )
 
 
+def segments(rows: DataFrame, by: list[str], time: str, step: int, ok: Column, size: int = WINDOW) -> DataFrame:
+    """All rows with ``_ok`` and, for those that are, ``_run`` and ``_pos`` (from 0) in their run; ``_gap`` marks one that a wrong step cuts off a window that isn't full yet.
+
+    A row that isn't ok ends a run wherever its time lies, and so does a step of another length.
+    Times that repeat or that aren't known are fatal.
+    """
+    order = Window.partitionBy(*by).orderBy(time)
+    since = F.col(time) - F.lag(time).over(order)
+    strict = F.when((since <= 0) | F.col(time).isNull(), F.raise_error(F.lit("times of a device repeat or lack")).cast("bigint")).otherwise(since)
+    seen = rows.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_step", strict).withColumn("_before", F.coalesce(F.lag("_ok").over(order), F.lit(False)))
+    new = F.col("_ok") & ~(F.col("_before") & (F.col("_step") == step))
+    runs = seen.withColumn("_new", new).withColumn("_run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*by, "_run", "_ok")
+    placed_ = runs.withColumn("_pos", F.row_number().over(run.orderBy(time)) - 1)
+    open_ = F.lag((F.col("_pos") + 1) % size != 0).over(order)
+    return placed_.withColumn("_gap", F.col("_new") & F.col("_before") & F.coalesce(open_, F.lit(False))).drop("_step", "_before", "_new")
+
+
+def whole(marked: DataFrame, by: list[str], size: int = WINDOW) -> DataFrame:
+    """The rows of ``segments`` that fill a window, with ``window`` and ``at``."""
+    cut = marked.where("_ok").withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))).where(F.col("_pos") < F.floor(F.col("_len") / size) * size)
+    window = F.concat_ws("/", F.col("_run").cast("string"), F.floor(F.col("_pos") / size).cast("string"))
+    return cut.withColumn("window", window).withColumn("at", (F.col("_pos") % size).cast("int")).drop("_ok", "_run", "_pos", "_gap", "_len")
+
+
+def counters(marked: DataFrame, by: list[str], size: int = WINDOW) -> DataFrame:
+    """(split, source_rows, excluded_rows, calendar_gaps, windows, short_rows) of ``segments``: short rows are ok but in no window."""
+    one = marked.groupBy("split", *by, "_run", "_ok").agg(F.count(F.lit(1)).alias("n"), F.count_if("_gap").alias("gaps"))
+    ok = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), c)), F.lit(0))
+    return one.groupBy("split").agg(
+        F.sum("n").alias("source_rows"), F.coalesce(F.sum(F.when(~F.col("_ok"), F.col("n"))), F.lit(0)).alias("excluded_rows"), F.sum("gaps").alias("calendar_gaps"),
+        ok(F.floor(F.col("n") / size)).alias("windows"), ok(F.col("n") % size).alias("short_rows"),
+    )
+
+
+def industrial(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    """Rows (device, group_id, time_us, channels, observed) as ``segments``: a row counts that was observed, within its split's time, with finite values."""
+    known = placed(rows.withColumn("group_id", F.col("group_id").cast("string")), study, "group_id")
+    inside = (F.col("time_us") >= F.col("start_us")) & (F.col("time_us") < F.col("stop_us"))
+    ok = inside & F.col("observed") & every([F.coalesce(finite(F.col(c).cast("double")), F.lit(False)) for c in names(study)])
+    return segments(known, ["device"], "time_us", study.cadence_us, ok, size)
+
+
+def industrial_windows(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    return window_rows(whole(industrial(rows, study, size), ["device"], size), study)
+
+
+def industrial_audit(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    return counters(industrial(rows, study, size), ["device"], size)
+
+
+def turbine_rows(files: DataFrame, study: Study, time: str, provider: str, years: dict[str, int]) -> DataFrame:
+    """Rows of ``readers.turbine_files`` for ``industrial``: known at the end of their interval, of the units that the study declares.
+
+    ``years`` says which year's files a split takes: others are left out whole.
+    """
+    group = F.concat(F.lit(f"{provider}:"), F.col("site"), F.lit(":"), F.col("unit").cast("int").cast("string"))
+    kept = sampling.explicit_split(files.withColumn("group_id", group), "group_id", study.group_splits)
+    wanted = F.coalesce(*(F.when(F.col("split") == s, F.lit(y)) for s, y in years.items()))
+    rows = kept.where(F.col("year") == wanted)
+    us = F.unix_micros(F.to_timestamp(time)) + study.cadence_us
+    return rows.select(F.concat("group_id", F.lit(f":{study.name}")).alias("device"), "group_id", us.alias("time_us"), F.lit(True).alias("observed"), *names(study))
+
+
+def valve_rows(wide: DataFrame, study: Study, group: Column, variables: dict[str, str], low: float = 0.0, high: float = 800.0) -> DataFrame:
+    """Rows of ``readers.wide_devices`` (time, device, channel, value, qc) for ``industrial``: a time counts if all channels were observed and the first lies in its range.
+
+    ``time`` is text with an offset from UTC: one without is fatal.
+    """
+    zoned = F.col("time").rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    at = F.when(zoned, F.to_timestamp("time")).otherwise(F.raise_error(F.concat(F.lit("a time lacks its offset: "), F.coalesce("time", F.lit("null")))).cast("timestamp"))
+    own = wide.where(F.col("channel").isin(*variables)).withColumn("time_us", F.unix_micros(at) + study.cadence_us).withColumn("group_id", group)
+    first = names(study)[0]
+    of = {name: source for source, name in variables.items()}
+    value = lambda c: F.max(F.when(F.col("channel") == of[c], F.col("value"))).alias(c)
+    seen = F.coalesce(F.bool_and(F.col("qc") == "observed"), F.lit(False)) & (F.count(F.lit(1)) == len(variables))
+    rows = own.groupBy(F.concat_ws(":", "group_id", "device").alias("device"), "group_id", "time_us").agg(*(value(c) for c in names(study)), seen.alias("_seen"))
+    return rows.withColumn("observed", F.col("_seen") & F.coalesce(F.col(first).between(low, high), F.lit(False))).drop("_seen")
+
+
+def drives(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    """Rows (device, model, day, failure, channels) as ``segments`` of a drive's days: within its split's dates, both ends included, and before its first failure."""
+    by = ["device", "model"]
+    order = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    failed = F.coalesce(F.max((F.col("failure") == 1).cast("int")).over(order), F.lit(0)) == 1
+    split = sampling.with_split(rows.withColumn("device", F.col("device").cast("string")), "device", study.salt, study.splits)
+    end = lambda e: F.coalesce(*(F.when(F.col("split") == s.name, F.lit(getattr(s, e)).cast("date")) for s in study.splits))
+    marked = split.withColumn("time_us", (F.unix_date("day").cast("long") + 1) * DAY_US)
+    return segments(marked.withColumn("_fine", ~failed & F.col("day").between(end("start"), end("stop"))), by, "time_us", DAY_US, F.col("_fine"), size).drop("_fine")
+
+
+def drive_windows(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    """Windows of ``drives``; a channel may lack values."""
+    cut = whole(drives(rows, study, size), ["device", "model"], size)
+    return window_rows(cut.withColumn("group_id", F.col("device")).withColumn("window", F.concat_ws("/", "model", "window")), study)
+
+
+def drive_audit(rows: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    return counters(drives(rows, study, size), ["device", "model"], size)
+
+
+def clips(files: DataFrame, study: Study, folder: str, member: str = "member", size: str = "length", least: int = 320_000, most: int = 400_000) -> DataFrame:
+    """Adds ``group_id``, ``split`` and ``taken`` to clips by their names: <folder>/<train or test>/<normal or anomaly>_id_<machine>_<number>.wav.
+
+    Another name, or a size outside the bounds, is fatal. Training and validation machines take normal
+    clips of the train folder alone.
+    """
+    pattern = rf"^{folder}/(train|test)/(normal|anomaly)_id_(0[0-6])_[0-9]{{8}}\.wav$"
+    part = lambda i: F.regexp_extract(member, pattern, i)
+    fault = F.when(part(3) == "", F.raise_error(F.concat(F.lit("an unexpected clip: "), F.col(member)))).when(~F.col(size).between(least, most), F.raise_error(F.concat(F.lit("a clip's size is out of bounds: "), F.col(member))))
+    group = F.coalesce(fault.cast("string"), F.concat(F.lit(f"dcase-{folder}:"), part(3)))
+    known = sampling.explicit_split(files.withColumn("group_id", group), "group_id", study.group_splits)
+    return known.withColumn("taken", ~F.col("split").isin("train", "validation") | (part(1) == "train") & (part(2) == "normal"))
+
+
+def clip_windows(frames: DataFrame, study: Study, size: int = WINDOW) -> DataFrame:
+    """Frames (recording, group_id, times_us, channels) of clips as windows: tiles from a clip's start, whole ones only. Times are offsets in the clip."""
+    tiled = windows.tiles(placed(frames, study, "group_id"), ["recording"], ["times_us"], size)
+    return window_rows(tiled.withColumn("device", F.concat(F.lit("clip:"), F.col("recording").cast("string"))).withColumn("time_us", F.col("times_us")).withColumn("window", F.col("tile").cast("string")), study)
+
+
 def _most(limits: dict[str, int]) -> Column:
     return F.coalesce(*(F.when(F.col("split") == s, F.lit(n)) for s, n in limits.items()), F.lit(0))
 

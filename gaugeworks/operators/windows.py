@@ -62,12 +62,20 @@ def hdd_windows(df: DataFrame, by: str, day: str, failed: Column, first: str, la
 
 
 def component_windows(df: DataFrame, by: str, time_us: str, cadence_us: int, valid: Column, start_us: int, stop_us: int, size: int = WINDOW) -> DataFrame:
-    """Tumbling windows at a cadence, of valid rows that are available (one cadence later) in [start, stop)."""
+    """Tumbling windows at a cadence, of valid rows that are available (one cadence later) in [start, stop).
+
+    A run goes on where a row comes one cadence after the row before it and both count; so it may begin at
+    any time, and a row off the cadence ends a run and begins the next.
+    """
+    order = Window.partitionBy(by).orderBy(time_us)
     available = F.col(time_us) + cadence_us
-    steps = F.floor((F.col(time_us) - F.min(time_us).over(Window.partitionBy(by))) / cadence_us)
-    on_grid = (F.col(time_us) - F.min(time_us).over(Window.partitionBy(by))) % cadence_us == 0
-    marked = df.withColumn("_ok", valid & (available >= start_us) & (available < stop_us)).withColumn("_step", F.when(on_grid, steps))
-    return tumbling(marked.withColumn("_k", F.col("_step")), by, F.col("_k"), F.col("_ok") & F.col("_k").isNotNull(), size).drop("_ok", "_k")
+    marked = df.withColumn("_ok", F.coalesce(valid, F.lit(False)) & (available >= start_us) & (available < stop_us))
+    on = F.coalesce(F.lag("_ok").over(order), F.lit(False)) & (F.col(time_us) - F.lag(time_us).over(order) == cadence_us)
+    runs = marked.withColumn("_new", (F.col("_ok") & ~on).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_ok")
+    pos = runs.withColumn("_pos", F.row_number().over(Window.partitionBy(by, "_run").orderBy(time_us)) - 1).withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy(by, "_run")))
+    full = pos.where(F.col("_pos") < F.floor(F.col("_len") / size) * size)
+    window = F.concat_ws("/", F.col("_run").cast("string"), F.floor(F.col("_pos") / size).cast("string"))
+    return full.withColumn("window", window).withColumn("at", (F.col("_pos") % size).cast("int")).drop("_ok", "_new", "_run", "_pos", "_len")
 
 
 def rolling(df: DataFrame, by: str, step: Column, size: int = WINDOW, stride: int = 7) -> DataFrame:

@@ -127,6 +127,68 @@ def study_reports(spark, sf):
     return totals(studies.report_windows(r, DAY, 6))
 
 
+UNITS = {"view": "train", "signup": "train", "click": "validation", "error": "calibration", "purchase": "test"}
+UNIT = Study("unit", "", (Channel("v"), Channel("n")), SLOT_US, TIMES, group_splits=UNITS)
+INDUSTRIAL = f"""WITH s AS (SELECT event_type AS host, (epoch_us(ts) // {SLOT_US} + 1) * {SLOT_US} AS time_us, min(value) AS v, count(*)::DOUBLE AS n, max(event_id) % 11 <> 0 AS observed FROM events GROUP BY 1, 2),
+p AS (SELECT *, CASE host {' '.join(f"WHEN '{u}' THEN '{x}'" for u, x in UNITS.items())} END AS split FROM s),
+o AS (SELECT *, observed AND time_us >= {bound('start')} AND time_us < {bound('stop')} AS ok FROM p),
+r AS (SELECT *, coalesce(lag(ok) OVER w, false) AS before, time_us - lag(time_us) OVER w AS step FROM o WINDOW w AS (PARTITION BY host ORDER BY time_us)),
+c AS (SELECT *, sum(CASE WHEN before AND step = {SLOT_US} THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY time_us) AS run FROM r WHERE ok),
+k AS (SELECT *, row_number() OVER (PARTITION BY host, run ORDER BY time_us) - 1 AS pos FROM c)"""
+
+
+def units(spark, sf) -> DataFrame:
+    s = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    slot = s.groupBy(F.col("event_type").alias("group_id"), ((F.floor(F.col("us") / SLOT_US).cast("long") + 1) * SLOT_US).alias("time_us"))
+    return slot.agg(F.min("value").alias("v"), F.count(F.lit(1)).cast("double").alias("n"), (F.max("event_id") % 11 != 0).alias("observed")).withColumn("device", F.col("group_id"))
+
+
+@query(INDUSTRIAL + ", w AS (SELECT host, split, run, pos // 4 AS chunk, min(time_us) AS a, max(time_us) AS z, sum(v + n) AS total FROM k GROUP BY ALL HAVING count(*) = 4) SELECT host AS device, split, a AS first_us, z AS last_us, round(total, 4) AS total FROM w")
+def study_industrial(spark, sf):
+    """Units of declared splits: a row that wasn't observed, or a gap, ends a run."""
+    return totals(studies.industrial_windows(units(spark, sf), UNIT, 4))
+
+
+@query(INDUSTRIAL + f""", g AS (SELECT k.*, before AND step <> {SLOT_US} AND lag((pos + 1) % 4 <> 0) OVER (PARTITION BY host ORDER BY time_us) AS gap FROM k),
+n AS (SELECT split, host, run, count(*) AS n FROM k GROUP BY ALL), x AS (SELECT split, sum(n // 4) AS windows, sum(n % 4) AS short_rows FROM n GROUP BY split), y AS (SELECT split, count(*) FILTER (gap) AS calendar_gaps FROM g GROUP BY split)
+SELECT o.split AS split, count(*) AS source_rows, count(*) FILTER (NOT ok) AS excluded_rows, coalesce(any_value(calendar_gaps), 0) AS calendar_gaps, coalesce(any_value(windows), 0)::BIGINT AS windows, coalesce(any_value(short_rows), 0)::BIGINT AS short_rows FROM o LEFT JOIN x ON o.split = x.split LEFT JOIN y ON o.split = y.split GROUP BY o.split""")
+def study_industrial_audit(spark, sf):
+    return studies.industrial_audit(units(spark, sf), UNIT, 4)
+
+
+DRIVE_TIMES = splits(("2024-01-03", "2024-01-20"), ("2024-01-08", "2024-01-31"), ("2024-01-05", "2024-01-28"), ("2024-01-02", "2024-01-30"))
+DRIVE = Study("drive", "drive:", (Channel("v"), Channel("n")), DAY_US, DRIVE_TIMES)
+DRIVES = DAILY + f""", h AS (SELECT *, 'm' || (user_id % 3) AS model, {split_sql('drive:', 'user_id')} AS split, max(failure) OVER (PARTITION BY user_id ORDER BY dt) AS failed FROM d),
+o AS (SELECT *, failed = 0 AND dt BETWEEN {' '.join(['CASE split', *(f"WHEN '{s.name}' THEN DATE '{s.start}'" for s in DRIVE_TIMES), 'END'])} AND {' '.join(['CASE split', *(f"WHEN '{s.name}' THEN DATE '{s.stop}'" for s in DRIVE_TIMES), 'END'])} AS ok FROM h),
+i AS (SELECT *, (dt - DATE '1970-01-01')::BIGINT - row_number() OVER (PARTITION BY user_id ORDER BY dt) AS island FROM o WHERE ok), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY dt) - 1 AS pos FROM i)"""
+
+
+def drive_history(spark, sf) -> DataFrame:
+    return daily(spark, sf).select(F.col("user_id").alias("device"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("dt").alias("day"), "failure", "v", F.col("n").cast("double").alias("n"))
+
+
+@query(DRIVES + f", w AS (SELECT user_id, split, island, pos // 5 AS chunk, min(dt) AS a, max(dt) AS z, sum(v + n) AS total FROM k GROUP BY ALL HAVING count(*) = 5) SELECT user_id::VARCHAR AS device, split, ((a - DATE '1970-01-01')::BIGINT + 1) * {DAY_US} AS first_us, ((z - DATE '1970-01-01')::BIGINT + 1) * {DAY_US} AS last_us, round(total, 4) AS total FROM w")
+def study_drives(spark, sf):
+    """Drives by model and serial number: closed dates, nothing from a failure on."""
+    return totals(studies.drive_windows(drive_history(spark, sf), DRIVE, 5))
+
+
+@query(DRIVES + """, n AS (SELECT split, user_id, island, count(*) AS n FROM k GROUP BY ALL), x AS (SELECT split, sum(n // 5) AS windows, sum(n % 5) AS short_rows FROM n GROUP BY split)
+SELECT o.split AS split, count(*) AS source_rows, count(*) FILTER (NOT ok) AS excluded_rows, coalesce(any_value(windows), 0)::BIGINT AS windows, coalesce(any_value(short_rows), 0)::BIGINT AS short_rows FROM o LEFT JOIN x ON o.split = x.split GROUP BY o.split""")
+def study_drive_audit(spark, sf):
+    return studies.drive_audit(drive_history(spark, sf), DRIVE, 5).drop("calendar_gaps")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type AS g, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, value AS v, (event_id % 9)::DOUBLE AS n FROM events)
+SELECT 'clip:' || user_id || '-' || g AS device, CASE g {' '.join(f"WHEN '{u}' THEN '{x}'" for u, x in UNITS.items())} END AS split, (min(k) * 32000)::BIGINT AS first_us, (max(k) * 32000)::BIGINT AS last_us, round(sum(v + n), 4) AS total FROM e GROUP BY user_id, g, (k - 1) // 3 HAVING count(*) = 3""")
+def study_clips(spark, sf):
+    """Frames of clips, told apart by offsets alone."""
+    e = table(spark, sf, "events")
+    k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    frames_ = e.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("recording"), F.col("event_type").alias("group_id"), (k * 32_000).cast("long").alias("times_us"), F.col("value").alias("v"), (F.col("event_id") % 9).cast("double").alias("n"))
+    return totals(studies.clip_windows(frames_, UNIT, 3))
+
+
 LOGS = f"""WITH RECURSIVE l AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_type FROM events), t AS (SELECT user_id, min(epoch_us(ts) // 1000000) AS alarm_s FROM events WHERE value >= 200 GROUP BY user_id),
 b AS (SELECT l.*, t.alarm_s AS alarm_s FROM l LEFT JOIN t ON l.user_id = t.user_id WHERE t.alarm_s IS NULL OR l.s < t.alarm_s),
 e AS (SELECT user_id, s // 86400 AS day, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'error') AS n, count(*) FILTER (event_type NOT IN ('view', 'error')) AS others, min(min(s)) OVER (PARTITION BY user_id) AS first_log, min(alarm_s) AS alarm_s FROM b GROUP BY user_id, s // 86400),

@@ -77,6 +77,11 @@ _HOME_UNITS = {"train": ("H06", "H03", "H04"), "validation": ("H01", "H11"), "ca
 _TURBINES = {f"cubico:{u}": s for s, units in _TURBINE_UNITS.items() for u in units}
 _HOMES = {f"homesense:{u}": s for s, units in _HOME_UNITS.items() for u in units}
 
+#: Which machine's clips a split takes.
+_SLIDERS = {"dcase-slider:00": "train", "dcase-slider:02": "validation", **{f"dcase-slider:0{i}": "test" for i in (1, 3, 4, 5, 6)}}
+_VALVES = {"dcase-valve:00": "train", "dcase-valve:02": "validation", **{f"dcase-valve:0{i}": "test" for i in (1, 3, 4, 5, 6)}}
+_CLIP = splits(*[("1970-01-01", "1970-01-01T00:00:11")] * 4)
+
 #: The declared studies, with their channels, bands, cadence and intervals.
 STUDIES = {
     s.name: s
@@ -99,6 +104,29 @@ STUDIES = {
         Study("gearbox", "", _two("gear_oil_temperature", "gear_oil_inlet_temperature"), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
         Study("bearing", "", _two("generator_bearing_front_temperature", "generator_bearing_rear_temperature"), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
         Study("pump", "", _two("gear_oil_pump_pressure", "gear_oil_inlet_pressure", 0.1), 10 * _MINUTES, _TURBINE_YEARS, group_splits=_TURBINES),
-        Study("sound", "sound:", _two("low_band_rms", "high_band_rms", 1e-6), 32_000, splits(*[("1970-01-01", "1970-01-01T00:00:11")] * 4)),
+        Study("slide_rail", "", _two("low_band_rms", "high_band_rms", 1e-6), 32_000, _CLIP, group_splits=_SLIDERS),
+        Study("industrial_valve", "", _two("low_band_rms", "high_band_rms", 1e-6), 32_000, _CLIP, group_splits=_VALVES),
     )
 }
+
+
+def faults(study: Study) -> list[str]:
+    """What is wrong with a study's settings; none for one that can be run."""
+    out = []
+    channels = [c.name for c in study.channels]
+    if not 1 <= len(channels) <= 8 or len(set(channels)) != len(channels):
+        out.append("channels")
+    if any(c.minimum_band <= 0 for c in study.channels):
+        out.append("bands")
+    if study.cadence_us <= 0 or study.stride < 1:
+        out.append("cadence")
+    if tuple(s.name for s in study.splits) != SPLITS or any(micros(s.start) >= micros(s.stop) for s in study.splits):
+        out.append("splits")
+    edges = [0, *(s.high for s in study.splits)]
+    if [s.low for s in study.splits] != edges[:-1] or edges[-1] != 100 or sorted(edges) != edges:
+        out.append("buckets")
+    if not study.salt and not study.group_splits:
+        out.append("neither a salt nor declared groups")
+    if not set(study.group_splits.values()) <= set(SPLITS):
+        out.append("groups")
+    return out

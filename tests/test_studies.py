@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import evaluation, quality, sampling, studies
+from gaugeworks.operators import evaluation, quality, sampling, studies, windows
 from gaugeworks.sources import readers, writers
 from gaugeworks.spec import DAY_US, STUDIES, Channel, Study, micros, splits
 
@@ -99,8 +99,12 @@ def test_declared_groups(spark):
 
 def test_short_supply_is_fatal(spark):
     df = spark.range(5).withColumn("g", F.lit("a"))
-    with pytest.raises(ValueError):
-        sampling.top_by_hash(df, ["g"], "id", "s:", 6, required=True)
+    assert sampling.top_by_hash(df, ["g"], "id", "s:", 5, required=True).count() == 5
+    with pytest.raises(Exception, match="too few members"):
+        sampling.top_by_hash(df, ["g"], "id", "s:", 6, required=True).collect()
+    assert sampling.one_per_group(df, "id", "g", "a:", "b:", 5, required=True).count() == 5
+    with pytest.raises(Exception, match="too few groups"):
+        sampling.one_per_group(df, "id", "g", "a:", "b:", 6, required=True).collect()
 
 
 def test_follow_up_needs_a_failure_of_support_alone(spark):
@@ -183,3 +187,79 @@ def test_case_bundle(spark, tmp_path, changes, reason):
     assert [r.reason for r in got] == [reason, None]
     with pytest.raises(Exception, match="pinned"):
         readers.case_bundle(spark, path, "0" * 64).collect()
+
+
+def test_runs_of_any_times_are_those_of_a_loop(spark):
+    """Off-cadence rows, gaps, rows that weren't observed: the loop as the contract states it."""
+    import random
+
+    rng, rows, want, gaps = random.Random(3), [], [], 0
+    for n in range(25):
+        t, segment = 1_704_240_000_000_000, []
+        for _ in range(60):
+            t += rng.choice([10, 10, 10, 10, 10, 10, 4, 6, 20]) * 60_000_000
+            seen = rng.random() > 0.08
+            rows.append((f"d{n}", "g", t, float(rng.randrange(5)) if rng.random() > 0.04 else float("nan"), seen))
+            if not seen or rows[-1][3] != rows[-1][3]:
+                segment = []
+                continue
+            if segment and t - segment[-1] != 600_000_000:
+                segment, gaps = [], gaps + 1
+            segment.append(t)
+            if len(segment) == 4:
+                want.append((f"d{n}", segment[0], t))
+                segment = []
+    study = Study("s", "", (Channel("v"),), 600_000_000, splits(*[("2024-01-01", "2024-03-01")] * 4), group_splits={"g": "train"})
+    df = spark.createDataFrame(rows, "device string, group_id string, time_us long, v double, observed boolean")
+    cut = studies.industrial_windows(df, study, 4).groupBy("device", "window").agg(F.min("time_us").alias("a"), F.max("time_us").alias("z"), F.count(F.lit(1)).alias("n"))
+    assert sorted((r.device, r.a, r.z) for r in cut.collect()) == sorted(want) and want
+    audit = studies.industrial_audit(df, study, 4).first()
+    bad = sum(not s or v != v for *_, v, s in rows)
+    assert (audit.source_rows, audit.excluded_rows, audit.calendar_gaps, audit.windows) == (len(rows), bad, gaps, len(want)) and audit.short_rows == len(rows) - bad - 4 * len(want)
+    plain = windows.component_windows(df.withColumn("time_us", F.col("time_us") - 600_000_000), "device", "time_us", 600_000_000, F.col("observed") & ~F.isnan("v"), 0, 1 << 60, 4)
+    assert plain.groupBy("device", "window").count().count() == len(want)
+    with pytest.raises(Exception, match="repeat"):
+        studies.industrial_windows(df.unionByName(df.limit(1)), study, 4).collect()
+
+
+def test_turbines_and_valves_become_rows(spark):
+    files = [(f"/x/{site}_{unit}_{year}.csv", f"{year}-01-01 00:00:00", 40.0, 50.0) for site, unit, year in (("Kelmarsh", "1", 2018), ("Kelmarsh", "01", 2019), ("Kelmarsh", "2", 2019), ("Penmanshiel", "10", 2020))]
+    table = readers.turbine_files(spark.createDataFrame(files, "path string, at string, gear_oil_temperature double, gear_oil_inlet_temperature double"))
+    years = {"train": 2018, "validation": 2019, "calibration": 2019, "test": 2020}
+    got = studies.turbine_rows(table, STUDIES["gearbox"], "at", "cubico", years).collect()
+    assert sorted(r.device for r in got) == ["cubico:Kelmarsh:1:gearbox", "cubico:Kelmarsh:2:gearbox", "cubico:Penmanshiel:10:gearbox"]
+    assert next(r.time_us for r in got if ":1:" in r.device) == 1_514_764_800_000_000 + 600_000_000
+    wide = spark.createDataFrame([("2024-12-01T01:00:00+01:00", "v1", c, x, q) for c, x, q in (("motorposition", 10.0, "observed"), ("temperature", 20.0, "observed"), ("target", 21.0, "observed"))]
+        + [("2024-12-01T00:10:00+00:00", "v1", c, x, q) for c, x, q in (("motorposition", 900.0, "observed"), ("temperature", 20.0, "observed"), ("target", 21.0, "observed"), ("other", 1.0, "bad"))]
+        + [("2024-12-01T00:20:00Z", "v1", c, 1.0, q) for c, q in (("motorposition", "observed"), ("temperature", "filled"), ("target", "observed"))]
+        + [("2024-12-01T00:30:00Z", "v1", "motorposition", 1.0, "observed")], "time string, device string, channel string, value double, qc string")
+    names = {"motorposition": "motor_position", "temperature": "device_temperature", "target": "temperature_setpoint"}
+    rows = studies.valve_rows(wide, STUDIES["valve"], F.lit("homesense:H06"), names).orderBy("time_us").collect()
+    assert [(r.device, r.observed, r.motor_position) for r in rows] == [("homesense:H06:v1", True, 10.0), ("homesense:H06:v1", False, 900.0), ("homesense:H06:v1", False, 1.0), ("homesense:H06:v1", False, 1.0)]
+    assert rows[0].time_us == 1_733_011_200_000_000 + 600_000_000
+    with pytest.raises(Exception, match="lacks its offset"):
+        studies.valve_rows(wide.withColumn("time", F.lit("2024-12-01T00:00:00")), STUDIES["valve"], F.lit("g"), names).collect()
+
+
+def test_clips_by_their_names(spark):
+    study = STUDIES["slide_rail"]
+    names = ["slider/train/normal_id_00_00000001.wav", "slider/test/normal_id_00_00000001.wav", "slider/test/anomaly_id_02_00000001.wav", "slider/test/anomaly_id_01_00000001.wav", "slider/train/normal_id_02_00000007.wav"]
+    got = {r.member: (r.group_id, r.split, r.taken) for r in studies.clips(spark.createDataFrame([(n, 330_000) for n in names], "member string, length int"), study, "slider").collect()}
+    assert [got[n] for n in names] == [("dcase-slider:00", "train", True), ("dcase-slider:00", "train", False), ("dcase-slider:02", "validation", False), ("dcase-slider:01", "test", True), ("dcase-slider:02", "validation", True)]
+    for n, size, said in (("slider/train/normal_id_09_00000001.wav", 330_000, "unexpected"), (names[0], 10, "out of bounds")):
+        with pytest.raises(Exception, match=said):
+            studies.clips(spark.createDataFrame([(n, size)], "member string, length int"), study, "slider").collect()
+    frames = spark.createDataFrame([("c1", "dcase-slider:00", (k + 1) * 32_000, 0.1, 0.2) for k in range(70)], "recording string, group_id string, times_us long, low_band_rms double, high_band_rms double")
+    built = studies.build(studies.clip_windows(frames, study), study, "v1")
+    assert built.count() == 2 and {r.split for r in built.collect()} == {"train"}
+
+
+def test_studies_can_be_run():
+    import dataclasses
+
+    from gaugeworks.spec import faults
+
+    assert {n: faults(s) for n, s in STUDIES.items() if faults(s)} == {}
+    bad = dataclasses.replace(STUDIES["ssd"], salt="", channels=(Channel("a"), Channel("a", 0.0)), cadence_us=0)
+    assert faults(bad) == ["channels", "bands", "cadence", "neither a salt nor declared groups"]
+    assert faults(dataclasses.replace(STUDIES["ssd"], splits=STUDIES["ssd"].splits[:3])) == ["splits", "buckets"]
