@@ -8,7 +8,7 @@ which starts from the one that the query already has from another shard.
 Defined cases: vectors that are null, empty or hold nulls or non-finite numbers
 take no part, nor do rows without vec_id; vectors meet those of their own length
 only; a query's own vec_id is no candidate, so rows that repeat a vec_id don't
-find each other; ties go to the smaller vec_id; scores beyond 64 bits are held at
+find each other, and each of them that is a query has a list of its own; ties go to the smaller vec_id; scores beyond 64 bits are held at
 the limit; an empty table gives an empty result; other columns are not read.
 """
 
@@ -112,10 +112,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+s AS (SELECT a.id AS id, a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
       FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5
 """

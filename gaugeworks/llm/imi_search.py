@@ -15,7 +15,7 @@ tests (0.9 at least) and noted in the README.
 Defined cases: vectors that are null, empty, zero or hold nulls or non-finite
 numbers take no part, nor do rows without vec_id; vectors meet those of their own
 length only; a query's own vec_id is no candidate, so rows that repeat one don't
-find each other; ties go to the smaller vec_id; an empty table gives an empty
+find each other, and each of them that is a query has a list of its own; ties go to the smaller vec_id; an empty table gives an empty
 result; other columns are not read.
 """
 

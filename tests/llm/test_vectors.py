@@ -64,3 +64,17 @@ def test_odd_vectors(spark):
 def test_large_numbers_stay_exact():
     points = np.array([[2.0**40, 3.0], [2.0**40, 5.0]])
     assert balltree_topk.inner(points, np.array([2.0**15, 1.0]), False).tolist() == [2**55 + 3, 2**55 + 5]
+
+
+@pytest.mark.parametrize("shard_rows,block_rows", [(65536, 4096), (3, 1)])
+def test_rows_that_repeat_a_query_have_lists_of_their_own(spark, shard_rows, block_rows):
+    table = rows(spark, [(100, [1.0, 0.5]), (100, [0.5, 1.0]), (100, [1.0, 0.5]), *((k, [1.0, k / 10]) for k in range(1, 8)), *((k, [k / 10, 1.0]) for k in range(11, 18))])
+    plain = [(k, np.array([1.0, np.float32(k / 10)])) for k in range(1, 8)] + [(k, np.array([np.float32(k / 10), 1.0])) for k in range(11, 18)]
+    def want(q, k, of):
+        return [(r + 1, i, s) for r, (s, i) in enumerate(sorted(((-float(of(x) @ of(q)), i) for i, x in plain))[:k])]
+    both = [np.array([1.0, 0.5]), np.array([0.5, 1.0]), np.array([1.0, 0.5])]
+    exact = balltree_topk.top_k(table, Scratch(spark), shard_rows, block_rows).collect()
+    floored = sorted((r, i, int(-s)) for q in both for r, i, s in want(q, 5, lambda x: np.floor(256 * x)))
+    assert sorted((r.rank, r.vec_id, r.score) for r in exact) == floored and {r.query_id for r in exact} == {100}
+    near = imi_search.nearest_neighbours(table, Scratch(spark), shard_rows, block_rows).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in near) == sorted((r, i, -s) for q in both for r, i, s in want(q, 20, lambda x: x))
