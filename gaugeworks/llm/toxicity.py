@@ -139,16 +139,16 @@ def counted(sample: DataFrame) -> DataFrame:
     return each.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
 
 
-def least_precision(t, n):
-    """Wilson's lower bound with z = 1."""
+def least_precision(t, n, z: float = 1.8):
+    """Wilson's lower bound of t out of n."""
     p = t / n
-    return (p + 0.5 / n - ((p * (1 - p) + 0.25 / n) / n) ** 0.5) / (1 + 1 / n)
+    return (p + z * z / (2 * n) - z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
 
 def mined(sample: DataFrame, base: float) -> list[tuple[str, int]]:
     """Terms that tell toxic texts in both halves, with their voters: the TERMS best."""
     bound = F.least(*(least_precision(F.col(f"t{h}"), F.col(f"t{h}") + F.col(f"c{h}")) for h in (0, 1)))
-    good = counted(sample).where("t0 >= 2 AND t1 >= 2").withColumn("bound", bound).where(F.col("bound") >= max(TIERS[-1], min(0.9, 2 * base)))
+    good = counted(sample).where("t0 >= 3 AND t1 >= 3").withColumn("bound", bound).where(F.col("bound") >= max(TIERS[-1], min(0.9, 2 * base)))
     rows = {r.gram: r for r in good.orderBy(F.desc("bound"), F.desc("t0"), "gram").limit(CANDIDATES).collect()}
     same = lambda a, b: (a.t0, a.c0, a.t1, a.c1) == (b.t0, b.c0, b.t1, b.c1)
     # of nested stems with equal counts the longest stands for all
