@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import fleet, sampling, windows
+from gaugeworks.operators import fleet, questions, sampling, windows
 from gaugeworks.session import scratch_folder, table
 
 from .catalog import query
@@ -182,3 +182,58 @@ def fleet_links(spark, sf):
     base = windows.baseline(days.where("day <= 0"), "device", "day", "h")
     places = fleet.latest(a).select("device", "site", "rack", "slot").distinct()
     return fleet.links(days, places, base).withColumn("members", F.array_join("members", ",")).withColumn("level", F.col("level").cast("int"))
+
+
+def asked_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A question per event: its type says what is asked, its user whom or where."""
+    e, user, n = table(spark, sf, "events"), F.col("user_id"), F.col("event_id")
+    server, rack = F.concat(F.lit("server D"), F.lpad(user.cast("string"), 6, "0")), F.concat(F.lit("rack 0"), F.floor(user / 20).cast("string"))
+    text = (
+        F.when(n % 17 == 0, "Tell me a story").when(F.col("event_type") == "error", F.concat(F.lit("Why is "), server, F.lit(" flagged?"))).when((F.col("event_type") == "signup") & (n % 4 < 2), F.concat(F.lit("What if we wait "), (n % 9).cast("string"), F.lit(" weeks?")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("Can "), server, F.lit(" be postponed by "), (n % 9).cast("string"), F.lit(" days or 3 weeks?"))).when(F.col("event_type") == "purchase", F.concat(F.lit("What should I fix in "), rack, F.lit("?")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("Compare "), server, F.lit(" with its peers"))).when(n % 2 == 0, F.concat(F.lit("Any critical alert in "), rack)).otherwise(F.concat(F.lit("How is "), rack, F.lit(" doing")))
+    )
+    site = F.when(n % 13 > 0, F.get(F.array(*map(F.lit, SITES)), (n % 3).cast("int")))
+    seen = F.when(n % 5 == 0, F.concat(F.lit("d"), F.lpad(user.cast("string"), 6, "0"))).when(n % 23 == 0, "gone")
+    return e.select(n.alias("question_id"), text.alias("question"), site.alias("site"), F.when(n % 19 == 0, F.concat(F.lit("north-rack-"), F.floor(user / 30).cast("string"))).alias("rack"), seen.alias("device"), F.when(n % 11 == 0, "2024-01-10").otherwise("now").alias("cutoff"))
+
+
+EXPOSURE = "CASE WHEN {r} * weight < 0.04::DOUBLE THEN 'LOW' WHEN {r} * weight < 0.15::DOUBLE THEN 'MEDIUM' ELSE 'HIGH' END"
+WAITS = ", ".join(f"'{name}: ' || " + EXPOSURE.format(r=_risk(str(d))) for name, d in fleet.WAIT)
+
+
+@query(ANALYSIS + FRAMES + f""",
+dev AS (SELECT f.*, q.priority FROM fnow f JOIN (SELECT device, max(priority_score) AS priority FROM now GROUP BY device) q USING (device)),
+foc AS (SELECT *, [{WAITS}] AS options FROM now QUALIFY row_number() OVER (PARTITION BY device ORDER BY level DESC, priority_score DESC, component) = 1),
+sco AS (SELECT *, rack AS scope FROM dev UNION ALL SELECT *, '' FROM dev),
+st AS (SELECT site, scope, count(*) AS cnt, count(*) FILTER (drifting) AS drift, count(*) FILTER (level >= 2) AS bad, list(device ORDER BY level DESC, priority DESC, device)[1] AS worst,
+  coalesce(list(device ORDER BY priority DESC, device) FILTER (level > 0), [])[1:4] AS first, coalesce(list(status ORDER BY priority DESC, device) FILTER (level > 0), [])[1] AS first_s,
+  coalesce(list(device ORDER BY priority DESC, device) FILTER (level >= 2), [])[1:6] AS shown, coalesce(list(status ORDER BY priority DESC, device) FILTER (level >= 2), [])[1] AS shown_s FROM sco GROUP BY site, scope),
+pat AS (SELECT site, rack, grp FROM now WHERE status <> 'healthy' OR trend IN {FALLING} GROUP BY site, rack, grp HAVING count(DISTINCT device) >= 3),
+pats AS (SELECT site, rack AS scope, min(rack || '/' || grp) AS pattern FROM pat GROUP BY ALL UNION ALL SELECT site, '', min(rack || '/' || grp) FROM pat GROUP BY site),
+qs AS (SELECT event_id AS id, user_id, event_type AS k, 'd' || lpad(user_id::VARCHAR, 6, '0') AS own, coalesce(CASE WHEN event_id % 13 > 0 THEN ['north', 'east', 'west'][event_id % 3 + 1] END, (SELECT min(site) FROM dev)) AS site, CASE WHEN event_id % 19 = 0 THEN 'north-rack-' || (user_id // 30) END AS seen_rack,
+  CASE WHEN event_id % 5 = 0 THEN 'd' || lpad(user_id::VARCHAR, 6, '0') WHEN event_id % 23 = 0 THEN 'gone' END AS seen FROM events),
+kind AS (SELECT *, CASE WHEN id % 11 = 0 THEN 'unavailable' WHEN id % 17 = 0 THEN 'off-topic' WHEN k = 'error' THEN 'why' WHEN k = 'signup' THEN 'wait' WHEN k = 'purchase' THEN 'action' WHEN k = 'click' THEN 'compare' WHEN id % 2 = 0 THEN 'incident' ELSE 'status' END AS what,
+  id % 17 > 0 AND (k IN ('error', 'click') OR k = 'signup' AND id % 4 >= 2) AS names_device, id % 17 > 0 AND k NOT IN ('error', 'click', 'signup') AS names_rack, CASE WHEN id % 4 < 2 THEN 7 ELSE 1 END * (id % 9) AS days FROM qs),
+named AS (SELECT q.*, CASE WHEN names_rack THEN d.rack END AS named_rack FROM kind q LEFT JOIN (SELECT DISTINCT site, rack FROM dev) d ON names_rack AND d.rack = q.site || '-rack-' || (user_id // 20)),
+look AS (SELECT *, coalesce(named_rack, seen_rack) AS rack, CASE WHEN names_device THEN own WHEN named_rack IS NULL THEN seen END AS dev0 FROM named),
+goal AS (SELECT l.*, cnt, drift, bad, first, first_s, shown, shown_s, coalesce(dev0, worst) AS device FROM look l LEFT JOIN st s ON l.site = s.site AND coalesce(l.rack, '') = s.scope),
+whole AS (SELECT g.*, o.component, o.health, o.slope, o.weight, o.status, o.options, o.ev, d.rack AS own_rack, d.status AS dstatus, CASE WHEN o.component IS NULL AND what <> 'unavailable' THEN 'no-devices' ELSE what END AS intent FROM goal g LEFT JOIN foc o USING (device) LEFT JOIN dev d USING (device)),
+waits AS (SELECT *, {_risk('days')} AS risk, CASE WHEN {_risk('14')} <= 0.05 THEN 'In 14 days' WHEN {_risk('7')} <= 0.05 THEN 'In 7 days' WHEN {_risk('3')} <= 0.05 THEN 'In 3 days' WHEN {_risk('0.5')} <= 0.05 THEN 'Tonight' ELSE 'Now' END AS rec FROM whole),
+of_model AS (SELECT n.device, n.component, n.health, CASE c_mktsegment WHEN 'MACHINERY' THEN 'high' WHEN 'HOUSEHOLD' THEN 'low' ELSE 'medium' END AS model FROM now n LEFT JOIN customer ON n.user_id = c_custkey),
+peer AS (SELECT x.device AS device, count(*) AS peers, list_sort(list(y.health))[count(*) // 2 + 1] AS med, count(*) FILTER (y.health > x.health) AS above, count(*) FILTER (y.health < 80) AS under
+  FROM of_model x JOIN foc o ON x.device = o.device AND x.component = o.component JOIN of_model y ON x.component = y.component AND x.model = y.model AND x.device <> y.device GROUP BY x.device)
+SELECT id AS question_id, intent, CASE WHEN intent <> 'unavailable' THEN w.site END AS site, CASE WHEN intent <> 'unavailable' THEN w.rack END AS rack, CASE WHEN intent NOT IN ('unavailable', 'no-devices') THEN w.device END AS device, CASE WHEN intent NOT IN ('unavailable', 'no-devices') THEN component END AS component,
+  CASE intent WHEN 'why' THEN status WHEN 'wait' THEN CASE WHEN {EXPOSURE.format(r="risk")} = 'HIGH' THEN 'critical' ELSE status END WHEN 'action' THEN coalesce(first_s, 'healthy') WHEN 'compare' THEN CASE WHEN peers > 0 THEN status END WHEN 'incident' THEN coalesce(shown_s, 'healthy') WHEN 'status' THEN dstatus WHEN 'off-topic' THEN 'watch' END AS tone,
+  CASE intent WHEN 'why' THEN least(3, len(ev)) WHEN 'action' THEN len(coalesce(first, [])) WHEN 'compare' THEN coalesce(peers, 0) WHEN 'incident' THEN coalesce(bad, 0) WHEN 'status' THEN cnt END AS n,
+  array_to_string(CASE intent WHEN 'why' THEN list_transform(list_sort(list_transform(ev, lambda q: {{'o': -q.p, 's': q.s}}))[1:3], lambda q: q.s) WHEN 'wait' THEN options WHEN 'action' THEN coalesce(first, []) WHEN 'incident' THEN coalesce(shown, []) END, ',') AS items,
+  CASE WHEN intent = 'wait' THEN days::INT END AS days, CASE WHEN intent = 'wait' THEN round(risk, 6) END AS risk, CASE WHEN intent = 'wait' THEN {EXPOSURE.format(r="risk")} END AS exposure, CASE WHEN intent = 'wait' THEN rec END AS recommended,
+  CASE WHEN intent = 'compare' THEN med END AS peer_median, CASE WHEN intent = 'compare' THEN coalesce(above, 0) END AS peers_above, CASE WHEN intent = 'compare' THEN coalesce(under, 0) END AS peers_under_80,
+  CASE WHEN intent = 'status' THEN drift END AS drifting, CASE WHEN intent IN ('status', 'action') THEN pattern END AS pattern
+FROM waits w LEFT JOIN peer p ON w.device = p.device LEFT JOIN pats ON w.site = pats.site AND CASE WHEN what = 'status' THEN coalesce(own_rack, w.rack, '') ELSE coalesce(w.rack, '') END = pats.scope
+""")
+def fleet_answers(spark, sf):
+    """What each question comes to, in figures."""
+    a = analysis(spark, sf)
+    found = questions.answers(asked_of(spark, sf), a, scratch_folder(spark), model="criticality")
+    return found.withColumns({"items": F.array_join("items", ","), "risk": F.round("risk", 6)})
