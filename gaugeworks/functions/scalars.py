@@ -60,6 +60,16 @@ def parse_date(text: ColumnLike) -> Column:
     return F.coalesce(iso, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short), long)
 
 
+def parse_time(text: ColumnLike, otherwise: Column | None = None, *, offset: bool = False) -> Column:
+    """An ISO date or time; without an offset it is UTC, whatever the session's zone, or with ``offset`` none at all. What is no time is ``otherwise`` (null)."""
+    t = F.trim(_c(text))
+    zone, day = F.regexp_extract(t, r"(Z|[+-]\d{2}:\d{2})$", 1), t.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    shape = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    whole = F.concat(F.regexp_replace(t, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2"), F.when(day, "T00:00:00Z").when(zone == "", "Z").otherwise(""))
+    at = F.when(shape & ((zone != "") | F.lit(not offset)), whole.try_cast("timestamp"))
+    return at if otherwise is None else F.coalesce(at, otherwise)
+
+
 def null_tokens(text: ColumnLike, tokens: tuple[str, ...] = ("", "NA", "N/A", "null")) -> Column:
     return F.when(~_c(text).isin(*tokens), _c(text))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gaugeworks.functions.scalars import parse_answer, salted_hash, trend_code
 from gaugeworks.spec import PATTERNS, WINDOW
@@ -43,6 +44,44 @@ def permuted_numpy(windows: DataFrame, values: str, seed: int = 612) -> DataFram
     return windows.withColumn(values, F.array(*(F.get(values, F.lit(i)) for i in order)))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _in_draw(place: pd.Series, values: pd.Series, seed: pd.Series) -> pd.Series:
+    """The values in the order of the ``place``-th permutation that a generator of ``seed`` draws."""
+    out = []
+    for k, v, s in zip(place, values, seed, strict=True):
+        if k is None or v is None or k != k:
+            out.append(None)
+            continue
+        rng, drawn = _drawn.setdefault(s, (np.random.default_rng(s), []))
+        while len(drawn) <= k:
+            drawn.append(rng.permutation(WINDOW))
+        out.append(v[drawn[int(k)]] if len(v) == WINDOW else None)
+    return pd.Series(out)
+
+
+_drawn: dict = {}
+
+
+def permuted_in_order(windows: DataFrame, values: str, place: str, seed: int = 612) -> DataFrame:
+    """As NumPy permutes examples one after another: that at ``place`` (from 0) gets the generator's draw of that number.
+
+    A worker draws as far as its last place, so this is for evaluation sets of some 100,000
+    examples at most; ``permuted`` has no such cost. Null values, places or other lengths than a window's give null.
+    """
+    return windows.withColumn(values, _in_draw(F.col(place).cast("long"), F.col(values).cast("array<double>"), F.lit(seed)))
+
+
+def first_batches(rows: DataFrame, order: list[str], least: int = 8192) -> DataFrame:
+    """The rows of the first batches, by ``order`` (their key), that have ``least`` rows or more together; all rows, if there are fewer.
+
+    Each batch has a row at least, so the sum runs over the first ``least`` batches and not over all.
+    """
+    sizes = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).orderBy(*order).limit(least)
+    before = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    taken = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < least)
+    return rows.join(taken.select(*order), order, "left_semi")
+
+
 def zeroed(windows: DataFrame, values: str) -> DataFrame:
     return windows.withColumn(values, F.transform(values, lambda x: F.lit(0.0)))
 

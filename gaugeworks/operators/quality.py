@@ -71,8 +71,8 @@ def allowed_models(df: DataFrame, media: str = "hdd") -> DataFrame:
 REPORT = "device struct<protocol:string>, temperature struct<current:double>, power_on_time struct<hours:double>, nvme_smart_health_information_log struct<media_errors:double,percentage_used:double,temperature:double,power_on_hours:double>"
 
 
-def report_rows(df: DataFrame, month: str) -> DataFrame:
-    """Rows (invalid, ts, device_uuid, report) of monthly JSON reports: adds the four readings and ``reason`` (null for a valid row)."""
+def report_rows(df: DataFrame, month: Column | str) -> DataFrame:
+    """Rows (invalid, ts, device_uuid, report) of JSON reports of a month (yyyy-MM, or a column of it): adds the four readings and ``reason`` (null for a valid row)."""
     r = F.from_json("report", REPORT)
     log = r["nvme_smart_health_information_log"]
     out = df.withColumn("device", uuid_text("device_uuid")).withColumn("at", F.try_to_timestamp("ts")).withColumn("_r", r)

@@ -286,6 +286,32 @@ def weighted_support(spark, sf):
     return evaluation.weighted_support(t, "value", "key")
 
 
+FIRST = 400  # windows, so that the smallest tables have some behind it
+
+
+@query(TILES + f""", b AS (SELECT *, user_id % 3 AS file, tile % 5 AS grp, user_id // 4 AS batch FROM t), n AS (SELECT file, grp, batch, count(*) AS n FROM b GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY file, grp, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT code, count(*) AS windows, count(DISTINCT (file, grp, batch)) AS batches FROM b JOIN u USING (file, grp, batch) WHERE before < {FIRST} GROUP BY code""")
+def first_support(spark, sf):
+    """Patterns among the windows of the first batches that hold enough of them."""
+    t = tiled(spark, sf).withColumns({"file": F.col("user_id") % 3, "group": F.col("tile") % 5, "batch": F.floor(F.col("user_id") / 4)})
+    return evaluation.first_batches(t, ["file", "group", "batch"], FIRST).groupBy("code").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("file", "group", "batch").alias("batches"))
+
+
+TIMES = """WITH e AS (SELECT event_id, event_id % 8 AS k, date_trunc('second', ts) AS s, ts FROM events)
+SELECT event_id, CASE k WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN s - INTERVAL 90 MINUTE WHEN 3 THEN date_trunc('day', s) WHEN 4 THEN ts WHEN 5 THEN TIMESTAMP '2024-06-01 00:00:00' WHEN 6 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE date_trunc('minute', s) + INTERVAL 5 HOUR END AS at,
+CASE k WHEN 1 THEN s WHEN 2 THEN s - INTERVAL 90 MINUTE WHEN 7 THEN date_trunc('minute', s) + INTERVAL 5 HOUR END AS strict_at FROM e"""
+
+
+@query(TIMES)
+def parsed_times(spark, sf):
+    """Times in the forms that runs and reports have: naive, with offsets, dates, and what is no time."""
+    e, at = table(spark, sf, "events"), lambda form: F.date_format("ts", form)
+    text = F.get(F.array(at("yyyy-MM-dd HH:mm:ss"), F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30")), at("yyyy-MM-dd"), at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("yesterday"), F.lit(None).cast("string"), F.concat(at("yyyy-MM-dd'T'HH:mm"), F.lit("-05:00"))), (F.col("event_id") % 8).cast("int"))
+    naive = lambda c: c.cast("timestamp_ntz")
+    return e.select("event_id", naive(S.parse_time(text, F.lit("2024-06-01 00:00:00").cast("timestamp"))).alias("at"), naive(S.parse_time(text, offset=True)).alias("strict_at"))
+
+
 @query(RULED + """, c AS (SELECT quality AS class, count(*) AS support FROM r GROUP BY quality), f AS (SELECT c.class AS class, 2.0::DOUBLE * count(*) FILTER (r.said = r.quality AND r.quality = c.class) / (any_value(c.support) + count(*) FILTER (r.said = c.class)) AS f1 FROM c CROSS JOIN r GROUP BY c.class)
 SELECT count(*) AS classes, round(avg(f1), 6) AS macro_f1 FROM f""")
 def macro_f1(spark, sf):

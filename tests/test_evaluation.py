@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,20 @@ def test_unused_after_release(spark):
     for bad in (lambda: relations.unused_after_release(rows, opened, "w", 7, "g"), lambda: relations.unused_after_release(rows.unionByName(rows.limit(1)), opened, "w", 7, "g"), lambda: relations.unused_after_release(rows, rows.where("g = 'g1'"), "w", 6, "g")):
         with pytest.raises(Exception, match="release"):
             bad().collect()
+
+
+def test_permutations_one_after_another(spark):
+    rng, rows = np.random.default_rng(612), [(k, [float(100 * k + i) for i in range(28)]) for k in range(40)]
+    want = {k: np.array(v)[rng.permutation(28)].tolist() for k, v in rows}
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (3, None)], "place long, value array<double>").repartition(7)
+    got = evaluation.permuted_in_order(df, "value", "place").collect()
+    assert {r.place: r.value for r in got if r.place is not None and r.value is not None} == want and sum(r.value is None for r in got) == 2
+
+
+def test_first_batches(spark):
+    rows = [(f, b, k) for f in range(3) for b in range(4) for k in range(5)]
+    df = spark.createDataFrame(rows, "file int, batch int, k int")
+    for least, n in ((1, 5), (5, 5), (6, 10), (21, 25), (60, 60), (1000, 60)):
+        got = sorted(map(tuple, evaluation.first_batches(df, ["file", "batch"], least).collect()))
+        assert got == rows[:n]
+    assert not evaluation.first_batches(df.where("k > 9"), ["file", "batch"]).count()

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import io
 import math
 import struct
@@ -165,3 +166,50 @@ def test_datasets_and_pins(spark, tmp_path):
     back = writers.read_dataset(spark, str(tmp_path / "d"))
     assert set(back) == {"records", "channel_spec", "observations", "annotations", "tasks"} and back["observations"].columns == ["o"]
     assert readers.pinned(spark, "no.table", "1", str(tmp_path / "d/tasks")).count() == 3
+
+
+def test_monthly_reports(spark, tmp_path):
+    report = '{""device"": {""protocol"": ""NVMe""},\n ""nvme_smart_health_information_log"": {""temperature"": 310, ""media_errors"": 1, ""power_on_hours"": 2, ""percentage_used"": 3}}'.replace("310", "31")
+    head, one = "ts,extra,device_uuid,invalid,report\n", "12345678-1234-1234-1234-123456789012"
+    for month, line in (("202401", f'2024-01-05 00:00:00,x,{one},f,"{report}"\n2024-02-05 00:00:00,x,{one},f,"{report}"\n'), ("202402", f'2024-02-05 00:00:00,"a,b",{one},t,"{report}"\n2024-02-06 00:00:00,x,{one},f,"{report}"\n')):
+        with zipfile.ZipFile(tmp_path / f"reports-{month}.zip", "w") as z:
+            z.writestr(f"data/{month}.csv", head + line)
+            z.writestr("readme.txt", "no table")
+    paths = [str(tmp_path / f"reports-{m}.zip") for m in ("202401", "202402")]
+    rows = readers.zip_reports(spark, ",".join(paths))
+    got = sorted((r.month, r.ts, r.reason, r.temperature) for r in quality.report_rows(rows, F.col("month")).collect())
+    assert got == [("2024-01", "2024-01-05 00:00:00", None, 31.0), ("2024-01", "2024-02-05 00:00:00", "month", 31.0), ("2024-02", "2024-02-05 00:00:00", "marked invalid", 31.0), ("2024-02", "2024-02-06 00:00:00", None, 31.0)]
+    with zipfile.ZipFile(tmp_path / "reports-202403.zip", "w") as z:
+        z.writestr("a.csv", head)
+        z.writestr("b.csv", head)
+    with pytest.raises(Exception, match="one CSV member"):
+        readers.zip_reports(spark, str(tmp_path / "reports-202403.zip")).collect()
+    (tmp_path / "unnamed.zip").write_bytes((tmp_path / "reports-202401.zip").read_bytes())
+    with pytest.raises(Exception, match="no month in the name"):
+        readers.zip_reports(spark, str(tmp_path / "unnamed.zip")).collect()
+
+
+def test_files_against_a_catalogue(spark, tmp_path):
+    data = {"a": b"x" * 25, "b": b"", "c": b"hello"}
+    for n, x in data.items():
+        (tmp_path / n).write_bytes(x)
+    md5, sha = (lambda x: hashlib.md5(x).hexdigest()), (lambda x: hashlib.sha256(x).hexdigest())
+    parts = lambda x, n: md5(b"".join(hashlib.md5(x[i : i + n]).digest() for i in range(0, max(1, len(x)), n))) + f"-{max(1, -(-len(x) // n))}"
+    rows = [
+        ("a", 25, f"multipart-md5:{parts(data['a'], 10)}", sha(data["a"]), 10, None), ("a", 25, f"multipart-md5:{parts(data['a'], 9)}", None, 10, "checksum"), ("a", 25, f"md5:{md5(data['a'])}", sha(b"other"), None, "sha256"),
+        ("b", 0, f"md5:{md5(b'')}", None, None, "missing"), ("c", 5, f"sha256:{sha(b'hello')}", None, None, None), ("c", 6, f"sha256:{sha(b'hello')}", None, None, "size"), ("c", 5, f"sha1:{md5(b'')}", None, None, "declared checksum"),
+        ("c", 5, None, None, None, "declared checksum"), ("c", 5, f"md5:{md5(b'hello')}", None, 0, "declared part size"), ("d", 5, f"md5:{md5(b'hello')}", None, None, "missing"),
+    ]
+    declared = spark.createDataFrame(rows, "name string, bytes long, checksum string, sha256 string, part_bytes long, want string")
+    got = readers.catalogue_faults(spark.read.format("binaryFile").load(str(tmp_path)), declared).collect()
+    assert len(got) == len(rows) and [(r.name, r.reason) for r in got if r.reason != r.want] == []
+
+
+def test_runs_of_a_device(spark, tmp_path):
+    runs = readers.demo_fleet(spark, devices=3, days=4)
+    writers.save_runs(runs.orderBy(F.desc("collected_at")), str(tmp_path / "runs"))
+    got = readers.device_runs(spark, str(tmp_path / "runs"), "server-001").collect()
+    assert len(got) == 4 and [r.collected_at for r in got] == sorted(r.collected_at for r in got) and {r.machine.id for r in got} == {"server-001"}
+    demo = spark.createDataFrame([("server-001",), ("only-demo",)], "id string")
+    known = {r.device: r.stored for r in readers.device_ids(spark, str(tmp_path / "runs"), demo).collect()}
+    assert known == {"server-000": True, "server-001": True, "server-002": True, "only-demo": False}
