@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, table
+from .shared import free_name, slices, table
 
 #: The most words in the lexicon: a bound on what is broadcast, whatever the corpus.
 LEXICON_WORDS = 32_768
@@ -354,7 +354,10 @@ _held: dict = {}
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_decoded: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``keep`` columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; ``ids`` and ``decoded`` themselves too if asked for."""
+    """``keep`` columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; ``ids`` and ``decoded`` themselves too if asked for.
+
+    Where ``keep`` holds one of these names, the new column takes an underscore more.
+    """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         rules = Rules(f.read())
@@ -362,8 +365,9 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...]
     coded = [w.encode("utf-8") for w in words]
     shipped = spark.sparkContext.broadcast((rules.text, compile_lexicon(coded, rules.merge(coded))))
     keep = tuple(k for k in keep if k in docs.columns)
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), fields])
+    types = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_decoded else {})
+    names = [*keep, *(free_name(n, list(keep)) for n in types)]
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), *(f"`{n}` {t}" for n, t in zip(names[len(keep) :], types.values(), strict=True))])
 
     def encode(batches):
         text, block = shipped.value
@@ -375,13 +379,10 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, keep: tuple[str, ...]
                 done = encoder.encode(part.column("text").to_pylist())
                 columns = [part.column(k) for k in keep]
                 columns += [pa.array([len(i) // 4 for i, _ in done], pa.int64()), pa.array([sha256(i).hexdigest() for i, _ in done]), pa.array([sha256(d).hexdigest() for _, d in done])]
-                names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(i, "<i4") for i, _ in done], pa.list_(pa.int32())))
-                    names.append("ids")
                 if with_decoded:
                     columns.append(pa.array([d.decode("utf-8") for _, d in done], pa.string()))
-                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(*keep, "text").mapInArrow(encode, schema)

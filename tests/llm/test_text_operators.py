@@ -109,6 +109,17 @@ def test_tokens_are_the_librarys(spark, docs, rows, odd):
     assert bpe_lexicon.encode_documents(docs.where("doc_id < 0"), file).count() == 0
 
 
+def test_tokens_keep_columns_of_their_names(spark, odd):
+    import corpus_pipeline
+
+    clash = odd.where("doc_id > 1").withColumns({"decoded": odd.score, "ids_sha256": odd.source})
+    got = corpus_pipeline.tokens(spark, clash, SF)
+    assert got.columns == [*(c for c in clash.columns if c != "text"), "n_tokens", "ids_sha256_", "decoded_sha256", "ids_"]
+    plain = {r.doc_id: r for r in corpus_pipeline.tokens(spark, clash.select("doc_id", "text"), SF).collect()}
+    for r in got.collect():
+        assert (r.ids, r.decoded) == ("x", 0.5) and (r.ids_, r.ids_sha256_, r.n_tokens) == (plain[r.doc_id].ids, plain[r.doc_id].ids_sha256, plain[r.doc_id].n_tokens)
+
+
 def test_tokens_of_hard_texts():
     from tokenizers import Tokenizer
 
