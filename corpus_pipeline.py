@@ -38,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with their number and the digests of ids and decoded text."""
-    keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    """Token ids of every text, with their number and the digests of ids and decoded text; all columns but the text stay, whatever their names."""
+    keep = tuple(c for c in docs.columns if c != "text")
     return bpe_lexicon.encode_documents(docs, bpe_lexicon.default_tokenizer(), keep=keep, with_decoded=False)
 
 
