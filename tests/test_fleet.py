@@ -183,3 +183,10 @@ def test_risk_in_closed_form_is_the_sum_of_its_steps(spark):
         assert r.a == pytest.approx(upto(r.h, r.s, [0.25] * 28)[-1][1], abs=1e-12) and r.b == pytest.approx(upto(r.h, r.s, [0.25, 0.25, 0.1])[-1][1], abs=1e-12) and r.z == 0
         ends = upto(r.h, r.s, [0.5] * 60 + [5.0] * 67)
         assert (r.w.low_days, r.w.high_days) == tuple(next((t for t, p in ends if p >= q), None) for q in (0.25, 0.75))
+
+
+def test_means_of_ties_round_up_in_any_order(spark):
+    h = [63.3, 99.0, 75.6, 1.5]  # 59.85 in the mean, and 59.849999999999994 as doubles add up in this order
+    rows = [(f"d{i}", "s", "r", x, "watch", 1, False, "demo") for i, x in enumerate(h)]
+    df = spark.createDataFrame(rows, "device string, site string, rack string, h double, status string, level int, drifting boolean, source string").coalesce(1)
+    assert fleet.rollup(df, ["site", "rack"]).first().health == 59.9
