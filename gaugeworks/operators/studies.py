@@ -227,9 +227,13 @@ def tile_windows(rows: DataFrame, study: Study, limits: dict[str, int], salt: st
     return window_rows(whole.withColumn("device", F.col("host").cast("string")).withColumn("group_id", F.col("device")).withColumn("window", window), study)
 
 
-def module_windows(rows: DataFrame, study: Study, limits: dict[str, int], salt: str, low: float = 0.0, high: float = 100_000.0, size: int = WINDOW) -> DataFrame:
-    """Rows (group_id, module, time_us, channels): tumbling windows of valid rows of each module, then the first of them by hash."""
-    in_range = every([F.coalesce(finite(F.col(c).cast("double")) & F.col(c).between(low, high), F.lit(False)) for c in names(study)])
+def module_windows(rows: DataFrame, study: Study, limits: dict[str, int], salt: str, low: float = 0.0, high: float = 100_000.0, size: int = WINDOW, ranged: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows (group_id, module, time_us, channels): tumbling windows of valid rows of each module, then the first of them by hash.
+
+    All channels must be finite, and those in ``ranged`` (all, if None) from ``low`` to ``high``.
+    """
+    bounded = names(study) if ranged is None else ranged
+    in_range = every([F.coalesce(finite(F.col(c).cast("double")) & (F.col(c).between(low, high) if c in bounded else F.lit(True)), F.lit(False)) for c in names(study)])
     ok = placed(rows, study, "group_id").where((F.col("time_us") >= F.col("start_us")) & (F.col("time_us") < F.col("stop_us")) & in_range)
     one = Window.partitionBy("group_id", "module")
     cut = chunked(ok, ["group_id", "module"], "time_us", study.cadence_us, size).withColumn("_first", F.min("time_us").over(Window.partitionBy("group_id", "module", "window")))

@@ -110,7 +110,7 @@ SELECT g || ':' || module AS device, split, a AS first_us, z AS last_us, round(t
 def study_modules(spark, sf):
     """Valid runs of a module first, then a sample of its windows by hash."""
     s = slots(spark, sf).withColumn("module", F.unix_date("day") % 2).withColumnRenamed("host", "group_id")
-    return totals(studies.module_windows(s, SLOT, LIMITS, "fan:", 0.0, 40.0, 4))
+    return totals(studies.module_windows(s, SLOT, LIMITS, "fan:", 0.0, 40.0, 4, ("v",)))
 
 
 @query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us, value, event_id, CASE WHEN user_id % 10 = 3 THEN event_type ELSE 'm' END AS model, (user_id % 40)::VARCHAR AS host FROM events),

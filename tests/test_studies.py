@@ -4,7 +4,7 @@ import hashlib
 import json
 import random
 import zipfile
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -263,3 +263,30 @@ def test_studies_can_be_run():
     bad = dataclasses.replace(STUDIES["ssd"], salt="", channels=(Channel("a"), Channel("a", 0.0)), cadence_us=0)
     assert faults(bad) == ["channels", "bands", "cadence", "neither a salt nor declared groups"]
     assert faults(dataclasses.replace(STUDIES["ssd"], splits=STUDIES["ssd"].splits[:3])) == ["splits", "buckets"]
+
+
+def test_a_module_range_may_hold_for_some_channels(spark):
+    t0, cadence = micros("2024-01-02"), 900_000_000
+    df = spark.createDataFrame([("g", 1, t0 + i * cadence, 5.0, 83.0) for i in range(28)], "group_id string, module int, time_us bigint, v double, n double")
+    study, most = Study("f", "f:", STUDY.channels, cadence, ALL), dict.fromkeys(("train", "validation", "calibration", "test"), 9)
+    assert len(by_window(studies.module_windows(df, study, most, "m:", 0.0, 40.0, ranged=("v",)))) == 1
+    assert not by_window(studies.module_windows(df, study, most, "m:", 0.0, 40.0))
+
+
+def _against_sql(spark, tmp_path, name, events):
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = __spark_entry__.queries()[name](spark, str(tmp_path))
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
+
+
+def test_crowded_slots_have_modules(spark, tmp_path):
+    rows = [(k, slot) for k in range(83) for slot in range(8)]
+    _against_sql(spark, tmp_path, "study_modules", [(i, datetime(2024, 1, 10) + timedelta(minutes=30 * slot, seconds=k), 3, "view", 5.0 + k % 7) for i, (k, slot) in enumerate(rows)])
