@@ -227,7 +227,7 @@ def report_reasons(spark, sf):
     """Monthly JSON reports through the whole set of rules: the first one that each breaks."""
     e, i = table(spark, sf, "events"), F.col("event_id")
     late = F.when(i % 13 == 0, F.expr("interval 40 days")).otherwise(F.expr("interval 0 days"))
-    body = F.struct(F.struct(F.when(i % 7 == 0, "ATA").otherwise("NVMe").alias("protocol")).alias("device"), F.struct(F.lit(0).alias("media_errors"), (i % 300).alias("percentage_used"), F.round("value").cast("int").alias("temperature"), i.alias("power_on_hours")).alias("nvme_smart_health_information_log"))
+    body = F.struct(F.struct(F.when(i % 7 == 0, "ATA").otherwise("NVMe").alias("protocol")).alias("device"), F.struct(F.lit(0).alias("media_errors"), (i % 300).alias("percentage_used"), F.bround("value").cast("int").alias("temperature"), i.alias("power_on_hours")).alias("nvme_smart_health_information_log"))
     rows = e.select("event_id", F.when(i % 17 == 0, "t").otherwise("f").alias("invalid"), F.date_format(F.col("ts") + late, "yyyy-MM-dd HH:mm:ss").alias("ts"), F.when(i % 11 == 0, "none").otherwise(F.upper(F.lpad(F.col("user_id").cast("string"), 32, "a"))).alias("device_uuid"), F.to_json(body).alias("report"))
     return quality.report_rows(rows, "2024-01").select("event_id", "reason", "device")
 

@@ -290,3 +290,7 @@ def _against_sql(spark, tmp_path, name, events):
 def test_crowded_slots_have_modules(spark, tmp_path):
     rows = [(k, slot) for k in range(83) for slot in range(8)]
     _against_sql(spark, tmp_path, "study_modules", [(i, datetime(2024, 1, 10) + timedelta(minutes=30 * slot, seconds=k), 3, "view", 5.0 + k % 7) for i, (k, slot) in enumerate(rows)])
+
+
+def test_half_degrees_round_as_in_sql(spark, tmp_path):
+    _against_sql(spark, tmp_path, "report_reasons", [(i, datetime(2024, 1, 5), i, "view", v) for i, v in enumerate((200.5, 201.5, 199.5, 200.4, 200.6), 1)])
