@@ -457,7 +457,7 @@ s AS (SELECT l.user_id AS user_id, l.dt AS day, 'site-' || (l.user_id % 3) AS si
 def site_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     level = F.get(F.array(*map(F.lit, ("healthy", "watch", "elevated", "critical"))), F.col("level"))
     d = frames(spark, sf).join(daily(spark, sf).select("user_id", "dt", "n"), ["user_id", "dt"])
-    days = d.select(F.col("user_id").alias("device"), F.col("dt").alias("day"), F.round("h", 4).alias("h"), "level", level.alias("status"), F.when(F.col("n") > 1, F.array(F.lit("storage"))).otherwise(F.array().cast("array<string>")).alias("groups"))
+    days = d.select(F.col("user_id").alias("device"), F.col("dt").alias("day"), (F.round(F.col("h") * 10_000) / 10_000).alias("h"), "level", level.alias("status"), F.when(F.col("n") > 1, F.array(F.lit("storage"))).otherwise(F.array().cast("array<string>")).alias("groups"))
     named = lambda p, n: F.concat(F.lit(p), (F.col("device") % n).cast("string"))
     places = days.select("device").distinct().select("device", named("site-", 3).alias("site"), named("rack-", 10).alias("rack"))
     return days, places, windows.baseline(days, "device", "day", "h")
@@ -465,7 +465,7 @@ def site_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query(SITES + "SELECT day, site, count(*) AS known, count(DISTINCT rack) AS racks, round(avg(h), 9) AS health, ['healthy', 'watch', 'elevated', 'critical'][max(level) + 1] AS status, count(*) FILTER (drifting) AS drifting, count(*) FILTER (level = 0) AS n_healthy, count(*) FILTER (level = 1) AS n_watch, count(*) FILTER (level = 2) AS n_elevated, count(*) FILTER (level = 3) AS n_critical FROM s GROUP BY day, site")
 def site_as_of(spark, sf):
-    return fleet.site_as_of(*site_inputs(spark, sf)).withColumn("health", F.round("health", 9))
+    return fleet.site_as_of(*site_inputs(spark, sf)).withColumn("health", F.round(F.col("health") * 1e9) / 1e9)
 
 
 @query(SITES + "SELECT day, site, user_id AS device, h FROM s WHERE drifting QUALIFY row_number() OVER (PARTITION BY day, site ORDER BY h, user_id) <= 8")

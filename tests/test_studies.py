@@ -294,3 +294,8 @@ def test_crowded_slots_have_modules(spark, tmp_path):
 
 def test_half_degrees_round_as_in_sql(spark, tmp_path):
     _against_sql(spark, tmp_path, "report_reasons", [(i, datetime(2024, 1, 5), i, "view", v) for i, v in enumerate((200.5, 201.5, 199.5, 200.4, 200.6), 1)])
+
+
+def test_site_healths_round_as_in_sql(spark, tmp_path):
+    # the health is 50.51125, whose decimal form rounds to 50.5113 and its ten-thousandfold to 505112
+    _against_sql(spark, tmp_path, "site_as_of", [(1, datetime(2024, 1, 5), 3, "view", 49.48875)])
