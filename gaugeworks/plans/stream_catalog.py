@@ -21,14 +21,19 @@ END = "2100-01-01"  # a last row of no device, whose time lets all others be tak
 
 
 def arriving(rows: DataFrame, by: str, at: str, folder: str, files: int = FILES, delay_days: int = DELAY_DAYS, **closing: Column) -> str:
-    """Writes ``rows`` as so many sets of files that arrive one after the other, each row up to ``delay_days`` after its time; ``closing`` has columns of the last row."""
+    """Writes ``rows`` as files that arrive day after day, each row less than ``delay_days`` after its time, up to ``files`` a day; ``closing`` has columns of the last row.
+
+    Files of a day hold rows of that day's arrival only, so that no row is late wherever a stream ends its batches.
+    """
+    spark, staged = rows.sparkSession, f"{folder}-staged"
     day = F.unix_date(F.to_date(at)) + F.pmod(F.xxhash64(by, at), F.lit(delay_days))
-    first, last = rows.agg(F.min(day), F.max(day)).first()
-    part = F.lit(0) if first is None else F.floor((day - first) * files / (last - first + 1))
-    marked = rows.withColumn("part", part)
-    for i in range(files):  # one after the other: a stream takes files by their time
-        marked.where(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
-    end = rows.sparkSession.range(1).select(*(closing[c].cast(kind).alias(c) if c in closing else F.lit(END).cast("timestamp").alias(c) if c == at else F.lit("~").alias(c) if c == by else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes))
+    marked = rows.withColumn("_day", day).where("_day IS NOT NULL")
+    spread = F.pmod(F.xxhash64(by, at, F.lit("file")), F.lit(files))
+    marked.repartition("_day", spread).write.partitionBy("_day").parquet(staged)  # once, whatever it takes to make the rows
+    stored = spark.read.schema(marked.schema).parquet(staged)
+    for d in sorted(r[0] for r in stored.select("_day").distinct().collect()):  # one after the other: a stream takes files by their time
+        spark.read.schema(rows.schema).parquet(f"{staged}/_day={d}").write.mode("append").parquet(folder)
+    end = spark.range(1).select(*(closing[c].cast(kind).alias(c) if c in closing else F.lit(END).cast("timestamp").alias(c) if c == at else F.lit("~").alias(c) if c == by else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes))
     end.write.mode("append").parquet(folder)
     return folder
 
@@ -37,7 +42,7 @@ def streamed(spark: SparkSession, sf: str, **options) -> DataFrame:
     """The windows of the days of users, as a stream gives them out."""
     folder = scratch_folder(spark)
     rows = daily(spark, sf).select(F.col("user_id").cast("string").alias("device"), F.col("dt").cast("timestamp").alias("at"), F.col("v").alias("value"), (F.col("failure") == 1).alias("failed"))
-    stream = jobs.follow(spark, arriving(rows, "device", "at", f"{folder}/in"), "device string, at timestamp, value double, failed boolean", files_per_trigger=8)
+    stream = jobs.follow(spark, arriving(rows, "device", "at", f"{folder}/in"), "device string, at timestamp, value double, failed boolean", files_per_trigger=8 * FILES)
     job = jobs.run(jobs.windows(stream, "at", f"{DELAY_DAYS} days", 7, DAY_US, **options), f"{folder}/out", f"{folder}/state")
     job.awaitTermination()
     return spark.read.schema("device string, kind string, t long, start long, values array<double>, batch int").parquet(f"{folder}/out")
@@ -86,7 +91,7 @@ def stream_fleet(spark, sf):
     """Every component of every run as the stream scores it, run by run."""
     folder = scratch_folder(spark)
     where = arriving_runs(fleet_catalog.runs(spark, sf), f"{folder}/in")
-    stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=8)
+    stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=8 * FILES)
     scored = fleet_state.analyse(stream, f"{DELAY_DAYS} days").where("kind = 'scored'")
     out = scored.select("device", F.to_date("t").alias("dt"), "component", "health", F.size("evidence").alias("findings"), "points", (F.round("slope", 6) + 0.0).alias("slope"), "accelerating", "status", "trend", "priority_score", "signal")
     jobs.run(out, f"{folder}/out", f"{folder}/state").awaitTermination()

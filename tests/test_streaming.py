@@ -119,3 +119,12 @@ def test_scores_in_state_are_those_of_the_batch_run_by_run(spark, tmp_path):
     assert got.where("kind <> 'scored'").count() == 0
     shown = lambda df: sorted((r.device, r.component, r.t, r.health, r.points, round(r.slope, 8), r.accelerating, r.status, r.trend, r.priority_score, r.confidence, r.signal, r.action, [e.signal for e in r.evidence]) for r in df.select(columns).collect())
     assert shown(got) == shown(fleet.analyse(runs)) and got.count() > 100
+
+
+def test_no_row_is_late_wherever_batches_end(spark, tmp_path):
+    rows = catalog.daily(spark, SF).select(F.col("user_id").cast("string").alias("device"), F.col("dt").cast("timestamp").alias("at"), F.col("v").alias("value"), F.lit(False).alias("failed"))
+    where = stream_catalog.arriving(rows, "device", "at", str(tmp_path / "in"), files=2)
+    out = jobs.windows(jobs.follow(spark, where, SCHEMA, files_per_trigger=5), "at", "3 days", 7, DAY)
+    jobs.run(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
+    assert spark.read.parquet(where).where("device <> '~'").count() == rows.count()
+    assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'late'").count() == 0
