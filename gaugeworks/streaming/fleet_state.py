@@ -2,8 +2,8 @@
 
 State per device and component: the counters of the last 14 runs, the last ten points of
 health, running sums of all points and of the earlier half, and the points of the later
-half in map state. A new point moves one point at most from the later half to the
-earlier, so that a run costs the same whatever the history. What goes before (rules on
+half in map state, in blocks of ``BLOCK``. A new point moves one point at most from the later half to the
+earlier, so that a run costs the same whatever the history, and runs that are taken together read and write a block once. What goes before (rules on
 a run) and after (status, risk, priority) is row by row and the same as in the batch.
 """
 
@@ -22,7 +22,7 @@ from gaugeworks.operators import fleet
 from .jobs import InOrder, in_order
 
 DAY_US = 86_400_000_000.0
-MOST_METRICS, RECENT = 14, 10
+MOST_METRICS, RECENT, BLOCK = 14, 10, 64
 REST = ("label", "site", "rack", "slot", "criticality", "source", "type", "name", "redundancy", "signals", "evidence")
 
 
@@ -56,15 +56,23 @@ class FleetScores(InOrder):
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         self.counted = handle.getValueState("counted", "t array<long>, metrics array<string>")
         self.line = handle.getValueState("line", "first double, n long, early_n long, sums array<double>, early array<double>, xs array<double>, ys array<double>")
-        self.later = handle.getMapState("later", "place long", "x double, y double")
+        self.later = handle.getMapState("later", "block long", "x array<double>, y array<double>")
 
     def take(self, key, rows: list[tuple]) -> list[tuple]:
-        times, metrics = (list(x) for x in self.counted.get()) if self.counted.exists() else ([], [])
-        if self.line.exists():
-            first, n, early_n, sums, early, xs, ys = self.line.get()
-            sums, early, xs, ys = list(sums), list(early), list(xs), list(ys)
-        else:
-            first, n, early_n, sums, early, xs, ys = None, 0, 0, [0.0] * 4, [0.0] * 4, [], []
+        times, metrics = map(list, self.counted.get() or ([], []))
+        first, n, early_n, *lists = self.line.get() or (None, 0, 0, [0.0] * 4, [0.0] * 4, [], [])
+        sums, early, xs, ys = map(list, lists)
+        oldest, newest, blocks, grown = early_n // BLOCK, (n - 1) // BLOCK, {}, set()
+
+        def block(of: int) -> tuple[list, list]:
+            if of not in blocks:
+                blocks[of] = tuple(map(list, self.later.getValue((of,)))) if of <= newest else ([], [])
+            return blocks[of]
+
+        def point(place: int) -> tuple[float, float]:
+            x, y = block((place - 1) // BLOCK)
+            return x[(place - 1) % BLOCK], y[(place - 1) % BLOCK]
+
         out = []
         for t, penalty, own, rest in rows:
             more, cost = [], penalty
@@ -83,21 +91,29 @@ class FleetScores(InOrder):
             x, n = at - first, n + 1
             sums = [s + v for s, v in zip(sums, (x, health, x * x, x * health), strict=True)]
             xs, ys = [*xs, x][-RECENT:], [*ys, health][-RECENT:]
-            self.later.updateValue((n,), (x, health))
+            for held, value in zip(block((n - 1) // BLOCK), (x, health), strict=True):
+                held.append(value)
+            grown.add((n - 1) // BLOCK)
             if n // 2 > early_n:
                 early_n += 1
-                px, py = self.later.getValue((early_n,))
-                self.later.removeKey((early_n,))
+                px, py = point(early_n)
                 early = [s + v for s, v in zip(early, (px, py, px * px, px * py), strict=True)]
             known = n >= 3 and x >= 0.5
             slope, accelerating = 0.0, False
             if known:
                 slope = recent_slope(xs, ys)
-                nx, ny = self.later.getValue((early_n + 1,))  # the earlier half ends with the point in the middle
+                nx, ny = point(early_n + 1)  # the earlier half ends with the point in the middle
                 start = fitted(early_n + 1.0, *(s + v for s, v in zip(early, (nx, ny, nx * nx, nx * ny), strict=True)))
                 late = fitted(float(n - early_n), *(s - v for s, v in zip(sums, early, strict=True)))
                 accelerating = late < -1.0 and late < 1.5 * min(start, -0.3)
             out.append((*key, "scored", t, rest, json.dumps(more), health, n, x if n >= 3 else 0.0, slope, accelerating))
+        # a block goes when its last point is in the earlier half
+        for of in range(oldest, early_n // BLOCK):
+            if of <= newest:
+                self.later.removeKey((of,))
+        for of in grown:
+            if of >= early_n // BLOCK:
+                self.later.updateValue((of,), blocks[of])
         self.counted.update((times, metrics))
         self.line.update((first, n, early_n, sums, early, xs, ys))
         return out

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -45,7 +44,8 @@ def daily_counts(stream: DataFrame, time: str, by: list[str], delay: str = "1 da
 class InOrder(StatefulProcessor):
     """Takes a key's rows in the order of their times, each when the watermark has passed its availability (time + ``cadence_us``).
 
-    Rows wait in list state; a timer is due at the least availability that waits. What
+    Rows wait as columns of one value, with the timer that is set for the least availability
+    that waits: each call reads and writes the state once, whatever the number of rows. What
     arrives when the watermark has already passed its availability is late: it is given
     out as such and changes nothing. Of rows that repeat a time the least one is
     taken, the others are given out as repeated. A subclass has ``fields`` (the columns
@@ -58,8 +58,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{k} {v}" for k, v in self.fields.items()))
-        self.due = handle.getValueState("due", "at long")
+        self.waiting = handle.getValueState("waiting", "due long, " + ", ".join(f"{k} array<{v}>" for k, v in self.fields.items()))
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
@@ -74,54 +73,57 @@ class InOrder(StatefulProcessor):
         names = list(self.output)
         return tuple(kind if n == "kind" else row[0] if n == "t" else key[names.index(n)] if names.index(n) < len(key) else None for n in names)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.cadence
-        fresh, out = [], []
-        for frame in rows:
-            for row in frame[list(self.fields)].itertuples(index=False, name=None):
-                row = (int(row[0]), *row[1:])
-                if row[0] <= passed:
-                    out.append(self.aside(key, row, "late"))
-                else:
-                    fresh.append(row)
+        places, fresh, out = None, [], []
+        for row in rows:
+            places = places or [row.__fields__.index(k) for k in self.fields]
+            row = tuple(row[i] for i in places)
+            if row[0] <= passed:
+                out.append(self.aside(key, row, "late"))
+            else:
+                fresh.append(row)
         if fresh:
-            self.waiting.appendList(fresh)
-            self._remind(min(r[0] for r in fresh))
-        if out:
-            yield self._frame(out)
+            due, held = self._held()
+            self._keep(due, held + fresh)
+        yield from self._rows(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.cadence
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple((x is not None, x) if not isinstance(x, (list, dict)) else (True, str(x)) for x in r))
+        held = sorted(self._held()[1], key=lambda r: tuple((x is not None, x) if not isinstance(x, (list, dict)) else (True, str(x)) for x in r))
         ready, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self.due.clear()
-        if rest:
-            self._remind(rest[0][0])
+        self._keep(None, rest)
         out, single = [], []
         for r in ready:
             if single and single[-1][0] == r[0]:
                 out.append(self.aside(key, r, "repeated"))
             else:
                 single.append(r)
-        out += self.take(key, single)
-        if out:
-            yield self._frame(out)
-
-    def _remind(self, t: int) -> None:
-        at = -(-(t + self.cadence) // 1000)
-        known = self.due.get()[0] if self.due.exists() else None
-        if known is None or at < known:
-            if known is not None:
-                self.handle.deleteTimer(known)
+        if single:
+            out += self.take(key, single)
+        yield from self._rows(out)
+
+    def _held(self) -> tuple[int | None, list[tuple]]:
+        """(the time of the timer, the rows that wait)."""
+        known = self.waiting.get()
+        return (None, []) if known is None else (known[0], list(zip(*known[1:], strict=True)))
+
+    def _keep(self, due: int | None, rows: list[tuple]) -> None:
+        """Leaves ``rows`` waiting, with a timer for the first of them; ``due`` is the one that is set."""
+        if not rows:
+            self.waiting.clear()
+            return
+        at = -(-(min(r[0] for r in rows) + self.cadence) // 1000)
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
             self.handle.registerTimer(at)
-            self.due.update((at,))
+            due = at
+        self.waiting.update((due, *map(list, zip(*rows, strict=True))))
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=list(self.output))
+    def _rows(self, rows: list[tuple]) -> Iterator[Row]:
+        shape = Row(*self.output)
+        return (shape(*r) for r in rows)
 
     def close(self) -> None:
         pass
@@ -144,7 +146,7 @@ class EventWindows(InOrder):
         self.run = handle.getValueState("run", "last long, pos long, failed boolean, recent array<double>")
 
     def take(self, key, rows: list[tuple]) -> list[tuple]:
-        last, pos, failed, recent = self.run.get() if self.run.exists() else (None, 0, False, [])
+        last, pos, failed, recent = self.run.get() or (None, 0, False, [])
         recent, out = list(recent), []
         for row in rows:
             t, value, fails = row
@@ -170,7 +172,7 @@ def in_order(stream: DataFrame, by: list[str], time: str, delay: str, processor:
     fields = [F.unix_micros(time).alias("t"), *(F.col(c) for c in list(processor.fields)[1:])]
     rows = stream.withWatermark(time, delay).select(*by, *fields)
     schema = ", ".join(f"{k} {v}" for k, v in processor.output.items())
-    return rows.groupBy(*by).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return rows.groupBy(*by).transformWithState(processor, schema, "Append", "EventTime")
 
 
 def windows(stream: DataFrame, time: str, delay: str, size: int, cadence_us: int, stride: int | None = None, start_us: int | None = None, stop_us: int | None = None) -> DataFrame:
@@ -209,7 +211,7 @@ class CounterGrowth(InOrder):
         self.runs = handle.getValueState("runs", "t array<long>, v array<double>")
 
     def take(self, key, rows: list[tuple]) -> list[tuple]:
-        times, values = (list(x) for x in self.runs.get()) if self.runs.exists() else ([], [])
+        times, values = map(list, self.runs.get() or ([], []))
         out = []
         for t, v in rows:
             if times:

@@ -128,3 +128,40 @@ def test_no_row_is_late_wherever_batches_end(spark, tmp_path):
     jobs.run(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
     assert spark.read.parquet(where).where("device <> '~'").count() == rows.count()
     assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'late'").count() == 0
+
+
+class _Value:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Map(dict):
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = tuple(map(list, value))
+
+    removeKey = dict.__delitem__
+
+
+def test_later_points_keep_their_blocks(monkeypatch):
+    """Runs taken one by one and many at a time end in the same points and the same state, which holds the later half."""
+    monkeypatch.setattr(fleet_state, "BLOCK", 4)
+    rng = random.Random(7)
+    rows = [(k * DAY, rng.random() * 40, f'{{"ecc_corrected": {k % 9}.0}}', "{}") for k in range(60)]
+
+    def taken(cuts):
+        one = fleet_state.FleetScores()
+        one.counted, one.line, one.later = _Value(), _Value(), _Map()
+        out = [r for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True) for r in one.take(("d", "c"), rows[a:b])]
+        return out, one.counted.held, one.line.held, dict(one.later)
+
+    whole = taken([])
+    assert len(whole[0]) == 60 and all(taken(cuts) == whole for cuts in (range(1, 60), [3, 4, 9, 31, 50], sorted(rng.sample(range(1, 60), 12))))
+    assert sorted(whole[3]) == [(b,) for b in range(7, 15)]
