@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .shared import U64, Scratch, slices
 
 RANGE_NAMES, CHUNK = 3 << 20, 4 << 20
+#: Chunks of a file: a task decodes a file's rows at once, so that is what it holds, whatever its share of the input.
+FILE_CHUNKS = 8
 
 
 def make_chunks(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
@@ -35,7 +37,7 @@ def make_chunks(rows: DataFrame, columns: list[str], scratch: Scratch) -> DataFr
                 n += 1
 
     schema = ", ".join(["chunk long", *(f"{c}s array<{rows.schema[c].dataType.simpleString()}>" for c in columns)])
-    return scratch.save(rows.select(*columns).mapInArrow(run, schema), "chunks")
+    return scratch.save(rows.select(*columns).mapInArrow(run, schema), "chunks", rows=FILE_CHUNKS)
 
 
 def pack(names: np.ndarray, width: int) -> bytes:

@@ -161,7 +161,7 @@ def make_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return scratch.save(dealt.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
+    return scratch.save(dealt.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks", rows=nm.FILE_CHUNKS)
 
 
 def _chunk(batch: pa.RecordBatch, i: int) -> Chunk:

@@ -91,7 +91,7 @@ def shingle_steps(chunks: DataFrame, scratch: Scratch) -> DataFrame:
         step[order] = inverse_frequencies(n, np.add.reduceat(extra.view("<u4")[order].astype(np.int64), np.flatnonzero(fresh)))[group]
         return [x.tobytes() for x in np.split(step, np.cumsum(sizes)[:-1])]
 
-    return scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), answer), "steps")
+    return scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), answer), "steps", rows=nm.FILE_CHUNKS)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -178,7 +178,7 @@ def signatures(chunks: DataFrame, steps: DataFrame, scratch: Scratch) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "keys", "bands", "steps", "texts"])
 
     both = chunks.join(steps.hint("shuffle_hash"), "chunk", "left")
-    return scratch.save(both.mapInArrow(run, "chunk long, ids array<long>, keys array<string>, bands array<array<long>>, steps array<binary>, texts array<string>"), "signed")
+    return scratch.save(both.mapInArrow(run, "chunk long, ids array<long>, keys array<string>, bands array<array<long>>, steps array<binary>, texts array<string>"), "signed", rows=nm.FILE_CHUNKS)
 
 
 def weighted_sets(signed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,7 +198,8 @@ def weighted_sets(signed: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [packed[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values.take(places), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "size", "set"])
 
-    both = lists.join(signed.hint("shuffle_hash"), "chunk")
+    # what is wanted is held, and the chunks, which are far larger, pass by
+    both = lists.hint("shuffle_hash").join(signed, "chunk")
     return both.select("ids", "keys", "texts", "steps", "wanted").mapInArrow(run, "id long, size long, set binary").dropDuplicates(["id"])
 
 

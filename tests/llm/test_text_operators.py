@@ -2,12 +2,14 @@
 
 import collections
 import math
+import pathlib
 import re
 from hashlib import md5, sha256
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gaugeworks.llm import blocks, bpe_lexicon, line_dedup, names, quality_pu, shared, source_mixing, substring_dedup, suffix_dedup, weighted_minhash
@@ -216,6 +218,22 @@ def test_links_through_a_member_are_found(spark):
             assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(rows, Scratch(spark)).collect()} == want
 
 
+def test_files_hold_few_chunks_whatever_the_input(spark, docs, tmp_path, monkeypatch):
+    """A task decodes a file's chunks at once: 200 texts of one task, each a chunk of its own, lie in files of FILE_CHUNKS or fewer."""
+    want = sorted(map(tuple, weighted_minhash.near_duplicates(docs, Scratch(spark)).collect()))
+    monkeypatch.setattr(names, "CHUNK", 1)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1)
+    kept = []
+    monkeypatch.setattr(Scratch, "drop", lambda self, name: kept.append(f"{self.root}/{name}"))
+    assert sorted(map(tuple, weighted_minhash.near_duplicates(docs.coalesce(1), Scratch(spark)).collect())) == want
+    suffix = Scratch(spark)
+    suffix_dedup.make_chunks(docs, suffix)
+    for folder in {f for f in kept if f.rpartition("/")[2] in ("chunks", "steps", "signed")} | {f"{suffix.root}/chunks"}:
+        sizes = [pq.read_metadata(f).num_rows for f in pathlib.Path(folder.removeprefix("file:").replace("//", "/")).glob("*.parquet")]
+        assert sum(sizes) > 100 and max(sizes) <= names.FILE_CHUNKS
+    assert len(kept) > 2
+
+
 def test_near_duplicates_odd(spark, odd):
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(odd, Scratch(spark)).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9, 10: 9}
