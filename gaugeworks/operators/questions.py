@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars as S
+from gaugeworks.session import written
 
 from . import fleet
 
@@ -36,9 +37,10 @@ def asked(questions: DataFrame, text: str = "question") -> DataFrame:
     return named.withColumns({"intent": intent, "days": fleet.days_asked(q)})
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spread(key: Column | str) -> Column:
+    """``key``, and for a null a text that none is looked up by: nulls, which match nothing, don't meet in one task."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("question_id", "_text").cast("string")))
 
 
 def best(rows: DataFrame, by: list[str], order: list[Column], n: int, name: str, salts: int = 64) -> DataFrame:
@@ -95,16 +97,23 @@ def answers(questions: DataFrame, analysis: DataFrame, folder: str, *, text: str
     rows that repeat have an answer each; other columns of ``questions`` aren't carried along.
     """
     same = F.coalesce(F.col(model).cast("string"), F.lit("")) if model else F.lit("")
-    now = _written(fleet.latest(analysis).select(*STATE, same.alias("_model")), f"{folder}/components")
-    devices = _written(fleet.frames(now).select("device", "label", "site", "rack", "status", "level", "priority", "drifting"), f"{folder}/devices")
-    parts = focus(now)
+    now = written(fleet.latest(analysis).select(*STATE, same.alias("_model")), f"{folder}/components")
+    devices = written(fleet.frames(now).select("device", "label", "site", "rack", "status", "level", "priority", "drifting"), f"{folder}/devices")
+    by, urgent = ["site", "_scope"], [F.desc("priority"), F.col("device")]
+    patterns = fleet.rack_patterns(now).select("site", "rack", "group")
+    patterns = patterns.withColumn("_scope", F.explode(F.array("rack", F.lit("")))).groupBy(*by).agg(F.min(F.struct("rack", "group")).alias("_p")).select(*by, F.concat_ws("/", "_p.rack", "_p.group").alias("pattern"))
+    # all that is told of a device, in one row
+    rest, parts = others(now), focus(now)
+    known = parts.join(rest, (F.col("part._model") == rest["_model"]) & (F.col("part.component") == rest["component"]) & (F.col("part.health") == rest["health"]), "left").drop(rest["_model"], rest["component"], rest["health"])
+    known = known.join(devices.groupBy("device").agg(F.min(F.struct("rack", "status")).alias("_d")), "device")
+    known = known.select("device", F.struct("device", "part", F.col("_d.rack").alias("own"), F.col("_d.status").alias("state"), "peers", "peer_median", "peers_above", "peers_under_80").alias("_known"))
     # a device is in its rack's scope and in its site's, which has no rack
     both = devices.unionByName(devices.withColumn("rack", F.lit(""))).withColumnRenamed("rack", "_scope")
-    by, urgent = ["site", "_scope"], [F.desc("priority"), F.col("device")]
     scopes = both.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"), F.count_if("drifting").alias("drifting"), F.count_if(F.col("level") >= 2).alias("_bad"), F.min(F.struct(-F.col("level"), -F.col("priority"), "device")).alias("_worst"))
     scopes = scopes.join(best(both.where("level > 0"), by, urgent, FIRST, "_first"), by, "left").join(best(both.where("level >= 2"), by, urgent, SHOWN, "_shown"), by, "left")
-    patterns = fleet.rack_patterns(now).select("site", "rack", "group")
-    patterns = patterns.withColumn("_scope", F.explode(F.array("rack", F.lit("")))).groupBy(*by).agg(F.min(F.struct("rack", "group")).alias("_p")).select(*by, F.concat_ws("/", "_p.rack", "_p.group").alias("pattern"))
+    # with its worst device, so that no question that names none looks for one
+    scopes = scopes.join(patterns, by, "left").join(known.withColumnRenamed("device", "_w"), F.col("_worst.device") == F.col("_w"), "left").join(patterns.select("site", F.col("_scope").alias("_w_rack"), F.col("pattern").alias("_w_pattern")).withColumnRenamed("site", "_w_site"), (F.col("site") == F.col("_w_site")) & (F.col("_known.own") == F.col("_w_rack")), "left")
+    scopes = scopes.select(*by, F.struct("_count", "drifting", "_bad", "_first", "_shown", "_known", "pattern", "_w_pattern").alias("_of"))
 
     first = F.broadcast(devices.agg(F.min("site").alias("_default")))  # one row
     q = asked(questions.select("question_id", F.col(text).alias("_text"), F.col("site").alias("_site"), F.col("rack").alias("_seen_rack"), F.col("device").alias("_seen"), F.coalesce("cutoff", F.lit("now")).alias("_cutoff")), "_text")
@@ -113,16 +122,23 @@ def answers(questions: DataFrame, analysis: DataFrame, folder: str, *, text: str
     labels = devices.select(F.lower("label").alias("_key"), F.col("device").alias("_d"), F.col("site").alias("_at"))
     wanted = q.where("_word is not null").select("site", "_device", "_word").distinct().withColumn("_key", F.explode(F.array_distinct(F.array("_device", "_word"))))
     called = wanted.join(labels, "_key").groupBy("site", "_device").agg(F.min(F.struct(F.col("site") != F.col("_at"), "_d")).alias("_x")).select("site", "_device", F.col("_x._d").alias("_named"))
-    q = q.join(racks, ["site", "_rack"], "left").join(called, ["site", "_device"], "left")
+    q = q.withColumns({"_rack": spread("_rack"), "_device": spread("_device")}).join(racks, ["site", "_rack"], "left").join(called, ["site", "_device"], "left")
     seen = F.when(F.col("_named_rack").isNull(), F.col("_seen"))
-    q = q.withColumns({"rack": F.coalesce("_named_rack", "_seen_rack"), "_scope": F.coalesce("_named_rack", "_seen_rack", F.lit("")), "device": F.coalesce("_named", seen)})
-    q = q.join(scopes, by, "left").withColumn("device", F.coalesce("device", "_worst.device"))
-    states = devices.select("device", F.col("rack").alias("_own"), F.col("status").alias("_state"))
-    q = q.join(parts, "device", "left").join(states, "device", "left")
+    q = q.withColumns({"rack": F.coalesce("_named_rack", "_seen_rack"), "_named_device": F.coalesce("_named", seen)}).withColumn("_scope", F.coalesce("rack", F.lit("")))
+    # a row per site is sent to all; racks and devices are looked up by those questions that have one
+    q = q.join(F.broadcast(scopes.where("_scope = ''").select("site", F.col("_of").alias("_site_of"))), "site", "left")
+    local = scopes.where("_scope <> ''").select("site", F.col("_scope").alias("_in"), F.col("_of").alias("_rack_of"))
+    q = q.withColumn("_in", spread(F.nullif("_scope", F.lit("")))).join(local, ["site", "_in"], "left")
+    q = q.withColumn("_of", F.when(F.col("_scope") == "", F.col("_site_of")).otherwise(F.col("_rack_of"))).drop("_site_of", "_rack_of")
+    q = q.withColumn("_look", spread("_named_device")).join(known.select(F.col("device").alias("_look"), F.col("_known").alias("_own")), "_look", "left")
+    q = q.withColumn("_is", F.when(F.col("_named_device").isNull(), F.col("_of._known")).otherwise(F.col("_own"))).withColumn("device", F.coalesce("_named_device", "_is.device"))
     # a status is told with the pattern of the device's own rack, a list with that of the scope
-    q = q.withColumn("_scope", F.when(F.col("intent") == "status", F.coalesce("_own", "_scope")).otherwise(F.col("_scope"))).join(patterns, by, "left")
-    rest = others(now)
-    q = q.join(rest, (F.col("part._model") == rest["_model"]) & (F.col("part.component") == rest["component"]) & (F.col("part.health") == rest["health"]), "left").drop(rest["_model"], rest["component"], rest["health"])
+    own = F.when((F.col("intent") == "status") & F.col("_named_device").isNotNull(), F.col("_own.own"))
+    q = q.withColumn("_has_own", own.isNotNull()).withColumn("_at", spread(own)).join(patterns.select("site", F.col("_scope").alias("_at"), F.col("pattern").alias("_own_pattern")), ["site", "_at"], "left")
+    on_worst = (F.col("intent") == "status") & F.col("_named_device").isNull() & F.col("_is.own").isNotNull()
+    pattern = F.when(F.col("_has_own"), F.col("_own_pattern")).when(on_worst, F.col("_of._w_pattern")).otherwise(F.col("_of.pattern"))
+    told = {c: F.col(f"_is.{c}") for c in ("part", "peers", "peer_median", "peers_above", "peers_under_80")} | {c: F.col(f"_of.{c}") for c in ("_count", "drifting", "_bad", "_first", "_shown")}
+    q = q.withColumns({"_state": F.col("_is.state"), "pattern": pattern, **told})
 
     intent = F.when(F.col("_cutoff") != "now", "unavailable").when(F.col("part").isNull(), "no-devices").otherwise(F.col("intent"))
     q = q.withColumn("intent", intent).withColumn("risk", S.cumulative_risk("part.health", "part.slope", F.col("days")))

@@ -62,3 +62,16 @@ def test_medians_without_oneself(spark):
     for d, c, _, h in rows:
         rest = sorted(x for e, k, _, x in rows if k == c and e != d)
         assert (got[c, h].peers, got[c, h].peer_median, got[c, h].peers_above, got[c, h].peers_under_80) == (len(rest), rest[len(rest) // 2] if rest else None, sum(x > h for x in rest), sum(x < 80 for x in rest))
+
+
+def test_names_that_are_not_there_are_apart(spark):
+    """Questions without a name match nothing, so they must not meet under one key; one with a name keeps it."""
+    rows = spark.createDataFrame([(i, "how is it", "a" if i == 0 else None) for i in range(50)], "question_id long, _text string, name string")
+    got = [r.k for r in rows.select(questions.spread("name").alias("k")).collect()]
+    assert got[0] == "a" and len(set(got)) == 50 and None not in got
+
+
+def test_a_device_under_two_labels_has_an_answer(spark, state, tmp_path):
+    twice = state[0].withColumn("label", F.when((F.col("device") == "server-004") & (F.col("type") == "cpu"), "other").otherwise(F.col("label")))
+    rows = spark.createDataFrame([(1, "why", None, None, "server-004", None, 0), (2, "status", None, None, None, None, 0)], ASKED)
+    assert questions.answers(rows, twice, str(tmp_path / "e")).count() == 2
