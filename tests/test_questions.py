@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import fleet, questions
+from gaugeworks.plans import fleet_catalog
 from gaugeworks.sources import readers
 
 ASKED = "question_id long, question string, site string, rack string, device string, cutoff string, extra int"
@@ -64,6 +65,12 @@ def test_medians_without_oneself(spark):
         assert (got[c, h].peers, got[c, h].peer_median, got[c, h].peers_above, got[c, h].peers_under_80) == (len(rest), rest[len(rest) // 2] if rest else None, sum(x > h for x in rest), sum(x < 80 for x in rest))
 
 
+def test_links_read_what_is_written_once(spark):
+    """The scored history goes into links by several ways; each would score it again, and one task hold the windows of all."""
+    for query in (fleet_catalog.fleet_links, fleet_catalog.fleet_timeline):
+        assert not [f for f in query(spark, "/root/testdata/sf0.001").inputFiles() if "/testdata/" in f]
+
+
 def test_names_that_are_not_there_are_apart(spark):
     """Questions without a name match nothing, so they must not meet under one key; one with a name keeps it."""
     rows = spark.createDataFrame([(i, "how is it", "a" if i == 0 else None) for i in range(50)], "question_id long, _text string, name string")
