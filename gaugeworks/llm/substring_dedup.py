@@ -8,7 +8,9 @@ c as their least one. Only windows of 46 shingles or more can hold a passage, an
 their number is about 2n / 46 per function.
 
 1. Documents with one text are one class from the start, and the least doc_id
-   stands for it. Windows whose hash no other text has leave (``names.ask``).
+   stands for it. Which shingles another text has is asked by ``names.ask``. Texts
+   leave that can't have a passage, whatever the other text (``hopeful``), and
+   windows whose least shingle no other text has.
 2. Each text is verified with the least one of the groups of its windows, where it
    is that in ENOUGH functions: a check per text and group, in hot groups too.
    Classes form. A group that is of one class is settled. All others go on.
@@ -19,10 +21,11 @@ their number is about 2n / 46 per function.
    0.973, and with an exact copy always.
 4. Each text is verified with the least one of its signatures' groups, as before,
    and in groups that are then not settled all overlaps meet those of the other
-   classes: in groups of up to ``WIDE`` as pairs of whole texts, in wider ones
-   block against block on the overlaps, where a product of matrices leaves only
-   pairs with enough shingles in common. Nothing is left unchecked, so no link
-   between classes is lost.
+   classes: in groups with few pairs of two classes (``WIDE``) as pairs of whole
+   texts, each pair once for all its groups, in others block against block on the
+   overlaps, where those leave that can't have a passage with another class, and a
+   product of matrices leaves only pairs with enough shingles in common. Nothing
+   is left unchecked, so no link between classes is lost.
 
 Verification chains shingles that both sides hold into passages, and a pair of
 passages counts if it has 50 words on both sides and a Jaccard similarity of
@@ -53,13 +56,13 @@ from pyspark.sql import functions as F
 from . import blocks
 from . import names as nm
 from .links import components
-from .shared import U64, Scratch, buffers, content_key, mix, shingles, slices, table, text_of
+from .shared import U64, Scratch, buffers, content_key, mix, shingles, table, text_of
 
 WIDTH, WORDS, LEAST = 5, 50, 0.8
 SHORTEST = WORDS - WIDTH + 1
 FUNCTIONS, ENOUGH = 4, 2
 BITS = 48
-#: Groups of up to WIDE overlaps meet as pairs, wider ones block against block.
+#: Groups whose pairs of two classes are WIDE / 2 for each of their texts at most meet as pairs, others block against block.
 WIDE = 32
 #: Shingles that may be missing between two common ones of a passage, before it is looked at as two.
 GAP = 12
@@ -107,22 +110,65 @@ def _function(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(hashes ^ U64((0xA0761D6478BD642F * (2 * k + 1)) % (1 << 64)))
 
 
-class Windows:
-    """The compact windows of a chunk's texts, by function: names, and first and last place with the texts end to end."""
+def hopeful(shared: np.ndarray, again: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the texts, end to end, can have a passage at all: ``shared`` tells places whose shingle another text has too, ``again`` those that repeat one of their text.
+
+    A passage begins and ends with shared places, and of its different shingles four are in the other passage for
+    each one that isn't. So where a shared place counts 1, and one that is the first of its shingle and not shared -4,
+    its places have a sum of 0 at least.
+    """
+    n, texts = len(shared), len(first) - 1
+    count = np.diff(first)
+    # a running sum of each text, with its 0 in front; each text lies below all earlier ones, so that no place meets another text's
+    text = np.repeat(np.arange(texts), count + 1)
+    slot = np.arange(n) + np.repeat(np.arange(texts), count)
+    upto = np.zeros(n + texts, np.int64)
+    upto[slot + 1] = np.where(shared, 1, np.where(again, 0, -4))
+    upto = np.cumsum(upto)
+    upto -= upto[first[:-1] + np.arange(texts)][text] + text * (10 * n + 10)
+    slot = slot[shared]
+    begin = np.full(n + texts, 10 * n + 10)
+    begin[slot] = upto[slot]
+    ends = slot[slot + 1 >= SHORTEST] + 1
+    out = np.zeros(texts, bool)
+    out[text[ends[upto[ends] >= np.minimum.accumulate(begin)[ends - SHORTEST]]]] = True
+    return out
+
+
+class Texts:
+    """The shingles of a chunk's texts end to end, and their different names."""
 
     def __init__(self, texts: pa.Array):
         self.hashes, self.first, _, _ = shingles(*buffers(texts), WIDTH)
+        text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        order = np.argsort(self.hashes, kind="stable")
+        ordered, text = self.hashes[order] >> U64(64 - BITS), text[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+        own = fresh | np.concatenate([[True], text[1:] != text[:-1]])[: len(ordered)]
+        group = np.cumsum(fresh) - 1
+        self.names = ordered[fresh]
+        #: whether several texts of this chunk have the name
+        self.several = np.bincount(group, own, len(self.names)) > 1
+        self.group, self.again = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        self.group[order], self.again[order] = group, ~own
+
+
+class Windows:
+    """The compact windows of texts whose least shingle is ``shared``, by function: names, and first and last place with the texts end to end."""
+
+    def __init__(self, hashes: np.ndarray, shared: np.ndarray, first: np.ndarray):
+        self.first = first
         self.names, self.left, self.right = [], [], []
         for k in range(FUNCTIONS):
-            c, left, right = compact_windows(_function(self.hashes, k), self.first)
+            c, left, right = compact_windows(_function(hashes, k), first)
             order = np.lexsort((-right, left))
-            left, right, hashes = left[order], right[order], self.hashes[c[order]]
+            c, left, right = c[order], left[order], right[order]
             # where a hash occurs again, the window of its first place holds those of the others
             parent = _parents(right)
-            first = (parent < 0) | (hashes[parent] != hashes)
-            self.names.append(mix(hashes[first] + U64(k + 1)) >> U64(64 - BITS))
-            self.left.append(left[first])
-            self.right.append(right[first])
+            kept = ((parent < 0) | (hashes[c][parent] != hashes[c])) & shared[c]
+            self.names.append(mix(hashes[c[kept]] + U64(k + 1)) >> U64(64 - BITS))
+            self.left.append(left[kept])
+            self.right.append(right[kept])
 
     @classmethod
     def of(cls, lists: pa.Array) -> Windows:
@@ -146,23 +192,6 @@ class Windows:
     def text_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, side="right") - 1
 
-    def own(self) -> tuple[np.ndarray, np.ndarray]:
-        """(different names, whether several texts of this chunk have them)."""
-        names, texts = np.concatenate(self.names), np.concatenate([self.text_of(x) for x in self.left])
-        order = np.lexsort((texts, names))
-        names, texts = names[order], texts[order]
-        fresh = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
-        starts = np.flatnonzero(fresh)
-        ends = np.concatenate([starts[1:], [len(names)]]) - 1
-        return names[fresh], texts[starts] != texts[ends[: len(starts)]]
-
-    def keep(self, names: np.ndarray) -> None:
-        """Leaves the windows that have one of the sorted ``names``."""
-        for k in range(FUNCTIONS):
-            at = np.minimum(np.searchsorted(names, self.names[k]), max(0, len(names) - 1))
-            kept = names[at] == self.names[k] if len(names) else np.zeros(len(self.names[k]), bool)
-            self.names[k], self.left[k], self.right[k] = self.names[k][kept], self.left[k][kept], self.right[k][kept]
-
     def overlaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(signature, first place, last place) of all overlaps of SHORTEST places or more of windows of two functions."""
         parents = [_parents(right) for right in self.right]
@@ -200,35 +229,49 @@ def _covering(left: np.ndarray, right: np.ndarray, parent: np.ndarray, places: n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_GROUPS = "name long, id long, fn byte, first int, last int"
+_HELD = "name long, id long, fn byte, first int, last int, shingles binary"
 
 
-def shared_windows(chunks: DataFrame, scratch: Scratch) -> DataFrame:
-    """(name, id, fn, first, last): the windows that another text has too; places are shingles of the document."""
+def shared_windows(chunks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(name, id, fn, first, last, head), the windows that another text has too, where places are shingles of the document; and (id, shingles), 32 bits of each of the shingles of their documents, end to end."""
     size = chunks.agg(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))")).alias("n")).first().n or 0
-    parts = nm.ranges(size / 5 * FUNCTIONS / SHORTEST)
+    parts = nm.ranges(size / 5)
 
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield nm.sent(batch.column("chunk")[i].as_py(), Windows(batch.column("texts")[i].values).own()[0], BITS, parts, 4)
+                hashes, _, _, _ = shingles(*buffers(batch.column("texts")[i].values), WIDTH)
+                yield nm.sent(batch.column("chunk")[i].as_py(), np.unique(hashes >> U64(64 - BITS)), BITS, parts, 4)
 
-    told = scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), nm.repeated(False)), "told")
+    told = scratch.save(nm.ask(chunks.select("chunk", "texts").mapInArrow(send, nm.SENT), nm.repeated(False)), "told", rows=nm.FILE_CHUNKS)
 
     def keep(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                windows, ids = Windows(batch.column("texts")[i].values), batch.column("ids")[i].values
-                names, several = windows.own()
-                windows.keep(names[several | nm.bits_of(batch.column("answer")[i].as_py())])
+                texts, ids = Texts(batch.column("texts")[i].values), batch.column("ids")[i].values.to_numpy()
+                shared = (texts.several | nm.bits_of(batch.column("answer")[i].as_py()))[texts.group]
+                held = np.flatnonzero(hopeful(shared, texts.again, texts.first))
+                if not len(held):
+                    continue
+                begin, size = texts.first[held], np.diff(texts.first)[held]
+                first = np.concatenate([[0], np.cumsum(size)])
+                place = np.arange(first[-1]) + np.repeat(begin - first[:-1], size)
+                windows, ids = Windows(texts.hashes[place], shared[place], first), ids[held]
+                columns = []
                 for k in range(FUNCTIONS):
-                    text = windows.text_of(windows.left[k])
-                    first, last = (pa.array((x[k] - windows.first[text]).astype(np.int32)) for x in (windows.left, windows.right))
-                    columns = [pa.array(windows.names[k].view(np.int64)), ids.take(pa.array(text)), pa.array(np.full(len(text), k, np.int8)), first, last]
-                    yield pa.RecordBatch.from_arrays(columns, ["name", "id", "fn", "first", "last"])
+                    at = windows.text_of(windows.left[k])
+                    columns.append((windows.names[k].view(np.int64), ids[at], np.full(len(at), k, np.int8), *((x[k] - first[at]).astype(np.int32) for x in (windows.left, windows.right))))
+                columns = [pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["name", "id", "fn", "first", "last", "shingles"])
+                low = (texts.hashes[place] >> U64(32)).astype("<u4")
+                low = [low[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                none = [pa.nulls(len(held), t) for t in (pa.int64(), pa.int8(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(ids), *none[1:], pa.array(low, pa.binary())], ["name", "id", "fn", "first", "last", "shingles"])
 
-    rows = chunks.join(told.hint("shuffle_hash"), "chunk", "left").select("ids", "texts", "answer").mapInArrow(keep, _GROUPS)
-    return _with_heads(scratch.save(rows, "kept"), scratch, "windows")
+    kept = scratch.save(chunks.join(told.hint("shuffle_hash"), "chunk", "left").select("ids", "texts", "answer").mapInArrow(keep, _HELD), "kept")
+    windows = _with_heads(kept.where("name is not null").drop("shingles"), scratch, "windows")
+    known = kept.where("shingles is not null").select("id", "shingles").join(windows.select("id").distinct(), "id", "left_semi")
+    return windows, scratch.save(known, "shingled")
 
 
 def _with_heads(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -257,10 +300,10 @@ def overlaps(windows: DataFrame) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The groups of ``rows`` that hold several classes, with their size n and each row's class, ``label``."""
+    """The groups of ``rows`` that hold several classes, with each row's class, ``label``."""
     labels = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch, f"{name}-classes")
     inside = rows.drop("head").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    groups = inside.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("name", "n")
+    groups = inside.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("name")
     return scratch.save(inside.join(groups, "name"), name)
 
 
@@ -309,28 +352,74 @@ class Union:
         self.first[low:high], self.last[low:high] = [first], [last]
 
 
-def _stretches(x: np.ndarray, other: np.ndarray) -> tuple[bool, bool]:
-    """Whether SHORTEST or more places of ``x`` in a row have 4 shingles that ``other``, sorted, holds for each one that it doesn't; and 8."""
-    ordered = np.sort(x)
-    if (ordered[1:] == ordered[:-1]).any():
-        return True, True
-    hit = other[np.minimum(np.searchsorted(other, x), len(other) - 1)] == x
-    out = []
-    for cost in (4, 8):
-        upto = np.concatenate([[0], np.cumsum(np.where(hit, 1, -cost))])
-        out.append(bool((upto[SHORTEST:] >= np.minimum.accumulate(upto)[:-SHORTEST]).any()))
-    return out[0], out[1]
+def _again(x: np.ndarray, order: np.ndarray) -> np.ndarray | None:
+    """Which places repeat a shingle of ``x``; none, if all are different. ``order`` sorts ``x`` and keeps the order of equals."""
+    ordered = x[order]
+    same = ordered[1:] == ordered[:-1]
+    if not same.any():
+        return None
+    out = np.zeros(len(x), bool)
+    out[order[1:][same]] = True
+    return out
+
 
+def _worthwhile(hit: np.ndarray, again: np.ndarray | None, cost: int) -> bool:
+    """Whether SHORTEST or more places in a row, the first and the last in common with the other sequence, have ``cost`` shingles in common for each different one that is not."""
+    upto = np.zeros(len(hit) + 1, np.int64)
+    np.cumsum(np.where(hit, 1, -cost if again is None else np.where(again, 0, -cost)), out=upto[1:])
+    ends = np.flatnonzero(hit[SHORTEST - 1 :]) + SHORTEST
+    return bool((upto[ends] >= np.minimum.accumulate(np.where(hit, upto[:-1], len(hit) + 1))[ends - SHORTEST]).any())
 
-def promising(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the two sequences can have a pair of passages: where c shingles are in both, c / 4 at most are in one only, so c / 8 on one side."""
-    if len(a) < SHORTEST or len(b) < SHORTEST:
+
+def promising(hit_a: np.ndarray, again_a: np.ndarray | None, hit_b: np.ndarray, again_b: np.ndarray | None) -> bool:
+    """Whether two sequences can have a pair of passages: where c different shingles are in both, c / 4 at most are in one only, so c / 8 on one side."""
+    least = 2 * SHORTEST * LEAST / (1 + LEAST) - 1e-6
+    if again_a is None and again_b is None and np.count_nonzero(hit_a) < least:
         return False
-    one, some = _stretches(a, np.sort(b))
-    if not one:
+    if not (_worthwhile(hit_a, again_a, 4) and _worthwhile(hit_b, again_b, 4)):
         return False
-    two, more = _stretches(b, np.sort(a))
-    return two and (some or more)
+    return _worthwhile(hit_a, again_a, 8) or _worthwhile(hit_b, again_b, 8)
+
+
+def _long_enough(runs: np.ndarray) -> np.ndarray:
+    """Those of ``runs`` that lie among others, near enough to go on from each other, that reach over SHORTEST places on both sides."""
+    first, last, off = runs.T
+    by = np.argsort(off, kind="stable")
+    band = np.empty(len(runs), np.int64)
+    band[by] = np.cumsum(np.concatenate([[0], np.diff(off[by]) > GAP + 1]))
+    by = np.lexsort((first, band))
+    move = band[by] * (last.max() + GAP + 2)
+    upto = np.maximum.accumulate(last[by] + move)
+    starts = np.flatnonzero(np.concatenate([[True], first[by][1:] + move[1:] > upto[:-1] + GAP]))
+    reach = [np.maximum.reduceat(y[by], starts) - np.minimum.reduceat(x[by], starts) + 1 for x, y in ((first, last), (first + off, last + off))]
+    kept = np.empty(len(runs), bool)
+    kept[by] = np.repeat((reach[0] >= SHORTEST) & (reach[1] >= SHORTEST), np.diff(np.concatenate([starts, [len(runs)]])))
+    return runs[kept]
+
+
+def _chained(first: list[int], last: list[int], off: list[int]) -> tuple[list[int], list[int], list[bool]]:
+    """For each run, the one that it goes on from (-1, if none) and the last place of that which it takes; and whether no other goes on from all of it."""
+    n = len(first)
+    score, before, leave, ended = [j - i + 1 for i, j in zip(first, last, strict=True)], [-1] * n, [0] * n, [True] * n
+    by: dict[int, list[int]] = {}
+    for t, (i, d) in enumerate(zip(first, off, strict=True)):
+        best, found, at = 0, -1, 0
+        for e in range(d - GAP - 1, d + GAP + 2):
+            for k in reversed(by.get(e, ())):  # runs of a diagonal are apart and in order
+                if last[k] < i - GAP:
+                    break
+                # the last shingle of it that lies before this run on both sides
+                x = min(last[k], i - 1, i + d - 1 - e)
+                if x >= first[k] and x >= i - GAP and x >= i + d - GAP - 1 - e:
+                    behind = score[k] - (last[k] - x)
+                    if found < 0 or behind > best or (behind == best and off[found] == e):
+                        best, found, at = behind, k, x
+        if found >= 0:
+            score[t] += best
+            before[t], leave[t] = found, at
+            ended[found] = ended[found] and at < last[found]
+        by.setdefault(d, []).append(t)
+    return before, leave, ended
 
 
 def passages(a: np.ndarray, b: np.ndarray, new: bool = False) -> list[tuple[int, int, int, int]]:
@@ -341,32 +430,43 @@ def passages(a: np.ndarray, b: np.ndarray, new: bool = False) -> list[tuple[int,
     side. A run may serve several, so each of the places of a repeat has its chain.
     ``new`` leaves out pairs both sides of which others cover already.
     """
-    if not promising(a, b):
+    if len(a) < SHORTEST or len(b) < SHORTEST:
         return []
-    runs = _runs(a, b)
-    by = np.argsort(runs[:, 2], kind="stable")
-    diagonals = runs[by, 2]
-    first, last, off = runs[:, 0], runs[:, 1], runs[:, 2]
-    score, before, leave, ended = last - first + 1, np.full(len(runs), -1), np.zeros(len(runs), np.int64), np.ones(len(runs), bool)
-    for t, (i, _, d) in enumerate(runs.tolist()):
-        near = by[np.searchsorted(diagonals, d - GAP - 1) : np.searchsorted(diagonals, d + GAP + 1, side="right")]
-        near = near[near < t]
-        # the last shingle of each that lies before this run on both sides
-        x = np.minimum(last[near], np.minimum(i - 1, i + d - 1 - off[near]))
-        fits = x >= np.maximum(first[near], np.maximum(i - GAP, i + d - GAP - 1 - off[near]))
-        if fits.any():
-            near, x = near[fits], x[fits]
-            behind = score[near] - (last[near] - x)
-            k = int(np.argmax(behind))
-            score[t] += behind[k]
-            before[t], leave[t] = near[k], x[k]
-            ended[near[k]] &= x[k] < last[near[k]]
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    again_a, again_b = _again(a, order_a), _again(b, order_b)
+    plain, ordered = again_a is None and again_b is None, b[order_b]
+    at = np.searchsorted(ordered, a)
+    at[at == len(b)] = 0
+    hit = ordered[at] == a
+    if plain:
+        i = np.flatnonzero(hit)
+        place, other = np.full(len(a), -1), np.zeros(len(b), bool)
+        place[i] = order_b[at[i]]
+        other[place[i]] = True
+    else:
+        ordered = a[order_a]
+        at = np.searchsorted(ordered, b)
+        at[at == len(a)] = 0
+        other = ordered[at] == b
+    if not promising(hit, again_a, other, again_b):
+        return []
+    if plain:
+        off = place[i] - i
+        new_run = np.flatnonzero((np.diff(i) != 1) | (np.diff(off) != 0)) + 1
+        start, end = np.concatenate([[0], new_run]), np.concatenate([new_run - 1, [len(i) - 1]])
+        runs = np.stack([i[start], i[end], off[start]], axis=1) if len(i) else np.empty((0, 3), np.int64)
+    else:
+        runs = _runs(a, b)
+    if len(runs) > 4:
+        runs = _long_enough(runs)
+    first, last, off = runs[:, 0].tolist(), runs[:, 1].tolist(), runs[:, 2].tolist()
+    before, leave, ended = _chained(first, last, off)
     todo = []
-    for t in np.flatnonzero(ended).tolist():
-        chain, end = [], int(last[t])
+    for t in [t for t, x in enumerate(ended) if x]:
+        chain, end = [], last[t]
         while t >= 0:
-            chain.append((int(first[t]), end, int(first[t] + off[t]), int(end + off[t])))
-            t, end = int(before[t]), int(leave[t])
+            chain.append((first[t], end, first[t] + off[t], end + off[t]))
+            t, end = before[t], leave[t]
         todo.append(chain[::-1])
     if new:
         todo.sort(key=lambda c: c[-1][1] - c[0][0])
@@ -378,10 +478,13 @@ def passages(a: np.ndarray, b: np.ndarray, new: bool = False) -> list[tuple[int,
             continue
         if new and ours.holds(i, j) and theirs.holds(p, q):
             continue
-        if len(chain) > 1:
-            one, two = np.unique(a[i : j + 1]), np.unique(b[p : q + 1])
-            both = len(np.intersect1d(one, two, assume_unique=True))
-        if len(chain) == 1 or both >= LEAST * (len(one) + len(two) - both):
+        if len(chain) > 1 and plain:
+            one, two = j - i + 1, q - p + 1
+            both = int(np.count_nonzero((place[i : j + 1] >= p) & (place[i : j + 1] <= q)))
+        elif len(chain) > 1:
+            sets = np.unique(a[i : j + 1]), np.unique(b[p : q + 1])
+            one, two, both = len(sets[0]), len(sets[1]), len(np.intersect1d(*sets, assume_unique=True))
+        if len(chain) == 1 or both >= LEAST * (one + two - both):
             out.add((i, j, p, q))
             ours.add(i, j)
             theirs.add(p, q)
@@ -392,19 +495,6 @@ def passages(a: np.ndarray, b: np.ndarray, new: bool = False) -> list[tuple[int,
     return sorted(out)
 
 
-def shingled(texts: DataFrame) -> DataFrame:
-    """(id, shingles) of ``texts`` (id, text): 32 bits of each of a document's shingles, end to end, so that they are made once and not for each pair."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                hashes, first, _, _ = shingles(*buffers(part.column("text")), WIDTH)
-                low = (hashes >> U64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([low[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["id", "shingles"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
-
-
 def _verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(id, other, first, end): word spans of passages of the pairs (a, b), once from each side."""
 
@@ -463,6 +553,22 @@ def common(parts: list[np.ndarray], one: np.ndarray, two: np.ndarray, most: int
     return out
 
 
+def among_labels(parts: list[np.ndarray], labels: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which of the parts can have a passage, if only shingles count that another label has too, and if there are two sides, the other side."""
+    size = np.array([len(x) for x in parts])
+    row, flat = np.repeat(np.arange(len(parts)), size), np.concatenate(parts)
+    order = np.argsort(flat, kind="stable")
+    fresh = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    starts, row = np.flatnonzero(fresh), row[order]
+    several = np.ones(len(starts), bool)
+    for x in (labels, side) if side.any() else (labels,):
+        several &= np.minimum.reduceat(x[row], starts) < np.maximum.reduceat(x[row], starts)
+    shared, again = np.empty(len(flat), bool), np.zeros(len(flat), bool)
+    shared[order] = several[np.cumsum(fresh) - 1]
+    again[order[1:]] = ~fresh[1:] & (row[1:] == row[:-1])
+    return hopeful(shared, again, np.concatenate([[0], np.cumsum(size)]))
+
+
 def least_different(part: np.ndarray) -> int:
     """A bound on how few different shingles SHORTEST places of ``part`` hold: those that don't occur within that many places before."""
     order = np.argsort(part, kind="stable")
@@ -477,7 +583,11 @@ def _tie(group: pa.Table, inside: bool) -> pa.Table:
     """The passages (id, other, first, end), once from each side, that tie labels of two blocks, or of one, that none before has tied."""
     ids, labels, side, begin = (group.column(c).to_numpy() for c in ("id", "label", "side", "first"))
     parts = [np.frombuffer(x.as_py(), "<u4") for x in group.column("part")]
+    kept = np.flatnonzero(among_labels(parts, labels, side))
+    ids, labels, side, begin, parts = ids[kept], labels[kept], side[kept], begin[kept], [parts[k] for k in kept.tolist()]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
+    if not len(one) or not len(two):
+        return pa.table([pa.array([], pa.int64())] * 4, ["id", "other", "first", "end"])
     # of sets of m and n at a similarity of LEAST or more, (m + n) LEAST / (1 + LEAST) are in both
     least = LEAST / (1 + LEAST) * np.array([least_different(x) for x in parts])
     both = common(parts, one, two)
@@ -508,11 +618,16 @@ def verified(windows: DataFrame, known: DataFrame, scratch: Scratch) -> DataFram
     again = scratch.save(again, "star-2")
     found = scratch.save(found.unionByName(_verify(again, known)), "found-2")
     left = unsettled(signed, found, scratch, "left-2")
-    few = left.where(F.col("n") <= WIDE).select("name", "id", "label").distinct()
-    met = few.join(few.select("name", F.col("label").alias("label_2"), F.col("id").alias("b")), "name").where("label <> label_2 and id > b")
-    pairs = met.select(F.col("id").alias("a"), "b").distinct().join(star.unionByName(again), ["a", "b"], "left_anti")
+    each = scratch.save(left.select("name", "id", "label").distinct(), "members-2")
+    cells = each.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.max(F.struct("n", "label"))["label"].alias("top"))
+    # n * n - alike is twice the number of pairs of two classes
+    cells = cells.select("name", "top", (F.col("n") * F.col("n") - F.col("alike") <= WIDE * F.least("n", F.lit(blocks.ROWS))).alias("few"))
+    few = each.join(cells.where("few").drop("few"), "name")
+    # each such pair has one at least that is not of the largest class, so no more than these meet
+    met = few.where("label <> top").select("name", "label", F.col("id").alias("x")).join(few.select("name", F.col("label").alias("label_2"), F.col("id").alias("y")), "name").where("label <> label_2")
+    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(star.unionByName(again), ["a", "b"], "left_anti")
     more = scratch.save(_verify(pairs, known), "found-3")
-    many = left.where(F.col("n") > WIDE).withColumn("size", 4 * (F.col("last") - F.col("first")))
+    many = left.join(cells.where("not few").select("name"), "name").withColumn("size", 4 * (F.col("last") - F.col("first")))
     wide = _regions(blocks.deal(many, ["name"], ["first", "last"]), known)
     rest = scratch.save(blocks.meet(wide, ["name"], _tie, "id long, other long, first long, end long"), "found-4")
     return scratch.save(found.unionByName(more).unionByName(rest).distinct(), "found")
@@ -528,11 +643,11 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"))
     long = heads.join(members.select("key", "n_words", F.col("id").alias("head")), ["key", "head"]).where(F.col("n_words") >= WORDS)
     members = scratch.save(members.join(heads, "key"), "headed")
-    texts = scratch.save(rows.join(long.select("key", F.col("head").alias("id")), ["id", "key"], "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
-    windows = shared_windows(nm.make_chunks(texts, ["id", "text"], scratch), scratch)
+    texts = rows.join(long.select("key", F.col("head").alias("id")), ["id", "key"], "left_semi").select("id", "text").dropDuplicates(["id"])
+    windows, known = shared_windows(nm.make_chunks(texts, ["id", "text"], scratch), scratch)
     for name in ("chunks", "told", "kept"):
         scratch.drop(name)
-    found = verified(windows, scratch.save(shingled(texts.join(windows.select("id").distinct(), "id", "left_semi")), "shingled"), scratch)
+    found = verified(windows, known, scratch)
     whole = (F.col("copies") > 1) & (F.col("n_words") >= WORDS)
     ties = members.where(whole & (F.col("id") > F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b"))
     classes = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(ties), scratch, "classes")

@@ -326,6 +326,31 @@ def test_what_is_not_promising_has_no_passages(monkeypatch):
     assert 50 < kept < 290
 
 
+def test_texts_without_a_passage_leave_before_they_meet(spark):
+    """Sixty texts share a line of 45 words, which windows of 50 words meet by, and two of them a passage of 60 words."""
+    line, passage = " ".join(f"l{i}" for i in range(45)), " ".join(f"p{i}" for i in range(60))
+    own = lambda k, at: " ".join(f"o{k}x{at + i}" for i in range(50))
+    rows = [(k, f"{own(k, 0)} {line} {own(k, 50)}" + (f" {passage} {own(k, 100)}" if k in (7, 31) else "")) for k in range(60)]
+    scratch = Scratch(spark)
+    got = {r.doc_id: (r.class_id, r.n_repeated) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == {k: (k, 0) for k in range(60)} | {7: (7, 60), 31: (7, 60)}
+    assert sorted(r.id for r in spark.read.parquet(f"{scratch.root}/shingled").collect()) == [7, 31]
+
+
+def test_hopeful_texts_are_those_of_brute_force():
+    rng, seen = np.random.default_rng(1), []
+    for _ in range(60):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 130, 5))])
+        hit, again = rng.random(first[-1]) < rng.choice([0.7, 0.75, 0.8]), rng.random(first[-1]) < 0.05
+        worth, want = np.where(hit, 1, np.where(again, 0, -4)), []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            upto = np.concatenate([[0], np.cumsum(worth[a:b])])
+            want.append(any(hit[a + i] and hit[a + j - 1] and upto[j] >= upto[i] for i in range(b - a) for j in range(i + substring_dedup.SHORTEST, b - a + 1)))
+        assert substring_dedup.hopeful(hit, again, first).tolist() == want
+        seen += want
+    assert 0.1 < np.mean(seen) < 0.9
+
+
 def test_links_behind_a_head_are_found(spark):
     """Two documents share a passage; two with smaller ids hold only the shingles that are its least."""
     words = [f"m{i}" for i in range(50)]
