@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 ROWS, BYTES = 512, 8 << 20
 
 
-def deal(rows: DataFrame, cell: list[str], columns: list[str]) -> DataFrame:
+def deal(rows: DataFrame, cell: list[str], columns: list[str], most: int = ROWS) -> DataFrame:
     """``rows`` (cell, id, label, size, columns) once for each two blocks of its cell that a row is to meet in: with x and y, the blocks, side and inside.
 
     ``size`` is what a row's payload will have in bytes; the payload itself comes
     after this, so that it is shuffled once. A label that fills blocks has blocks
     of its own, and those don't meet each other: what one label ties together
-    needs no check.
+    needs no check. ``most`` rows are a block.
     """
     few = ["id", "label", *columns]
     sizes = rows.groupBy(*cell, "label").agg(F.count(F.lit(1)).alias("of_label"))
-    many = rows.join(sizes, [*cell, "label"]).withColumn("own", F.col("of_label") >= ROWS).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(0)).drop("of_label")
-    parts = many.groupBy(*cell, "own", "of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROWS, F.sum("size") / BYTES)).alias("parts"))
+    many = rows.join(sizes, [*cell, "label"]).withColumn("own", F.col("of_label") >= most).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(0)).drop("of_label")
+    parts = many.groupBy(*cell, "own", "of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("size") / BYTES)).alias("parts"))
     many = many.join(parts, [*cell, "own", "of"]).select(*cell, *few, F.struct("own", "of", F.pmod(F.xxhash64("id"), "parts").alias("salt")).alias("x"))
     blocks = many.groupBy(*cell, "x").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     other = blocks.select(*cell, F.col("x").alias("y"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))

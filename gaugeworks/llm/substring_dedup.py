@@ -22,10 +22,13 @@ their number is about 2n / 46 per function.
 4. Each text is verified with the least one of its signatures' groups, as before,
    and in groups that are then not settled all overlaps meet those of the other
    classes: in groups with few pairs of two classes (``WIDE``) as pairs of whole
-   texts, each pair once for all its groups, in others block against block on the
-   overlaps, where those leave that can't have a passage with another class, and a
-   product of matrices leaves only pairs with enough shingles in common. Nothing
-   is left unchecked, so no link between classes is lost.
+   texts, each pair once for all its groups, in others block against block, where
+   those leave that can't have a passage with another class, and a product of
+   matrices leaves only pairs with enough shingles in common. Groups that one class
+   has half of, or more, meet as one for each such class, with what their overlaps
+   span in a text: a large class of near copies has hundreds of them with the same
+   texts. Others meet on the overlaps. Nothing is left unchecked, so no link
+   between classes is lost.
 
 Verification chains shingles that both sides hold into passages, and a pair of
 passages counts if it has 50 words on both sides and a Jaccard similarity of
@@ -63,7 +66,9 @@ SHORTEST = WORDS - WIDTH + 1
 FUNCTIONS, ENOUGH = 4, 2
 BITS = 48
 #: Groups whose pairs of two classes are WIDE / 2 for each of their texts at most meet as pairs, others block against block.
-WIDE = 32
+WIDE = 4
+#: Texts of a block that meets others.
+MEETING = 256
 #: Shingles that may be missing between two common ones of a passage, before it is looked at as two.
 GAP = 12
 
@@ -110,24 +115,25 @@ def _function(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(hashes ^ U64((0xA0761D6478BD642F * (2 * k + 1)) % (1 << 64)))
 
 
-def hopeful(shared: np.ndarray, again: np.ndarray, first: np.ndarray) -> np.ndarray:
+def hopeful(shared: np.ndarray, again: np.ndarray, first: np.ndarray, cost: int = 4) -> np.ndarray:
     """Which of the texts, end to end, can have a passage at all: ``shared`` tells places whose shingle another text has too, ``again`` those that repeat one of their text.
 
     A passage begins and ends with shared places, and of its different shingles four are in the other passage for
-    each one that isn't. So where a shared place counts 1, and one that is the first of its shingle and not shared -4,
-    its places have a sum of 0 at least.
+    each one that isn't. So where a shared place counts 1, and one that is the first of its shingle and not shared -``cost``
+    of 4, its places have a sum of 0 at least.
     """
     n, texts = len(shared), len(first) - 1
     count = np.diff(first)
     # a running sum of each text, with its 0 in front; each text lies below all earlier ones, so that no place meets another text's
     text = np.repeat(np.arange(texts), count + 1)
     slot = np.arange(n) + np.repeat(np.arange(texts), count)
+    far = 2 * (cost + 1) * (n + 1)
     upto = np.zeros(n + texts, np.int64)
-    upto[slot + 1] = np.where(shared, 1, np.where(again, 0, -4))
+    upto[slot + 1] = np.where(shared, 1, np.where(again, 0, -cost))
     upto = np.cumsum(upto)
-    upto -= upto[first[:-1] + np.arange(texts)][text] + text * (10 * n + 10)
+    upto -= upto[first[:-1] + np.arange(texts)][text] + text * far
     slot = slot[shared]
-    begin = np.full(n + texts, 10 * n + 10)
+    begin = np.full(n + texts, far)
     begin[slot] = upto[slot]
     ends = slot[slot + 1 >= SHORTEST] + 1
     out = np.zeros(texts, bool)
@@ -363,6 +369,12 @@ def _again(x: np.ndarray, order: np.ndarray) -> np.ndarray | None:
     return out
 
 
+def _repeats(x: np.ndarray) -> np.ndarray:
+    order = np.argsort(x, kind="stable")
+    again = _again(x, order)
+    return np.zeros(len(x), bool) if again is None else again
+
+
 def _worthwhile(hit: np.ndarray, again: np.ndarray | None, cost: int) -> bool:
     """Whether SHORTEST or more places in a row, the first and the last in common with the other sequence, have ``cost`` shingles in common for each different one that is not."""
     upto = np.zeros(len(hit) + 1, np.int64)
@@ -381,6 +393,27 @@ def promising(hit_a: np.ndarray, again_a: np.ndarray | None, hit_b: np.ndarray,
     return _worthwhile(hit_a, again_a, 8) or _worthwhile(hit_b, again_b, 8)
 
 
+def all_promising(one: np.ndarray, again: np.ndarray, others: list[np.ndarray], others_again: list[np.ndarray]) -> np.ndarray:
+    """Which of ``others`` can have a passage with ``one``, as ``promising`` tells of two; shingles are small numbers."""
+    flat, flat_again, size = np.concatenate(others), np.concatenate(others_again), [len(x) for x in others]
+    first, row = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(others)), size)
+    names, mine = np.unique(one, return_inverse=True)
+    at = np.full(max(int(flat.max()), int(one.max())) + 1, -1)
+    at[names] = np.arange(len(names))
+    at = at[flat]
+    hit = at >= 0
+    out = hopeful(hit, flat_again, first)
+    holds = np.zeros((len(others), len(names)), bool)
+    holds[row[hit], at[hit]] = True
+    ours, left = np.flatnonzero(out), np.zeros(len(others), bool)
+    if not len(ours):
+        return out
+    ours_hit, ours_again, ours_first = holds[ours][:, mine].ravel(), np.tile(again, len(ours)), np.arange(len(ours) + 1) * len(one)
+    left[ours] = hopeful(ours_hit, ours_again, ours_first, 8)
+    out[ours] = hopeful(ours_hit, ours_again, ours_first)
+    return out & (left | hopeful(hit, flat_again, first, 8))
+
+
 def _long_enough(runs: np.ndarray) -> np.ndarray:
     """Those of ``runs`` that lie among others, near enough to go on from each other, that reach over SHORTEST places on both sides."""
     first, last, off = runs.T
@@ -512,7 +545,8 @@ def _verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "other", "first", "end"])
 
     one, two = (known.select(F.col("id").alias(c), F.col("shingles").alias(n)).hint("merge") for c, n in (("a", "one"), ("b", "two")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "id long, other long, first long, end long")
+    # many texts have one head ``b``: the work is dealt by ``a``
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(run, "id long, other long, first long, end long")
 
 
 def _regions(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -594,7 +628,17 @@ def _tie(group: pa.Table, inside: bool) -> pa.Table:
     fits = both >= least[one][:, None] + least[two][None, :] - 1e-3
     fits &= ids[one][:, None] != ids[two][None, :]
     root, rows = np.unique(labels, return_inverse=True)[1], []
+    size = np.array([len(p) for p in parts])
+    code = np.split(np.unique(np.concatenate(parts), return_inverse=True)[1], np.cumsum(size)[:-1])
+    again = [_repeats(c) for c in code]
     for i, x in enumerate(one.tolist()):
+        far = np.flatnonzero(fits[i] & (root[two] != root[x]))
+        if len(far) > 4:
+            other = two[far].tolist()
+            out = far[~all_promising(code[x], again[x], [code[y] for y in other], [again[y] for y in other])]
+            fits[i, out] = False
+            if inside:
+                fits[out, i] = False
         while len(far := np.flatnonzero(fits[i] & (root[two] != root[x]))):
             j = far[np.argmax(both[i, far])]
             y = int(two[j])
@@ -619,16 +663,23 @@ def verified(windows: DataFrame, known: DataFrame, scratch: Scratch) -> DataFram
     found = scratch.save(found.unionByName(_verify(again, known)), "found-2")
     left = unsettled(signed, found, scratch, "left-2")
     each = scratch.save(left.select("name", "id", "label").distinct(), "members-2")
-    cells = each.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.max(F.struct("n", "label"))["label"].alias("top"))
+    one_label = each.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    cells = one_label.groupBy("name").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.max(F.struct("n", "label")).alias("top"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"))
     # n * n - alike is twice the number of pairs of two classes
-    cells = cells.select("name", "top", (F.col("n") * F.col("n") - F.col("alike") <= WIDE * F.least("n", F.lit(blocks.ROWS))).alias("few"))
-    few = each.join(cells.where("few").drop("few"), "name")
+    few_pairs = F.col("n") * F.col("n") - F.col("alike") <= WIDE * F.least("n", F.lit(blocks.ROWS))
+    cells = cells.select("name", "x", "y", "n", F.col("top.label").alias("top"), few_pairs.alias("few"), (2 * F.col("top.n") >= F.col("n")).alias("held"))
+    cells = scratch.save(cells, "cells-2")
+    # groups of the same texts have the same pairs
+    few = each.join(cells.where("few").groupBy("n", "x", "y").agg(F.min(F.struct("name", "top")).alias("g")).select("g.name", "g.top"), "name")
     # each such pair has one at least that is not of the largest class, so no more than these meet
     met = few.where("label <> top").select("name", "label", F.col("id").alias("x")).join(few.select("name", F.col("label").alias("label_2"), F.col("id").alias("y")), "name").where("label <> label_2")
     pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(star.unionByName(again), ["a", "b"], "left_anti")
     more = scratch.save(_verify(pairs, known), "found-3")
-    many = left.join(cells.where("not few").select("name"), "name").withColumn("size", 4 * (F.col("last") - F.col("first")))
-    wide = _regions(blocks.deal(many, ["name"], ["first", "last"]), known)
+    many = left.join(cells.where("not few").select("name", "held", "top"), "name")
+    # each text once for all groups that the same class has half of
+    held = many.where("held").groupBy(F.xxhash64("top").alias("name"), "id", "label").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    many = many.where("not held").select(held.columns).unionByName(held).withColumn("size", 4 * (F.col("last") - F.col("first")))
+    wide = _regions(blocks.deal(many, ["name"], ["first", "last"], MEETING), known)
     rest = scratch.save(blocks.meet(wide, ["name"], _tie, "id long, other long, first long, end long"), "found-4")
     return scratch.save(found.unionByName(more).unionByName(rest).distinct(), "found")
 
