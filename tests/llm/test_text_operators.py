@@ -383,6 +383,44 @@ def test_near_passages_are_found(spark):
         assert all(got[i] in (i, i - 1) for i in got)
 
 
+def test_what_is_promising_of_many_is_as_of_two():
+    rng, seen = np.random.default_rng(3), []
+    for _ in range(40):
+        base = rng.integers(0, 90, 100)
+        texts = [base.copy() for _ in range(12)]
+        for t in texts:
+            for at in rng.integers(0, 95, rng.integers(0, 7)):
+                t[at : at + 5] = rng.integers(100, 400, 5)
+        again = [substring_dedup._repeats(t) for t in texts]
+        want = [substring_dedup.promising(np.isin(texts[0], t), again[0], np.isin(t, texts[0]), a) for t, a in zip(texts[1:], again[1:], strict=True)]
+        assert substring_dedup.all_promising(texts[0], again[0], texts[1:], again[1:]).tolist() == want
+        seen += want
+    assert 0.1 < np.mean(seen) < 0.9
+
+
+def test_a_large_class_meets_others_once(spark, monkeypatch):
+    """Near copies of one text and others that are edited too much: whatever the number of groups, a text meets once; classes are those of brute force."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(60):
+        words = [f"w{i}" for i in range(120)]
+        for at in range(int(rng.integers(5, 20)), 120, 25) if k >= 45 else rng.choice(120, 1 if k else 0):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+    dealt, deal, scratch = [], blocks.deal, Scratch(spark)
+    monkeypatch.setattr(blocks, "deal", lambda many, *a: dealt.append(many.select("id").collect()) or deal(many, *a))
+    monkeypatch.setattr(substring_dedup, "WIDE", 0)
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert len(dealt) == 1 and 0 < len(dealt[0]) < spark.read.parquet(f"{scratch.root}/left-2").count()
+    hashes, at, _, _ = shared.shingles(*shared.buffers(pa.array([t for _, t in rows])), 5)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and substring_dedup.passages(hashes[at[i] : at[i + 1]], hashes[at[j] : at[j + 1]]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert [got[i] for i in range(len(rows))] == label
+
+
 def test_all_documents_of_a_group_are_linked(spark):
     """A passage in 30 texts, two of them alike beyond it and five exact copies of one: links are those of brute force."""
     shared_ = [f"p{i}" for i in range(60)]
