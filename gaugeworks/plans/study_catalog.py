@@ -10,7 +10,7 @@ from gaugeworks.operators import evaluation, features, fleet, quality, relations
 from gaugeworks.session import scratch_folder, table
 from gaugeworks.spec import DAY_US, Channel, Study, micros, splits
 
-from .catalog import BUCKET, CASE, DAILY, FRAMES, PARTS, RULED, SPLIT, TILES, daily, frames, parts, query, ruled, tiled
+from .catalog import BUCKET, CASE, DAILY, FRAMES, PARTS, RULED, SPLIT, TILES, daily, leveled, parts, query, ruled, tiled
 
 TIMES = splits(("2024-01-03", "2024-01-24"), ("2024-01-08", "2024-01-31"), ("2024-01-05", "2024-01-28"), ("2024-01-02", "2024-02-01"))
 DAY = Study("day", "day:", (Channel("v"), Channel("n")), DAY_US, TIMES, stride=3)
@@ -454,9 +454,17 @@ b AS (SELECT user_id, list_sort(list(h))[len(list(h)) // 2 + 1] AS base FROM (SE
 s AS (SELECT l.user_id AS user_id, l.dt AS day, 'site-' || (l.user_id % 3) AS site, 'rack-' || (l.user_id % 10) AS rack, h, level, status, level > 0 OR (n > 1 AND h <= b.base - 2) AS drifting FROM l JOIN b ON l.user_id = b.user_id)"""
 
 
+def in_event_order(spark, sf) -> DataFrame:
+    """(user_id, dt, v, n) of ``daily``; a day's values add up in the order of its events, so that a mean is the same however the table is split."""
+    day = Window.partitionBy("user_id", "dt").orderBy("ts", "event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("dt"), "ts", "event_id", "value")
+    so_far = e.select("user_id", "dt", "value", F.sum("value").over(day).alias("total"), F.row_number().over(day).alias("place"))
+    return so_far.groupBy("user_id", "dt").agg(F.try_divide(F.max_by("total", "place"), F.count("value")).alias("v"), F.count(F.lit(1)).alias("n"))
+
+
 def site_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     level = F.get(F.array(*map(F.lit, ("healthy", "watch", "elevated", "critical"))), F.col("level"))
-    d = frames(spark, sf).join(daily(spark, sf).select("user_id", "dt", "n"), ["user_id", "dt"])
+    d = leveled(in_event_order(spark, sf)).where("user_id IS NOT NULL AND dt IS NOT NULL")
     days = d.select(F.col("user_id").alias("device"), F.col("dt").alias("day"), (F.round(F.col("h") * 10_000) / 10_000).alias("h"), "level", level.alias("status"), F.when(F.col("n") > 1, F.array(F.lit("storage"))).otherwise(F.array().cast("array<string>")).alias("groups"))
     named = lambda p, n: F.concat(F.lit(p), (F.col("device") % n).cast("string"))
     places = days.select("device").distinct().select("device", named("site-", 3).alias("site"), named("rack-", 10).alias("rack"))

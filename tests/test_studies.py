@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import evaluation, quality, sampling, studies, windows
+from gaugeworks.operators import evaluation, fleet, quality, sampling, studies, windows
+from gaugeworks.plans import study_catalog
 from gaugeworks.sources import readers, writers
 from gaugeworks.spec import DAY_US, STUDIES, Channel, Study, micros, splits
 
@@ -299,3 +300,20 @@ def test_half_degrees_round_as_in_sql(spark, tmp_path):
 def test_site_healths_round_as_in_sql(spark, tmp_path):
     # the health is 50.51125, whose decimal form rounds to 50.5113 and its ten-thousandfold to 505112
     _against_sql(spark, tmp_path, "site_as_of", [(1, datetime(2024, 1, 5), 3, "view", 49.48875)])
+
+
+def test_site_healths_do_not_depend_on_where_events_stand(spark, tmp_path):
+    # their mean is a tie of four digits; added up from the last to the first, the health would be 56.9838
+    values = (38.84, 33.52, 44.65, 63.26, 37.85, 62.47, 41.48, 22.06)
+    events = [(i, datetime(2024, 1, 5, i), 3, "view", v) for i, v in enumerate(values)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    spark.createDataFrame(events[::-1], schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert [(r.known, r.health) for r in study_catalog.site_as_of(spark, str(tmp_path)).collect()] == [(1, 56.9837)]
+
+
+def test_site_healths_that_are_ties_round_up(spark):
+    healths = [round(2 * i / 100 + 2 * i % 7 / 10_000, 4) for i in range(64)]  # 0.6302953125 in the mean, and 0.6302953124999999 as doubles add up in this order
+    days = spark.createDataFrame([(i, 1, h, 3, "critical", []) for i, h in enumerate(healths)], "device int, day int, h double, level int, status string, groups array<string>").coalesce(1)
+    places = days.selectExpr("device", "'s' AS site", "'r' AS rack")
+    base = days.selectExpr("device", "h AS baseline")
+    assert fleet.site_as_of(days, places, base).first().health == 0.6302953125
