@@ -92,7 +92,9 @@ def stream_fleet(spark, sf):
     folder = scratch_folder(spark)
     where = arriving_runs(fleet_catalog.runs(spark, sf), f"{folder}/in")
     stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=8 * FILES)
-    scored = fleet_state.analyse(stream, f"{DELAY_DAYS} days").where("kind = 'scored'")
-    out = scored.select("device", F.to_date("t").alias("dt"), "component", "health", F.size("evidence").alias("findings"), "points", (F.round("slope", 6) + 0.0).alias("slope"), "accelerating", "status", "trend", "priority_score", "signal")
-    jobs.run(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+
+    def shown(rows: DataFrame) -> DataFrame:
+        return rows.where("kind = 'scored'").select("device", F.to_date("t").alias("dt"), "component", "health", F.size("evidence").alias("findings"), "points", (F.round("slope", 6) + 0.0).alias("slope"), "accelerating", "status", "trend", "priority_score", "signal")
+
+    fleet_state.score(stream, DELAY_DAYS * DAY_US // 1000, f"{folder}/out", f"{folder}/kept", f"{folder}/state", shown).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")

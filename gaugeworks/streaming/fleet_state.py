@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQuery
 
-from gaugeworks.operators import fleet
+from gaugeworks.operators import fleet, windows
 
-from .jobs import InOrder, in_order
+from .jobs import InOrder, drop_version, in_order
 
 DAY_US = 86_400_000_000.0
 MOST_METRICS, RECENT, BLOCK = 14, 10, 64
@@ -134,3 +135,82 @@ def analyse(runs: DataFrame, delay: str) -> DataFrame:
         "device", "component", "kind", F.timestamp_micros("t").alias("t"), *(F.col(f"_r.{c}").alias(c) for c in REST if c != "evidence"), F.concat("_r.evidence", more).alias("evidence"), "health", "points", "span_days", "slope", "accelerating"
     )
     return fleet.concluded(opened)
+
+
+KEY = ("device", "component")
+SUMS = ("n", "x", "y", "xx", "xy")
+STATE = "health double, points long, first double, _s struct<n:double,x:double,y:double,xx:double,xy:double>"
+
+
+def _continued(taken: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """``taken`` runs with their health, place, sums and recent slope, as they go on from ``kept`` ones, which are among the rows: ``new`` tells them apart.
+
+    Of each key the last kept run has the sums of all before it, so that sums add up in the same order as over the whole history.
+    """
+    fresh = taken.withColumn("new", F.lit(True)).withColumns({c.split()[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in STATE.split(", ")})
+    rows = fresh.unionByName(kept.withColumn("new", F.lit(False)), allowMissingColumns=True) if kept is not None else fresh
+    rows = rows.withColumn("evidence", F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))
+    order = Window.partitionBy(*KEY).orderBy("t")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    new, days = F.col("new"), F.unix_micros("t") / DAY_US
+    scored = fleet.growth(rows).withColumn("health", F.when(new, fleet.healthy()).otherwise(F.col("health")))
+    last = F.coalesce(F.col("points") == F.max("points").over(Window.partitionBy(*KEY)), F.lit(False))
+    placed = scored.withColumns({"_last": last, "first": F.first(F.coalesce("first", days)).over(upto)}).withColumn("_x", days - F.col("first"))
+    x, y = F.col("_x"), F.col("health")
+    term = dict(zip(SUMS, (F.lit(1.0), x, y, x * x, x * y), strict=True))
+    sums = F.struct(*(F.sum(F.when(new, v).when(F.col("_last"), F.col("_s")[k])).over(upto).alias(k) for k, v in term.items()))
+    place = F.coalesce("points", F.coalesce(F.max("points").over(upto), F.lit(0)) + F.sum(new.cast("int")).over(upto))
+    done = placed.withColumns({"points": place, "_s": F.when(new, sums).otherwise(F.col("_s")), "_recent": F.regr_slope(y, x).over(order.rowsBetween(-9, 0))})
+    n = F.max("points").over(Window.partitionBy(*KEY))
+    keep = F.col("points") >= F.least(F.floor((n + 1) / 2), n - (MOST_METRICS - 1))
+    return done.withColumns({"_next": F.lead("_s").over(order), "keep": keep}).drop("_last")
+
+
+def score(runs: DataFrame, delay_ms: int, path: str, folder: str, checkpoint: str, shown: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Writes ``shown`` of what ``analyse`` gives for a stream of runs, all that is there now, by batch; a batch that runs again replaces its own rows.
+
+    ``folder`` has, by version, the runs that wait, those that are kept and the watermark: a batch
+    goes on from the version before and writes its own. A run is given out by the batch that moves the watermark past it.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        at = lambda name, e: f"{folder}/{name}/version={e}"
+        known = spark.read.schema("passed long").parquet(at("passed", epoch - 1)).first()[0] if epoch else 0
+        newest = batch.where("size(components) > 0").agg(F.unix_micros(F.max("collected_at"))).first()[0]
+        passed = known if newest is None else max(known, (newest // 1000 - delay_ms) * 1000)
+        spark.range(1).select(F.lit(passed).cast("long").alias("passed")).write.mode("overwrite").parquet(at("passed", epoch))
+
+        found = fleet.findings(fleet.components(batch))
+        us = F.unix_micros("t")
+        kind = F.when(F.coalesce(us <= known, F.lit(True)), "late").when(us <= passed, "due").otherwise("waiting")
+        arrived = found.withColumn("kind", kind)
+        if epoch:
+            waited = spark.read.schema(arrived.schema).parquet(at("arrived", epoch - 1)).where("kind = 'waiting'")
+            arrived = arrived.unionByName(waited.withColumn("kind", kind))
+        arrived.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(at("arrived", epoch))
+        arrived = spark.read.schema(arrived.schema).parquet(at("arrived", epoch))
+
+        # of runs of one time the least is taken; its text is made only where there are several
+        one = Window.partitionBy(*KEY, "t")
+        text = lambda c: F.when(F.col("_many") > 1, F.to_json(c))
+        due = arrived.where("kind = 'due'").drop("kind").withColumn("_many", F.count(F.lit(1)).over(one))
+        taken = due.withColumn("_k", F.row_number().over(one.orderBy(fleet.penalty(), text("metrics"), text(F.struct(*REST))))).where("_k = 1").drop("_k", "_many")
+        held = ", ".join(["device string, component string, t timestamp, metrics map<string,double>", STATE])
+        kept = spark.read.schema(f"{held}, keep boolean").parquet(at("runs", epoch - 1)).where("keep").drop("keep") if epoch else None
+        done = _continued(taken, kept)
+        done.write.mode("overwrite").option("compression", "zstd").parquet(at("runs", epoch))
+        done = spark.read.schema(done.schema).parquet(at("runs", epoch))
+
+        middle = done.select(*(F.col(c).alias(f"_{c}") for c in KEY), F.col("points").alias("_k"), F.col("_s").alias("_half"), "_next")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+        seen = done.where("new").drop("_next", "keep", "new", "first").join(middle, [*same, F.floor(F.col("points") / 2) == F.col("_k")], "left")
+        scored = windows.directed(seen).drop("_k", *(f"_{c}" for c in KEY)).withColumn("kind", F.lit("scored"))
+        late = arrived.where("kind = 'late'").select(*KEY, "t", "kind")
+        again = arrived.where("kind = 'due'").groupBy(*KEY, "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("_i", F.explode(F.sequence(F.lit(2), "n"))).select(*KEY, "t", F.lit("repeated").alias("kind"))
+        out = shown(fleet.concluded(scored.unionByName(late.unionByName(again), allowMissingColumns=True)))
+        out.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        for name in ("passed", "arrived", "runs"):
+            drop_version(spark, f"{folder}/{name}", epoch - 2)
+
+    return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -227,6 +227,12 @@ def growth(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return in_order(stream, ["device"], time, delay, CounterGrowth())
 
 
+def drop_version(spark, path: str, version: int) -> None:
+    """Deletes a version that no batch reads again, if there is one."""
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def latest_runs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """A table with the newest run time and the number of runs of each device, brought up to date by each batch.
 
@@ -240,9 +246,7 @@ def latest_runs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         if epoch:
             seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{path}/version={epoch - 1}")).groupBy("device").agg(F.max("last_run").alias("last_run"), F.sum("runs").alias("runs"))
         seen.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-        if epoch > 1:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={epoch - 2}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        drop_version(spark, path, epoch - 2)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

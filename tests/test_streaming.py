@@ -165,3 +165,30 @@ def test_later_points_keep_their_blocks(monkeypatch):
     whole = taken([])
     assert len(whole[0]) == 60 and all(taken(cuts) == whole for cuts in (range(1, 60), [3, 4, 9, 31, 50], sorted(rng.sample(range(1, 60), 12))))
     assert sorted(whole[3]) == [(b,) for b in range(7, 15)]
+
+
+def test_scores_of_kept_tables_are_those_of_the_batch_run_by_run(spark, tmp_path):
+    """Over several batches, with a run that comes too late and one that comes twice."""
+    runs, where = fleet_catalog.runs(spark, SF).where("machine.slot < 3").withColumn("by", F.col("machine.id")).persist(), str(tmp_path / "in")
+    end = stream_catalog.arriving_runs(runs.drop("by").where("false"), where)  # the run that moves the watermark last
+    last = spark.read.schema(runs.schema).parquet(end).persist()
+    assert last.count() == 1
+    where = str(tmp_path / "dealt")
+    sixth = F.floor(F.datediff("collected_at", F.lit("2024-01-01")) / 6)
+    for k in range(5):
+        part = runs.where(sixth == k)
+        part.unionByName(part.orderBy("machine.id", "collected_at").limit(1) if k == 2 else part.limit(0)).coalesce(1).write.mode("append").parquet(where)
+    last.coalesce(1).write.mode("append").parquet(where)
+    twice, late = (runs.where(sixth == k).orderBy("machine.id", "collected_at").first() for k in (2, 3))
+    runs.where((F.col("machine.id") == late.machine.id) & (F.col("collected_at") == F.lit(late.collected_at))).coalesce(1).write.mode("append").parquet(where)
+    columns = ["device", "component", "t", "health", "points", "slope", "accelerating", "status", "trend", "priority_score", "confidence", "signal", "action", "evidence"]
+    stream = jobs.follow(spark, where, fleet.RUN, files_per_trigger=1)
+    for _ in range(2):  # the second run finds nothing new
+        fleet_state.score(stream, 3 * 86_400_000, str(tmp_path / "out"), str(tmp_path / "kept"), str(tmp_path / "state"), lambda df: df.select("kind", *columns)).awaitTermination(400)
+    got = spark.read.parquet(str(tmp_path / "out")).persist()
+    shown = lambda df: sorted((r.device, r.component, r.t, r.health, r.points, round(r.slope, 8), r.accelerating, r.status, r.trend, r.priority_score, r.confidence, r.signal, r.action, [e.signal for e in r.evidence]) for r in df.select(columns).collect())
+    assert got.select("batch").distinct().count() > 3
+    assert shown(got.where("kind = 'scored'")) == shown(fleet.analyse(runs)) and got.count() > 100
+    aside = lambda kind: sorted((r.device, r.component, r.t, r.health, r.points) for r in got.where(F.col("kind") == kind).collect())
+    of = lambda run: sorted((run.machine.id, c.id, run.collected_at, None, None) for c in run.components)
+    assert aside("late") == of(late) and aside("repeated") == of(twice)
