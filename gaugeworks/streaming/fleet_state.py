@@ -153,7 +153,7 @@ def _continued(taken: DataFrame, kept: DataFrame | None) -> DataFrame:
     order = Window.partitionBy(*KEY).orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     new, days = F.col("new"), F.unix_micros("t") / DAY_US
-    scored = fleet.growth(rows).withColumn("health", F.when(new, fleet.healthy()).otherwise(F.col("health")))
+    scored = fleet.growth(rows, new).withColumn("health", F.when(new, fleet.healthy()).otherwise(F.col("health")))
     last = F.coalesce(F.col("points") == F.max("points").over(Window.partitionBy(*KEY)), F.lit(False))
     placed = scored.withColumns({"_last": last, "first": F.first(F.coalesce("first", days)).over(upto)}).withColumn("_x", days - F.col("first"))
     x, y = F.col("_x"), F.col("health")
